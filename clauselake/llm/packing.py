@@ -26,55 +26,82 @@ from . import common as C
 
 WIDTH, DIMS, BITS, SEED = 1024, 4, 12, 20
 RANGE = 4_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: str.split() also splits at these, which the tokenizer does not take for white space.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[^ \t\n\r\x0b\x0c]+")
-#: Chunks of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
-_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
+_PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@[-`{-~]+")
+_CHUNKS = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: Marks a chunk that the tokenizer has to split itself.
+_ODD = "\x00"
 
 
-class Words:
-    """Token ids, as bytes, of chunks without white space. The tokenizer drops white space and treats what stands
-    between separately, so a text's ids are its chunks' ids in turn. What is new in a batch is encoded in one call."""
+class Words(dict):
+    """Numbers of the pieces that the tokenizer encodes independently, and their token ids in one long array.
+
+    The tokenizer drops white space and splits plain texts as _PIECES does; other chunks between white space are left to it. What
+    is new in a batch is encoded in one call; beyond KEPT_WORDS pieces all are forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.starts, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, found: list[list[str]]) -> None:
-        if len(self.chunks) > KEPT_WORDS:
-            self.chunks.clear()
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        new = set().union(*found).difference(self.chunks)
-        plain = {c: _PIECES.findall(c.lower()) for c in new if _PLAIN.fullmatch(c) and "<|" not in c}
-        pieces = list(set().union(*plain.values()).difference(self.pieces))
-        ids = self.encoded(" ".join(pieces))
-        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-        if len(ends) == len(pieces):
-            raw = ids.tobytes()
-            self.pieces.update(zip(pieces, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        else:  # never seen: a piece of several words
-            self.pieces.update((x, self.encoded(x).tobytes()) for x in pieces)
-        for c in new:
-            self.chunks[c] = b"".join(map(self.pieces.__getitem__, plain[c])) if c in plain else self.encoded(c).tobytes()
+    def learn(self) -> None:
+        plain = [x for x in self.new if x[0] != _ODD]
+        ids = self.encoded(" ".join(plain))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(plain) == len(self.new) == len(ends):
+            sizes = np.diff(ends, prepend=0)
+        else:
+            each = [self.encoded(x.removeprefix(_ODD)) for x in self.new]
+            ids, sizes = np.concatenate(each), np.array([len(x) for x in each])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.new = []
+
+    def pieces(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _PIECES.findall(text.lower())
+        out = []
+        for chunk in _CHUNKS.findall(text):
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                out += _PIECES.findall(chunk.lower())
+            else:
+                out.append(_ODD + chunk)
+        return out
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        found = [_SPACES.findall(t) if _ODD.search(t) else t.split() for t in (x or "" for x in texts)]
-        self.learn(found)
-        return [np.frombuffer(b"".join(map(self.chunks.__getitem__, x)), dtype="<u4") for x in found]
+        if len(self) > KEPT_WORDS:
+            self.forget()
+        found = [self.pieces(t or "") for t in texts]
+        numbers = [np.fromiter(map(self.__getitem__, x), dtype=np.int64, count=len(x)) for x in found]
+        if self.new:
+            self.learn()
+        out = []
+        for x in numbers:
+            size = self.starts[x + 1] - self.starts[x]
+            upto = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.starts[x] - upto + size, size) + np.arange(upto[-1] if len(x) else 0)])
+        return out
 
 
 @cache
