@@ -27,7 +27,7 @@ from . import common as C
 WIDTH, DIMS, BITS, SEED = 1024, 4, 12, 20
 RANGE = 4_000_000
 KEPT_WORDS = 300_000
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@[-`{-~]+")
@@ -135,7 +135,7 @@ def _tokenised(path: str, end: int):
         for b in batches:
             ids = [np.concatenate([x, last]) for x in words.ids(list(b["text"]))]
             at = np.array([_projected(x) for x in ids]).reshape(len(ids), DIMS)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(x) for x in ids], **{f"x{i}": at[:, i] for i in range(DIMS)}, "ids": [x.astype("<u2").tobytes() for x in ids]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) for x in ids], **{f"x{i}": at[:, i] for i in range(DIMS)}, "ids": [x.astype("<u2").tobytes() for x in ids]})
 
     return run
 
@@ -196,22 +196,26 @@ def _cut(starts: dict[int, int], length: int):
                     take = min(length - offset, first + n - at)
                     rows.append((doc, at - first, take, ids[at - first : at - first + take].tobytes(), n, sequence, offset))
                     at += take
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
 
+def as_ids(df: DataFrame) -> DataFrame:
+    """Ids pass through Python as strings: beside nulls, pandas would turn them into floats."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    light = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = ", ".join(f"x{i} double" for i in range(DIMS))
-    tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end), f"doc_id long, n long, {fields}, ids binary"), "tokens")
+    tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end), f"doc_id string, n long, {fields}, ids binary"), "tokens")
     m = tokens.agg(F.sum("n").alias("n"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not m["n"]:
-        return spark.createDataFrame([], PIECES)
+        return as_ids(spark.createDataFrame([], PIECES))
     # 48 bits of the curve, then 15 of the id's hash: ties in the key spread over ranges
     salt = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32("ids")), 49)
     keyed = tokens.withColumn("key", F.shiftleft(_keyed([(m[f"m{i}"] or 0.0, m[f"s{i}"] or 0.0) for i in range(DIMS)]), 15) + salt)
@@ -228,7 +232,7 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int
     for r in sorted(keyed.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         starts[r["part"]], total = total, total + r["n"]
     ordered = keyed.select("part", "key", "doc_id", "ids").repartition(len(starts), "part").sortWithinPartitions("part", "key", "doc_id", "ids")
-    return ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length), PIECES)
+    return as_ids(ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length), PIECES))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -281,14 +281,14 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept.append(data[at:x])
                 at = y
             rows.append((doc_id, len(data), [{"a": x, "b": y} for x, y in runs], b"".join([*kept, data[at:]])))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): spans are the maximal removed runs, kept the bytes that are left."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))  # equal rows have equal spans
     rows = base.filter(F.octet_length("text") >= length).select("rk", "text").mapInPandas(_parse(length), ROWS)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("key")
@@ -299,12 +299,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     whole = whole.select("rk", (F.col("tau") - F.col("hi")).alias("a"), (F.col("tau") - F.col("lo") + length).alias("b"))
     mixed = context.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).filter("c > 1 and m = 1").select("key")
     places = context.join(mixed, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "n", "tau", "lo", "hi")).alias("places"))
-    blobs = base.mapInPandas(_packed, "doc_id long, rk long, blob binary")
+    blobs = base.mapInPandas(_packed, "doc_id string, rk long, blob binary")
     # a repeated row's context may come once or twice: distinct contexts are what counts
     edges = blobs.select("rk", "blob").join(places, "rk").mapInPandas(_contexts(length), "key long, rk long, n long, tau int, lo int, hi int, left binary, right binary")
     edges = edges.repartition("key").sortWithinPartitions("key").mapInPandas(_resolve(length), "rk long, a int, b int")
     spans = whole.unionByName(edges).groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return blobs.join(spans, "rk", "left").select("doc_id", "blob", "spans").mapInPandas(_cut_out, f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
+    out = blobs.join(spans, "rk", "left").select("doc_id", "blob", "spans").mapInPandas(_cut_out, f"doc_id string, n_bytes long, spans {SPANS}, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # ids beside nulls would turn into floats in pandas
 
 
 def op8_repeated_substrings(spark, sf_dir: str) -> DataFrame:
