@@ -14,8 +14,10 @@ an empty table gives no pieces; only the named columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WIDTH, DIMS, BITS, SEED = 1024, 4, 12, 20
+WIDTH, DIMS, BITS, SALT, SEED = 1024, 4, 12, 15, 20
 RANGE = 4_000_000
-KEPT_WORDS = 300_000
-PIECES = "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+KEPT_WORDS = 250_000
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@[-`{-~]+")
@@ -36,20 +38,27 @@ _CHUNKS = re.compile("[^ \t\n\r\x0b\x0c]+")
 _ODD = "\x00"
 
 
+def _byte_alphabet() -> list[str]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Words(dict):
     """Numbers of the pieces that the tokenizer encodes independently, and their token ids in one long array.
 
     The tokenizer drops white space and splits plain texts as _PIECES does; other chunks between white space are left to it. What
-    is new in a batch is encoded in one call; beyond KEPT_WORDS pieces all are forgotten.
+    is new in a batch goes through the merges; beyond KEPT_WORDS pieces all are forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -62,20 +71,17 @@ class Words(dict):
         self.new.append(piece)
         return number
 
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def piece_ids(self, piece: str) -> list[int]:
+        if piece[0] == _ODD:
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        # a plain piece needs no more splitting: straight to the merges, in the byte-level alphabet
+        piece = piece if piece.isascii() else "".join(map(_ALPHABET.__getitem__, piece.encode()))
+        return [x.id for x in self.tokenizer.model.tokenize(piece)]
 
     def learn(self) -> None:
-        plain = [x for x in self.new if x[0] != _ODD]
-        ids = self.encoded(" ".join(plain))
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(plain) == len(self.new) == len(ends):
-            sizes = np.diff(ends, prepend=0)
-        else:
-            each = [self.encoded(x.removeprefix(_ODD)) for x in self.new]
-            ids, sizes = np.concatenate(each), np.array([len(x) for x in each])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
+        each = list(map(self.piece_ids, self.new))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(each), dtype="<u4")])
         self.new = []
 
     def pieces(self, text: str) -> list[str]:
@@ -168,19 +174,21 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _keyed(moments: list[tuple[float, float]]) -> Column:
+def _placed(moments: list[tuple[float, float]], bounds: list[int]) -> Column:
+    """Key along the curve, ended by bits of the id's hash, and the range it falls into."""
     mean, sd = np.array(moments).T
 
-    @F.pandas_udf("long")
-    def key(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    @F.pandas_udf("key long, part int")
+    def place(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, salt: pd.Series) -> pd.DataFrame:
         z = (np.stack([a, b, c, d], axis=1) - mean) / np.maximum(sd, 1e-12)
         share = 1 / (1 + np.exp(-1.702 * np.clip(z, -20, 20)))  # nearly the normal distribution's share below z
-        return pd.Series(hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS))
+        key = (hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS) << SALT) + salt.to_numpy()
+        return pd.DataFrame({"key": key, "part": np.searchsorted(np.array(bounds, dtype=np.int64), key, side="right").astype(np.int32)})
 
-    return key(*[F.col(f"x{i}") for i in range(DIMS)])
+    return place(*[F.col(f"x{i}") for i in range(DIMS)], F.shiftrightunsigned(F.xxhash64("doc_id", "n"), 64 - SALT))
 
 
-def _cut(starts: dict[int, int], length: int):
+def _cut(starts: dict[int, int], length: int, whole: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at = None, 0
         for b in batches:
@@ -194,9 +202,10 @@ def _cut(starts: dict[int, int], length: int):
                 while at < first + n:
                     sequence, offset = divmod(at, length)
                     take = min(length - offset, first + n - at)
-                    rows.append((doc, at - first, take, ids[at - first : at - first + take].tobytes(), n, sequence, offset))
+                    piece = ids[at - first : at - first + take].tobytes()
+                    rows.append((doc, at - first, take, zlib.crc32(piece), n, sequence, offset, piece if whole else None))
                     at += take
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return run
 
@@ -206,8 +215,8 @@ def as_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit."""
+def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id", whole: bool = True) -> DataFrame:
+    """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit, null unless `whole`."""
     spark = docs.sparkSession
     C.small_batches(spark)
     light = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -216,23 +225,18 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int
     m = tokens.agg(F.sum("n").alias("n"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not m["n"]:
         return as_ids(spark.createDataFrame([], PIECES))
-    # 48 bits of the curve, then 15 of the id's hash: ties in the key spread over ranges
-    salt = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32("ids")), 49)
-    keyed = tokens.withColumn("key", F.shiftleft(_keyed([(m[f"m{i}"] or 0.0, m[f"s{i}"] or 0.0) for i in range(DIMS)]), 15) + salt)
+    moments = [(m[f"m{i}"] or 0.0, m[f"s{i}"] or 0.0) for i in range(DIMS)]
     ranges = int(min(max(m["n"] // RANGE, 1), 65_536))
-    cuts = keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("c")).first()["c"] if ranges > 1 else []
-    bounds = sorted(set(cuts))
-
-    @F.pandas_udf("int")
-    def ranged(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds, dtype=np.int64), key.to_numpy(), side="right").astype(np.int32))
-
-    keyed = keyed.withColumn("part", ranged("key"))
+    cuts = []
+    if ranges > 1:
+        keys = tokens.select(_placed(moments, [])["key"].alias("key"))
+        cuts = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("c")).first()["c"]
+    keyed = tokens.withColumn("at", _placed(moments, sorted(set(cuts)))).select("at.key", "at.part", "doc_id", "n", "ids")
     starts, total = {}, 0
     for r in sorted(keyed.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         starts[r["part"]], total = total, total + r["n"]
-    ordered = keyed.select("part", "key", "doc_id", "ids").repartition(len(starts), "part").sortWithinPartitions("part", "key", "doc_id", "ids")
-    return as_ids(ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length), PIECES))
+    ordered = keyed.drop("n").repartition(len(starts), "part").sortWithinPartitions("part", "key", "doc_id", "ids")
+    return as_ids(ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length, whole), PIECES))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -246,5 +250,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op1_curve_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack(C.table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(C.table(spark, sf_dir, "documents"), whole=False).drop("ids")
