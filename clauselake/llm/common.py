@@ -104,3 +104,23 @@ def running_sum(xs: Column) -> Column:
     totals = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda s, v: s + v))
     starts = F.concat(F.array(zero), sums(totals, zero))
     return F.when(n <= 0, empty).otherwise(F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), sums)))
+
+
+def groups(batches, keys: list[str]):
+    """Data frames of equal keys, from batches sorted by them; a group may span batches."""
+    import pandas as pd
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys].to_numpy()
+        cuts = [0, *((k[1:] != k[:-1]).any(axis=1).nonzero()[0] + 1), len(b)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            part = b.iloc[x:y]
+            if held and (held[-1][keys].iloc[-1].to_numpy() != part[keys].iloc[0].to_numpy()).any():
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .hamming import SQL as HAMMING_SQL
+from .hamming import op4_hamming_topk
 from .mixing import op6_source_mix
 from .packing import op1_curve_packing
 from .pii import op2_pii_spans
+from .setjoin import op9_jaccard_join
+from .substrings import op8_repeated_substrings
+from .vectors import op3_near_vectors
 
-QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op6_source_mix)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op3_near_vectors, op4_hamming_topk, op6_source_mix, op8_repeated_substrings, op9_jaccard_join)}
+ORACLE_SQL = {"op4_hamming_topk": HAMMING_SQL}
