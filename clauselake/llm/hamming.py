@@ -29,7 +29,7 @@ BITS, BLOCK, CHUNK = 64, 200_000, 4096
 
 def code(v: Column) -> Column:
     """The 64 sign bits of a vector as a long; null if it has no code."""
-    bits = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.when((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
@@ -132,10 +132,10 @@ def op4_hamming_topk(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> x > 0) AS b FROM embeddings),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
 d AS (
   SELECT q.vec_id AS query_id, e.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(q.b, e.b), z -> CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+    CAST(list_sum(list_transform(list_zip(q.b, e.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM e q, e WHERE q.vec_id % 20 = 0
 ),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)

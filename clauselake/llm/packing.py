@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, DIMS, BITS, SALT, SEED = 1024, 4, 12, 15, 20
-RANGE = 4_000_000
+RANGE = 1_000_000
 KEPT_WORDS = 250_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.

@@ -145,14 +145,14 @@ def _counted(least: int):
 def _blocks(least: float):
     def run(key, owners: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         """Links between one block of a cell and one block of its partners' members; counts per vector, and the cells that link."""
-        rows = []
+        out = [pd.DataFrame({"rep": [], "n": [], "a": [], "b": [], "edge": []})]
         if len(owners) and len(others):
             hit = _unit(owners["v"]) @ _unit(others["v"]).T >= least
-            rows += list(zip(owners["rep"], hit @ others["mult"].to_numpy(), owners["cell"], [None] * len(owners), strict=True))
-            rows += list(zip(others["rep"], hit.T @ owners["mult"].to_numpy(), others["cell"], np.where(hit.any(axis=0), owners["cell"].iloc[0], -1), strict=True))
-        out = pd.DataFrame(rows, columns=["rep", "n", "a", "b"])
-        out["b"] = pd.array([None if x is None or x == -1 else int(x) for x in out["b"]], dtype="Int64")
-        return out[out["n"] > 0]
+            cell = owners["cell"].iloc[0]
+            out.append(pd.DataFrame({"rep": owners["rep"], "n": hit @ others["mult"].to_numpy(), "a": cell, "b": cell, "edge": False}))
+            out.append(pd.DataFrame({"rep": others["rep"], "n": hit.T @ owners["mult"].to_numpy(), "a": others["cell"], "b": cell, "edge": hit.any(axis=0)}))
+        found = pd.concat(out[1:] or out)
+        return found[found["n"] > 0]
 
     return run
 
@@ -178,7 +178,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", cosine("a_v", "b_v"))
     met = C.cut(met.filter(F.acos(F.least("c", F.lit(1.0))) <= F.lit(theta + 1e-9) + F.col("a_r") + F.col("b_r")).drop("a_v", "b_v"))
     single = met.filter((F.col("a_size") == 1) & (F.col("b_size") == 1) & (F.col("c") >= least))
-    links = single.select(F.col("a").alias("rep"), F.col("b_mult").alias("n"), "a", "b").unionByName(single.select(F.col("b").alias("rep"), F.col("a_mult").alias("n"), "a", "b"))
+    links = single.select(F.col("a").alias("rep"), F.col("b_mult").alias("n"), "a", "b", F.lit(True).alias("edge"))
+    links = links.unionByName(single.select(F.col("b").alias("rep"), F.col("a_mult").alias("n"), "a", "b", F.lit(True).alias("edge")))
     first = F.col("a_size") >= F.col("b_size")
     thick = met.filter("a_size > 1 or b_size > 1").select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("partner"), F.greatest("a_size", "b_size").alias("own"), F.least("a_size", "b_size").alias("part")
@@ -191,8 +192,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     other = member.join(thick.select("owner", F.col("partner").alias("cell")), "cell").join(total, "owner").withColumn("col", spread("cols")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
     pick = [F.col(c).alias(c) for c in ("owner", "row", "col", "cell", "rep", "v", "mult")]
     blocks = owned.select(*pick).groupBy("owner", "row", "col").cogroup(other.select(*pick).groupBy("owner", "row", "col"))
-    links = C.cut(links.unionByName(blocks.applyInPandas(_blocks(least), "rep long, n long, a long, b long")))
-    parts = components(links.filter("b is not null and a <> b").select("a", "b").distinct())
+    links = C.cut(links.unionByName(blocks.applyInPandas(_blocks(least), "rep long, n long, a long, b long, edge boolean")))
+    parts = components(links.filter("edge").select("a", "b").distinct())
     added = links.groupBy("rep").agg(F.sum("n").alias("added"))
     named = cells.select("cell", "rep", "mult").join(leaders.select("cell", F.col("mult").alias("all")), "cell").join(added, "rep", "left").join(parts, F.col("cell") == F.col("node"), "left")
     named = C.cut(named.select("rep", F.coalesce("component", "cell").alias("component"), (F.col("all") - 1 + F.coalesce("added", F.lit(0))).alias("n_links")))
