@@ -9,9 +9,9 @@ texts together; segments left so count less, for which some spare ones are signe
 suffice (`short`) has its band signed by hash-ordered prefixes as well, in a second pass over that band only.
 
 Texts with equal sets are one node. In every bucket the node of least hash is the pivot, and all others are verified
-against it, exactly; the links' components are found; then in buckets that still hold several components, pairs of these
-are verified unless their known distances to the pivot differ by more than 1 - t (Jaccard distance is a metric). So a
-bucket of copies costs one pair per member, no link between different texts is lost, and no row holds a bucket.
+against it, exactly; the links' components are found; then texts connected by buckets that still hold several components are
+compared in blocks, without rows for pairs: counts of shared shingles along posting lists give the links between
+components. So a bucket of copies costs one pair per member, no link between different texts is lost, and no row holds a bucket.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: null texts and texts without words have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle; repeated rows are copies; null ids take part but never name
@@ -34,6 +34,8 @@ from .graph import components
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Work of verifying one false candidate, in signatures.
 VERIFY = 100.0
+#: Texts of a group that one task compares.
+BLOCK = 2000
 #: Chance that an unrelated text holds a given shingle, for the cost model.
 COMMON = 0.02
 
@@ -199,6 +201,42 @@ def _verified(n: int):
     return run
 
 
+def _compared(n: int, percent: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        """Links that join different classes of a block (or of two): shared shingles are counted along posting lists, from every text outside
+        the largest class. At most one link for each two classes that meet comes out."""
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        part = part.sort_values("node")
+        node, block, found = part["node"].to_numpy(), part["block"].to_numpy(), []
+        sets = [shingle_set(z.decompress(x).decode(), n) for x in part["blob"]]
+        size = np.array([len(x) for x in sets])
+        key, posting = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(posting, kind="stable")
+        holders, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(key)))])
+        _, label = np.unique(part["component"].to_numpy(), return_inverse=True)
+        rank = np.bincount(label)
+        two = part["i"].iloc[0] != part["j"].iloc[0]
+        for x in np.flatnonzero(label != rank.argmax()):
+            ks = posting[cuts[x] : cuts[x + 1]]
+            lo, length = at[ks], at[ks + 1] - at[ks]
+            upto = np.cumsum(length)
+            both = np.bincount(holders[np.repeat(lo - upto + length, length) + np.arange(upto[-1])], minlength=len(sets))
+            near = (100 * both >= percent * (size + size[x] - both)) & (label != label[x])
+            if two:
+                near &= block != block[x]
+            for y in np.flatnonzero(near):
+                if label[y] != label[x]:
+                    found.append((node[x], node[y]))
+                    label[label == label[x]] = label[y]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: classes of texts linked by similarities of `percent` hundredths or more."""
     spark = docs.sparkSession
@@ -235,17 +273,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     stars = verify(starred.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
     links = stars.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     classes = C.cut(components(links))
-    # buckets of several classes: their members' classes and distances to the pivot
+    # buckets of several classes: groups of texts that such buckets connect, compared in blocks
     named = starred.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(stars.select(F.col("x").alias("pivot"), F.col("y").alias("node"), (1 - F.col("both") / F.col("either")).alias("d")), ["pivot", "node"], "left").fillna({"d": 0.0})
     several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-    rest = C.cut(named.join(several, "s").select("s", "node", "component", "d", (F.col("node") == F.col("pivot")).alias("p")))
-    left = rest.filter("not p").select("s", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx"))
-    right = rest.filter("not p").select("s", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("d").alias("dy"))
-    near = (F.abs(F.col("dx") - F.col("dy")) <= (100 - percent) / 100 + 1e-9) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))
-    more = verify(left.join(right, "s").filter(near).select("x", "y").distinct())
-    new = more.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))) if new.head(1) else classes
+    rest = C.cut(named.join(several, "s").select("pivot", "node", "component").distinct())
+    group = components(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    member = C.cut(rest.select("node", "component").distinct().join(group.select("node", F.col("component").alias("group")), "node"))
+    sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    member = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    member = member.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+    new = C.cut(member.join(texts, "node").groupBy("group", "i", "j").applyInPandas(_compared(n, percent), "a long, b long").distinct())
+    if new.head(1):
+        classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
     return _labelled(table.select("doc_id", "n", "node"), classes)
 
 
