@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "
     chunks = max(1, min(-(-q // 64), max(-(-q // CHUNK), C.partitions(vectors.sparkSession) // blocks)))
     seq = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("chunk", seq(chunks))
-    right = codes.withColumn("chunk", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", seq(blocks).cast("long"))
+    right = codes.withColumn("chunk", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", seq(blocks)).withColumn("block", F.col("block").cast("long"))
     tiles = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(_tile(k), "code long, distance int, vec_id long")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))
     best = tiles.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -9,7 +9,8 @@ from .packing import op1_curve_packing
 from .pii import op2_pii_spans
 from .setjoin import op9_jaccard_join
 from .substrings import op8_repeated_substrings
+from .toxicity import op5_toxicity
 from .vectors import op3_near_vectors
 
-QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op3_near_vectors, op4_hamming_topk, op6_source_mix, op8_repeated_substrings, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op3_near_vectors, op4_hamming_topk, op5_toxicity, op6_source_mix, op8_repeated_substrings, op9_jaccard_join)}
 ORACLE_SQL = {"op4_hamming_topk": HAMMING_SQL}
