@@ -42,10 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    forget_later(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the program ends."""
     if not _staged:
         atexit.register(_remove_staged)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove_staged() -> None:
