@@ -23,7 +23,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -73,11 +73,10 @@ def _bits(round_: int, bits: int):
     return F.pandas_udf(key, "long")("v")
 
 
-def cosine(a, b):
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(np.dot(p, q) / sqrt(np.dot(p, p) * np.dot(q, q))) if len(p) == len(q) else -1.0 for p, q in zip(x, y, strict=True)], dtype=float)
-
-    return F.pandas_udf(of, "double")(a, b)
+def cosine(a: Column, b: Column) -> Column:
+    """In the JVM: one Python worker less beside each task. Vectors of different lengths are opposite."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) != F.size(b), F.lit(-1.0)).otherwise(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def _cells(reps: DataFrame, n: int) -> DataFrame:
@@ -87,7 +86,7 @@ def _cells(reps: DataFrame, n: int) -> DataFrame:
     for i in range(ROUNDS):
         rest = rest.withColumn("key", _bits(i, bits))
         leaders = rest.groupBy("key").agg(F.min(F.struct("rep", "v")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "l")
-        at = rest.join(leaders, "key", "left").withColumn("c", F.when(F.col("l").isNull(), 2.0).when(F.col("l.rep") == F.col("rep"), 1.0).otherwise(cosine(F.coalesce(F.col("l.v"), F.col("v")), F.col("v"))))
+        at = rest.join(leaders, "key", "left").withColumn("c", F.when(F.col("l").isNull(), 2.0).when(F.col("l.rep") == F.col("rep"), 1.0).otherwise(cosine(F.col("l.v"), F.col("v"))))
         at = C.cut(at.withColumn("near", F.col("l").isNotNull() & (F.col("c") >= CELL)))
         led = at.filter("near").groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
         own = at.filter("near").join(led, "key").select(F.col("l.rep").alias("cell"), F.col("l.v").alias("lv"), "rep", "v", "mult", "c")
@@ -159,6 +158,7 @@ def _blocks(least: float):
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors; links have cosine `least` or more."""
+    C.small_batches(vectors.sparkSession)
     theta, cell = acos(least), acos(CELL)
     v = F.col(vector)
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
@@ -175,7 +175,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     ends = leaders.select("cell", "v").mapInPandas(_ends(t, lines), "line long, cell long, x double, code binary")
     pairs = ends.repartition("line").sortWithinPartitions("line").mapInPandas(_counted(count), "a long, b long").distinct()
     side = lambda k: leaders.select(F.col("cell").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("v", "size", "mult", "r")])
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", cosine("a_v", "b_v"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", cosine(F.col("a_v"), F.col("b_v")))
     met = C.cut(met.filter(F.acos(F.least("c", F.lit(1.0))) <= F.lit(theta + 1e-9) + F.col("a_r") + F.col("b_r")).drop("a_v", "b_v"))
     single = met.filter((F.col("a_size") == 1) & (F.col("b_size") == 1) & (F.col("c") >= least))
     links = single.select(F.col("a").alias("rep"), F.col("b_mult").alias("n"), "a", "b", F.lit(True).alias("edge"))
