@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK, RECORDS = 3000, 2000
+#: Repeated payloads, at about 100 bytes each, that may be sent to all executors.
+BROADCAST = 50_000
 DATE = "2024-01-01T00:00:00Z"
 LINES = "key string, date string, file string, offset long, length long, page_id long, type string, refers_to long, digest string, payload long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,6 +118,9 @@ def write(pages: DataFrame, root: str, least: int = 0, page_id: str = "page_id",
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html")).withColumn("sha", F.sha1("html"))
     first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= least))
+    first = C.cut(first.select("sha", "size", "least"))
+    if first.count() <= BROADCAST:  # else pages move to meet the payloads that repeat
+        first = F.broadcast(first)
     rows = rows.join(first, ["sha", "size"], "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
     text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  beside nulls pandas would turn ids into floats
     rows.select(text("page_id"), "url", "html", text("first")).mapInPandas(_records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).text(f"{root}/archive")
