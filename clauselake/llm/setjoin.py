@@ -36,6 +36,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 VERIFY = 100.0
 #: Texts of a group that one task compares.
 BLOCK = 2000
+#: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early.
+PART, HELD, HOT = 500_000, 3_000_000, 256
 #: Chance that an unrelated text holds a given shingle, for the cost model.
 COMMON = 0.02
 
@@ -148,21 +150,98 @@ class Signer:
         return np.unique(np.concatenate(out)), short
 
 
-def _signed(n: int, percent: int, prefixed: frozenset[int]):
+def _described(n: int, percent: int, prefixed: frozenset[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(percent, prefixed)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 xs = shingle_set(text, n)
-                if not len(xs):
-                    rows.append((doc_id, 0, None, [], []))
-                    continue
-                signatures, short = signer.sign(xs)
-                rows.append((doc_id, len(xs), node_of(xs), signatures.astype(np.int64), short))
-            ids, sizes, nodes, signatures, shorts = zip(*rows, strict=True) if rows else ([],) * 5
+                signatures, short = signer.sign(xs) if len(xs) else ((), [])
+                rows.append((doc_id, len(xs), node_of(xs) if len(xs) else None, len(signatures), short))
+            ids, sizes, nodes, signed, shorts = zip(*rows, strict=True) if rows else ([],) * 5
             # columns of their own: ids and hashes beside nulls must not turn into floats
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "node": pd.array(nodes, dtype="Int64"), "signatures": signatures, "short": shorts})
+            yield pd.DataFrame({"doc_id": ids, "n": sizes, "node": pd.array(nodes, dtype="Int64"), "signed": signed, "short": shorts})
+
+    return run
+
+
+def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
+    """A batch's signatures, 48 bits each beside their part, with places in a list of the batch's nodes: half as many bytes to move
+    as rows of two longs. Signatures may collide; candidates are verified."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(percent, prefixed)
+        for b in (whole.iloc[i : i + 50_000] for whole in batches for i in range(0, len(whole), 50_000)):  # places have 16 bits
+            known: dict[int, np.ndarray] = {}
+            for text in b["text"]:
+                xs = shingle_set(text, n)
+                if len(xs) and (node := node_of(xs)) not in known:
+                    known[node] = signer.sign(xs)[0]
+            if not known:
+                continue
+            s = np.concatenate(list(known.values()))
+            nodes = np.array(list(known), dtype=np.int64)
+            place = np.repeat(np.arange(len(nodes), dtype=np.uint16), [len(x) for x in known.values()])
+            part = (s % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            s, place, part = s[order] >> np.uint64(16), place[order], part[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            rows = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                used, at = np.unique(place[x:y], return_inverse=True)
+                short = s[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(part[x]), short.tobytes(), at.astype("<u2").tobytes(), nodes[used].tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "s", "place", "nodes"])
+
+    return run
+
+
+def _shared(parts: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(s, node) of signatures that two nodes or more have; rows come sorted by part. Beyond HELD signatures, those with HOT nodes leave
+        memory, and what else arrives for them goes straight through."""
+        held: list[np.ndarray] = []
+        hot = np.zeros(0, dtype=np.uint64)
+        size, now = 0, None
+
+        def frame(pairs: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
+
+        def split(least: int) -> tuple[np.ndarray, np.ndarray]:
+            """Held pairs without repeats: those of signatures with `least` nodes or more, and the rest."""
+            pairs = np.concatenate(held) if held else np.zeros((0, 2), dtype=np.uint64)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            fresh = np.ones(len(pairs), dtype=bool)
+            fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+            pairs = pairs[fresh]
+            _, at, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+            many = n[at] >= least
+            return pairs[many], pairs[~many]
+
+        for b in batches:
+            for part, s, place, nodes in zip(b["part"], b["s"], b["place"], b["nodes"], strict=True):
+                if part != now:
+                    if now is not None:
+                        yield frame(split(2)[0])
+                    held, size, now, hot = [], 0, part, np.zeros(0, dtype=np.uint64)
+                raw = np.zeros((len(s) // 6, 8), dtype=np.uint8)
+                raw[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
+                key = raw.view("<u8").ravel().astype(np.uint64)
+                pairs = np.stack([key, np.frombuffer(nodes, dtype=np.int64)[np.frombuffer(place, dtype="<u2")].astype(np.uint64)], axis=1)
+                if len(hot):
+                    through = np.isin(key, hot)
+                    yield frame(pairs[through])
+                    pairs = pairs[~through]
+                held.append(pairs)
+                size += len(pairs)
+                if size > HELD:
+                    out, rest = split(HOT)
+                    hot = np.unique(np.concatenate([hot, out[:, 0]]))
+                    held, size = [rest], len(rest)
+                    yield frame(out)
+        if now is not None:
+            yield frame(split(2)[0])
 
     return run
 
@@ -243,18 +322,21 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     C.small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def signed(prefixed: frozenset[int]) -> DataFrame:
-        kind = "doc_id string, n long, node long, signatures array<long>, short array<int>"
-        out = base.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_signed(n, percent, prefixed), kind)
-        return C.stage(out.withColumn("doc_id", F.col("doc_id").cast("long")), "signed")
-
-    table = signed(frozenset())
-    short = frozenset(r[0] for r in table.select(F.explode("short").alias("b")).distinct().collect())  # bands: some dozens
-    if short:
-        table = signed(short)
-    signatures = table.select(F.explode("signatures").alias("s"), "node")
-    shared = signatures.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("s")
-    buckets = C.stage(signatures.join(shared, "s").distinct(), "buckets")
+    def described(prefixed: frozenset[int]) -> DataFrame:
+        kind = "doc_id string, n long, node long, signed long, short array<int>"
+        out = base.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_described(n, percent, prefixed), kind)
+        return C.cut(out.withColumn("doc_id", F.col("doc_id").cast("long")))
+
+    table, short = described(frozenset()), frozenset()
+    found = frozenset(r[0] for r in table.select(F.explode("short").alias("b")).distinct().collect())  # bands: some dozens
+    if found:
+        short = found
+        table = described(short)
+    total = table.agg(F.sum("signed")).first()[0] or 0
+    parts = max(C.partitions(spark), total // PART)
+    signatures = base.select("text").mapInPandas(_packed(n, percent, short, parts), "part long, s binary, place binary, nodes binary")
+    shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts), "s long, node long")
+    buckets = C.stage(shared.distinct(), "buckets")
     pivots = buckets.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot"))
     starred = C.stage(buckets.join(pivots, "s"), "starred")
     # one text per candidate node
