@@ -26,7 +26,7 @@ from . import common as C
 WORDS = re.compile(r"[^\W\d_]+")
 GRADES, SPACE_BITS, FEATURES = 3, 26, 4096
 MOST, PENALTY, STEPS, RATE = 4000, 1e-4, 600, 0.1
-KEPT = 300_000
+KEPT = 100_000
 
 
 def features(word: str) -> list[int]:
@@ -36,10 +36,13 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p) >> (64 - SPACE_BITS) for p in parts]
 
 
-def counted(text: str | None) -> tuple[Counter, list[list[int]]]:
-    """Feature counts over distinct words, and each distinct word's features."""
-    each = {w: features(w) for w in set(WORDS.findall((text or "").lower()))}
-    return Counter(f for fs in each.values() for f in fs), list(each.values())
+def distinct_words(text: str | None) -> set[str]:
+    return set(WORDS.findall((text or "").lower()))
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text's distinct words, and how many of these have each."""
+    return np.unique(np.array([f for w in distinct_words(text) for f in features(w)], dtype=np.uint32), return_counts=True)
 
 
 def fit(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarray] | None:
@@ -47,25 +50,26 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarray] | N
     toxic = np.asarray(toxic).astype(bool)
     if not toxic.any() or toxic.all():
         return None
-    bags = [counted(t) for t in texts]
-    pos, neg = Counter(), Counter()
-    for (bag, _), y in zip(bags, toxic, strict=True):
-        (pos if y else neg).update(bag.keys())
-    np_, nn = toxic.sum(), (~toxic).sum()
-    least = max(3, int(0.01 * np_))
-    odds = {f: np.log((n + 0.5) / (np_ + 1)) - np.log((neg[f] + 0.5) / (nn + 1)) for f, n in pos.items() if n >= least}
-    chosen = sorted((f for f, o in odds.items() if o > 2), key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:FEATURES]
-    if not chosen:
+    bags = [counted(t) for t in texts]  # arrays: the sample's features take some tens of MB
+    np_, nn = int(toxic.sum()), int((~toxic).sum())
+    every = lambda y: np.unique(np.concatenate([bag for (bag, _), v in zip(bags, toxic, strict=True) if v == y]), return_counts=True)
+    (found, pos), (clean, neg) = every(True), every(False)
+    at_clean = np.minimum(np.searchsorted(clean, found), max(len(clean) - 1, 0))
+    other = np.where(clean[at_clean] == found, neg[at_clean], 0) if len(clean) else np.zeros(len(found))
+    odds = np.log((pos + 0.5) / (np_ + 1)) - np.log((other + 0.5) / (nn + 1))
+    usual = (pos >= max(3, int(0.02 * np_))) & (odds > 3)
+    found, worth = found[usual], (odds * np.sqrt(pos))[usual]
+    chosen = np.sort(found[np.lexsort((found, -worth))[:FEATURES]])
+    if not len(chosen):
         return None
-    at = {f: i for i, f in enumerate(chosen)}
+    known = set(chosen.tolist())
     row, col, val = [], [], []
-    hits_of = np.zeros(len(texts))
-    for i, (bag, words) in enumerate(bags):
-        for f, c in bag.items():
-            if f in at:
-                row.append(i), col.append(at[f]), val.append(np.log1p(c))
-        hits_of[i] = sum(any(f in at for f in w) for w in words)
-    row, col, val = np.array(row, dtype=np.int64), np.array(col, dtype=np.int64), np.array(val)
+    for i, (bag, n) in enumerate(bags):
+        at = np.minimum(np.searchsorted(chosen, bag), len(chosen) - 1)
+        hit = chosen[at] == bag
+        row.append(np.full(int(hit.sum()), i)), col.append(at[hit]), val.append(np.log1p(n[hit]))
+    row, col, val = (np.concatenate(x) for x in (row, col, val))
+    hits_of = np.array([sum(any(f in known for f in features(w)) for w in distinct_words(t)) if y else 0 for t, y in zip(texts, toxic, strict=True)])
     grade = np.where(toxic, 1 + np.searchsorted(np.quantile(hits_of[toxic], [1 / 3, 2 / 3]), hits_of, side="right"), 0)
     grade = np.where(toxic, np.clip(grade, 1, GRADES), 0)
     above = (grade[:, None] > np.arange(GRADES)).astype(float)
@@ -83,7 +87,10 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarray] | N
             s += (1 - b) * x
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
         w, base, gaps = w - move[: len(w)], base - move[len(w)], gaps - move[len(w) + 1 :]
-    return {"feature": np.array(chosen), "weight": w, "theta": base + np.concatenate([[0], np.cumsum(np.exp(gaps))])}
+    return {"feature": chosen, "weight": w, "theta": base + np.concatenate([[0], np.cumsum(np.exp(gaps))])}
+
+
+_NEW: list[int] = []
 
 
 def _scored(feature: list[int], weight: list[float], theta: list[float]):
@@ -96,12 +103,12 @@ def _scored(feature: list[int], weight: list[float], theta: list[float]):
         score = np.zeros(len(texts))
         for i, text in enumerate(texts):
             found: Counter = Counter()
-            for w in set(WORDS.findall((text or "").lower())):
-                fs = hits.get(w)
-                if fs is None:
+            for w in distinct_words(text):
+                fs = hits.get(w, _NEW)
+                if fs is _NEW:
                     if len(hits) > KEPT:
                         hits.clear()
-                    hits[w] = fs = [f for f in features(w) if f in known]
+                    hits[w] = fs = [f for f in features(w) if f in known] or None
                 if fs:
                     found.update(fs)
             score[i] = sum(known[f] * np.log1p(n) for f, n in sorted(found.items()))
