@@ -8,10 +8,13 @@ between exact segments and half as many with deletions (Allocation). Empty subse
 texts together; segments left so count less, for which some spare ones are signed. A set for which even these do not
 suffice (`short`) has its band signed by hash-ordered prefixes as well, in a second pass over that band only.
 
-Texts with equal sets are one node. In every bucket the node of least hash is the pivot, and all others are verified
-against it, exactly; the links' components are found; then texts connected by buckets that still hold several components are
-compared in blocks, without rows for pairs: counts of shared shingles along posting lists give the links between
-components. So a bucket of copies costs one pair per member, no link between different texts is lost, and no row holds a bucket.
+Texts with equal sets are one node. The spare segments also say how many signatures a similar pair shares at least. So in
+buckets of up to SMALL nodes, pairs of fitting sizes are counted and those with that many are verified, exactly. In
+larger ones the node of least hash is the pivot, all others are verified against it, and components are found; where a bucket
+then still holds several, and a text in it whose spare signatures do not outnumber its large buckets, the texts that such
+buckets connect are compared in blocks, without rows for pairs: counts of shared shingles along posting lists give the links
+between components. So a large bucket costs one pair per member, no link between different texts is lost, and no row holds a
+bucket.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: null texts and texts without words have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle; repeated rows are copies; null ids take part but never name
@@ -32,8 +35,10 @@ from . import common as C
 from .graph import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Work of verifying one false candidate, in signatures.
-VERIFY = 100.0
+#: Standard deviations by which the segments of a set suffice.
+SURE = 5.5
+#: Nodes of a bucket up to which all its pairs are looked at.
+SMALL = 16
 #: Texts of a group that one task compares.
 BLOCK = 2000
 #: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early.
@@ -72,14 +77,11 @@ class Allocation:
     high: int
     segments: int
     counts: int
+    need: int
 
     def used(self, need: int) -> int:
-        """Segments that a set signs which has to reach `need`."""
-        return min(self.segments, -(-need // self.counts) + spare(need, self.counts))
-
-
-def spare(need: int, counts: int) -> int:
-    return (need // 4 + 6) if counts == 1 else (need // 16 + 2)
+        """Segments that a set signs which has to reach `need`; the more, the larger that is."""
+        return min(self.segments, -(-need * self.segments // self.need))
 
 
 def needed(size: int, percent: int) -> int:
@@ -96,17 +98,22 @@ def band_of(size: int) -> tuple[int, int, int]:
 
 
 def allocate(band: int, low: int, high: int, percent: int) -> Allocation:
-    """The cheaper of exact segments and half as many with one-deletion neighbourhoods."""
-    found = []
+    """The cheapest number of segments, exact or with one-deletion neighbourhoods, for which a set of the band hardly ever falls short:
+    its segments are Poisson-filled, empty ones count 0 and, with deletions, single ones 1."""
+    top, found = needed(high, percent), []
     for counts in (1, 2):
-        need = needed(high, percent)
-        m = -(-need // counts) + spare(need, counts)
-        c = low / m  # elements of a segment, at least
-        signatures = m if counts == 1 else m * (1 + high / m)
-        tiny = m * np.exp(-c) * (1.0 if counts == 1 else 1 + c)  # segments that count less than they should
-        false = m * (np.exp(-c * (1 - COMMON)) - np.exp(-c)) * VERIFY
-        found.append((signatures + false + VERIFY * max(tiny - spare(need, counts) / 2, 0), Allocation(band, low, high, m, counts)))
-    return min(found, key=lambda x: x[0])[1]
+        for m in sorted({-(-top // counts) + k * max(1, top // 24) for k in range(97)}):
+            at = Allocation(band, low, high, m, counts, top)
+            sure, cost = np.inf, 0.0
+            for size in (max(low * percent // 100, 1), high):  # sets of the band below sign too, if they may be similar
+                used, c = at.used(needed(size, percent)), size / m
+                none, one = np.exp(-c), c * np.exp(-c)
+                lost = none if counts == 1 else 2 * none + one
+                spread = lost * (1 - lost) if counts == 1 else 4 * none + one - lost * lost
+                sure = min(sure, (used * (counts - lost) - needed(size, percent)) / max(np.sqrt(used * spread), 0.1))
+                cost += used * (1 - none) + (0 if counts == 1 else size * used / m)
+            found.append((max(SURE - sure, 0.0), cost, at))
+    return min(found, key=lambda x: x[:2])[2]
 
 
 class Signer:
@@ -119,19 +126,21 @@ class Signer:
             self.known[band] = allocate(band, low, high, self.percent)
         return self.known[band]
 
-    def sign(self, xs: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Signatures of a set, and the bands in which its segments do not suffice."""
+    def sign(self, xs: np.ndarray) -> tuple[np.ndarray, list[int], int]:
+        """Signatures of a set, the bands in which its segments do not suffice, and how many signatures more than one it shares at
+        least with any larger set that it is similar to."""
         own = self.allocation(len(xs))
         schemes = [own]
         if 100 * len(xs) >= self.percent * (own.high + 1):  # it may be the smaller one of a pair whose other is in the next band
             schemes.append(self.allocation(own.high + 1))
-        out, short = [], []
+        out, short, slack = [], [], 1 << 30
         need = needed(len(xs), self.percent)
         for a in schemes:
             salt = np.uint64((a.band * 4 + 1) * 0x51_7C_C1B7_2722_0A95 & (1 << 64) - 1)
             if a.band in self.prefixed:
                 order = np.sort(mixed(xs + salt))
                 out.append(mixed(order[: len(xs) - (len(xs) * self.percent + 99) // 100 + 1] + np.uint64(3)))
+                slack = 0
                 continue
             h = mixed(xs + salt)
             used = a.used(need)
@@ -145,9 +154,11 @@ class Signer:
             out.append(mixed(total + label)[size > 0])
             if a.counts == 2:
                 out.append(mixed(total[segment] - h + label[segment])[size[segment] > 1])
-            if int(np.minimum(size, a.counts).sum()) < need:
+            more = int(np.minimum(size, a.counts).sum()) - need  # of the segments, no more than need - 1 can be spoilt
+            if more < 0:
                 short.append(a.band)
-        return np.unique(np.concatenate(out)), short
+            slack = min(slack, max(more, 0) // a.counts)
+        return np.unique(np.concatenate(out)), short, slack
 
 
 def _described(n: int, percent: int, prefixed: frozenset[int]):
@@ -157,11 +168,11 @@ def _described(n: int, percent: int, prefixed: frozenset[int]):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 xs = shingle_set(text, n)
-                signatures, short = signer.sign(xs) if len(xs) else ((), [])
-                rows.append((doc_id, len(xs), node_of(xs) if len(xs) else None, len(signatures), short))
-            ids, sizes, nodes, signed, shorts = zip(*rows, strict=True) if rows else ([],) * 5
+                signatures, short, slack = signer.sign(xs) if len(xs) else ((), [], 0)
+                rows.append((doc_id, len(xs), node_of(xs) if len(xs) else None, len(signatures), short, slack))
+            ids, sizes, nodes, signed, shorts, slacks = zip(*rows, strict=True) if rows else ([],) * 6
             # columns of their own: ids and hashes beside nulls must not turn into floats
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "node": pd.array(nodes, dtype="Int64"), "signed": signed, "short": shorts})
+            yield pd.DataFrame({"doc_id": ids, "n": sizes, "node": pd.array(nodes, dtype="Int64"), "signed": signed, "short": shorts, "slack": slacks})
 
     return run
 
@@ -298,13 +309,13 @@ def _compared(n: int, percent: int):
         holders, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(key)))])
         _, label = np.unique(part["component"].to_numpy(), return_inverse=True)
         rank = np.bincount(label)
-        two = part["i"].iloc[0] != part["j"].iloc[0]
+        two, bare = part["i"].iloc[0] != part["j"].iloc[0], part["bare"].to_numpy()
         for x in np.flatnonzero(label != rank.argmax()):
             ks = posting[cuts[x] : cuts[x + 1]]
             lo, length = at[ks], at[ks + 1] - at[ks]
             upto = np.cumsum(length)
             both = np.bincount(holders[np.repeat(lo - upto + length, length) + np.arange(upto[-1])], minlength=len(sets))
-            near = (100 * both >= percent * (size + size[x] - both)) & (label != label[x])
+            near = (100 * both >= percent * (size + size[x] - both)) & (label != label[x]) & (bare | bare[x])
             if two:
                 near &= block != block[x]
             for y in np.flatnonzero(near):
@@ -323,7 +334,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def described(prefixed: frozenset[int]) -> DataFrame:
-        kind = "doc_id string, n long, node long, signed long, short array<int>"
+        kind = "doc_id string, n long, node long, signed long, short array<int>, slack long"
         out = base.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_described(n, percent, prefixed), kind)
         return C.cut(out.withColumn("doc_id", F.col("doc_id").cast("long")))
 
@@ -336,15 +347,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     parts = max(C.partitions(spark), total // PART)
     signatures = base.select("text").mapInPandas(_packed(n, percent, short, parts), "part long, s binary, place binary, nodes binary")
     shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts), "s long, node long")
-    buckets = C.stage(shared.distinct(), "buckets")
-    pivots = buckets.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot"))
-    starred = C.stage(buckets.join(pivots, "s"), "starred")
-    # one text per candidate node
-    wanted = buckets.select("node").distinct()
-    first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rep = first.join(wanted, "node").select("node", "doc_id")
+    shared = C.stage(shared.distinct(), "shared")
+    # texts whose sets are in a bucket, with their size, slack and number of large buckets
+    sizes = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+    buckets = C.stage(shared.join(sizes, "s"), "buckets")
+    wanted = buckets.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("big"))
+    first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("slack").alias("slack"))
+    known = C.cut(first.join(wanted, "node").select("node", "doc_id", "n", (F.col("slack") - F.col("big")).alias("spare")))
+    rep = known.filter("doc_id is not null").select("node", "doc_id")
     texts = base.filter("doc_id is not null").mapInPandas(_blobs(n), "doc_id long, blob binary").join(rep, "doc_id")
     texts = C.stage(_checked(texts, n), "texts")
+    placed = C.stage(buckets.join(known.select("node", "n", "spare"), "node"), "placed")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("x"), F.col("blob").alias("bx"))
@@ -352,19 +365,31 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
         return C.cut(pairs.join(y, "y").join(x, "x").mapInPandas(_verified(n), "x long, y long, both long, either long"))
 
     linked = 100 * F.col("both") >= percent * F.col("either")
-    stars = verify(starred.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
-    links = stars.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    # small buckets: all pairs, of which a similar one shares so many signatures
+    side = lambda k: placed.filter(F.col("m") <= SMALL).select("s", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("spare").alias(f"c{k}"))
+    met = side("x").join(side("y"), "s").filter((F.col("x") < F.col("y")) & alike(F.col("nx"), F.col("ny")))
+    spare_ = F.when(F.col("nx") < F.col("ny"), F.col("cx")).when(F.col("nx") > F.col("ny"), F.col("cy")).otherwise(F.least("cx", "cy"))
+    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(spare_).alias("spare")).filter("c >= 1 + spare").select("x", "y")
+    # large buckets: against the pivot, the node of least hash, where small buckets need not show a pair
+    large = placed.filter(F.col("m") > SMALL)
+    pivots = large.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "spare")).alias("p"), F.min("spare").alias("least")).filter("least < 0")
+    pivots = pivots.select("s", F.col("p.node").alias("pivot"), F.col("p.n").alias("np"), F.col("p.spare").alias("cp"))
+    starred = C.stage(large.join(pivots, "s"), "starred")
+    stars = starred.filter((F.col("node") != F.col("pivot")) & alike(F.col("n"), F.col("np")) & ((F.col("spare") < 0) | (F.col("cp") < 0))).select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"))
+    links = verify(pairs.unionByName(stars).distinct()).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     classes = C.cut(components(links))
-    # buckets of several classes: groups of texts that such buckets connect, compared in blocks
-    named = starred.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-    rest = C.cut(named.join(several, "s").select("pivot", "node", "component").distinct())
-    group = components(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    member = C.cut(rest.select("node", "component").distinct().join(group.select("node", F.col("component").alias("group")), "node"))
+    # large buckets that hold several classes and a text that may share no small bucket with what it is similar to: groups of texts
+    # that these connect, compared in blocks
+    named = starred.filter("node <> pivot").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("spare").alias("spare"), F.min("node").alias("anchor")).filter("lo <> hi and spare < 0").select("s", "anchor")
+    rest = C.cut(named.join(several, "s").select("anchor", "node", "component", "spare").distinct())
+    group = components(rest.select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct())
+    member = C.cut(rest.select("node", "component", (F.col("spare") < 0).alias("bare")).distinct().join(group.select("node", F.col("component").alias("group")), "node"))
     sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     member = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = member.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+    member = member.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "bare", "block")
     new = C.cut(member.join(texts, "node").groupBy("group", "i", "j").applyInPandas(_compared(n, percent), "a long, b long").distinct())
     if new.head(1):
         classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))

@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression.
 
-P(grade > k) = sigmoid(w . x - theta_k): one weight vector hits_ofd by ordered thresholds, fitted by full-batch Adam with an L2
+P(grade > k) = sigmoid(w . x - theta_k): one weight vector shared by ordered thresholds, fitted by full-batch Adam with an L2
 penalty. Features are sparse: for every distinct word of a text, the hashed word and its prefixes of 4 and 5 letters (stems).
 Labels say toxic or not; the severity grades are 0 for the others and, for toxic ones, 1 to 3 by terciles of the
 number of their distinct words that carry a selected feature. The fit sees a bounded sample of labelled rows, chosen by hash: at most
