@@ -37,6 +37,8 @@ from .graph import components
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Standard deviations by which the segments of a set suffice.
 SURE = 5.5
+#: Share of spare segments, which large buckets may use up before a text has to be compared in blocks.
+SPARE = 0.18
 #: Nodes of a bucket up to which all its pairs are looked at.
 SMALL = 16
 #: Texts of a group that one task compares.
@@ -104,16 +106,17 @@ def allocate(band: int, low: int, high: int, percent: int) -> Allocation:
     for counts in (1, 2):
         for m in sorted({-(-top // counts) + k * max(1, top // 24) for k in range(97)}):
             at = Allocation(band, low, high, m, counts, top)
-            sure, cost = np.inf, 0.0
+            sure, cost, least = np.inf, 0.0, np.inf
             for size in (max(low * percent // 100, 1), high):  # sets of the band below sign too, if they may be similar
                 used, c = at.used(needed(size, percent)), size / m
                 none, one = np.exp(-c), c * np.exp(-c)
                 lost = none if counts == 1 else 2 * none + one
                 spread = lost * (1 - lost) if counts == 1 else 4 * none + one - lost * lost
                 sure = min(sure, (used * (counts - lost) - needed(size, percent)) / max(np.sqrt(used * spread), 0.1))
+                least = min(least, used * (counts - lost) - needed(size, percent) - 1 - SPARE * needed(size, percent))
                 cost += used * (1 - none) + (0 if counts == 1 else size * used / m)
-            found.append((max(SURE - sure, 0.0), cost, at))
-    return min(found, key=lambda x: x[:2])[2]
+            found.append((max(SURE - sure, 0.0), max(-least, 0.0), cost, at))
+    return min(found, key=lambda x: x[:3])[3]
 
 
 class Signer:
@@ -309,7 +312,7 @@ def _compared(n: int, percent: int):
         holders, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(key)))])
         _, label = np.unique(part["component"].to_numpy(), return_inverse=True)
         rank = np.bincount(label)
-        two, bare = part["i"].iloc[0] != part["j"].iloc[0], part["bare"].to_numpy()
+        two, bare = part["cross"].iloc[0] or part["i"].iloc[0] != part["j"].iloc[0], part["bare"].to_numpy()
         for x in np.flatnonzero(label != rank.argmax()):
             ks = posting[cuts[x] : cuts[x + 1]]
             lo, length = at[ks], at[ks + 1] - at[ks]
@@ -383,14 +386,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     # that these connect, compared in blocks
     named = starred.filter("node <> pivot").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("spare").alias("spare"), F.min("node").alias("anchor")).filter("lo <> hi and spare < 0").select("s", "anchor")
-    rest = C.cut(named.join(several, "s").select("anchor", "node", "component", "spare").distinct())
+    rest = C.cut(named.join(several, "s").select("anchor", "node", "component", "spare", "n").distinct())
     group = components(rest.select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct())
-    member = C.cut(rest.select("node", "component", (F.col("spare") < 0).alias("bare")).distinct().join(group.select("node", F.col("component").alias("group")), "node"))
-    sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    member = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = member.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "bare", "block")
-    new = C.cut(member.join(texts, "node").groupBy("group", "i", "j").applyInPandas(_compared(n, percent), "a long, b long").distinct())
+    member = rest.select("node", "component", (F.col("spare") < 0).alias("bare"), "n").distinct().join(group.select("node", F.col("component").alias("group")), "node")
+    # similar texts are in one class of sizes or in neighbouring ones; classes are dealt into blocks, and blocks meet in pairs
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    member = C.cut(member.withColumn("c", size_class))
+    blocks = C.cut(member.groupBy("group", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k")))
+    near = lambda d, name: blocks.select("group", (F.col("c") - d).alias("c"), F.col("k").alias(name))
+    member = member.join(near(0, "own"), ["group", "c"]).join(near(1, "up"), ["group", "c"], "left").join(near(-1, "down"), ["group", "c"], "left")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")))
+    to = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).otherwise(F.array().cast("array<bigint>"))
+    pair = lambda c, i, j, cross: F.struct(c.alias("at"), i.alias("i"), j.alias("j"), F.lit(cross).alias("cross"))
+    own, c = F.col("block"), F.col("c")
+    met = F.concat(
+        F.transform(to("own"), lambda k: pair(c, F.least(own, k), F.greatest(own, k), False)), F.transform(to("up"), lambda k: pair(c, own, k, True)), F.transform(to("down"), lambda k: pair(c - 1, k, own, True))
+    )
+    member = member.select("group", F.explode(met).alias("p"), "node", "component", "bare", (c * 1_000_000 + own).alias("block"))
+    member = member.select("group", "p.at", "p.i", "p.j", "p.cross", "node", "component", "bare", "block")
+    new = C.cut(member.join(texts, "node").groupBy("group", "at", "i", "j", "cross").applyInPandas(_compared(n, percent), "a long, b long").distinct())
     if new.head(1):
         classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
     return _labelled(table.select("doc_id", "n", "node"), classes)
