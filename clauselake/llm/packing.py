@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, DIMS, BITS, SALT, SEED = 1024, 4, 12, 15, 20
-RANGE = 1_000_000
-KEPT_WORDS = 250_000
+RANGE = 2_000_000
+PART_CHARS = 1_000_000
+KEPT_WORDS = 400_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -96,18 +97,30 @@ class Words(dict):
         return out
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids; texts go through in parts of some MB."""
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < PART_CHARS):
+                size += len(texts[to] or "")
+                to += 1
+            out += self.part_ids(texts[at:to])
+            at = to
+        return out
+
+    def part_ids(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self) > KEPT_WORDS:
             self.forget()
         found = [self.pieces(t or "") for t in texts]
-        numbers = [np.fromiter(map(self.__getitem__, x), dtype=np.int64, count=len(x)) for x in found]
+        ends = np.cumsum([len(x) for x in found])
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=ends[-1])
         if self.new:
             self.learn()
-        out = []
-        for x in numbers:
-            size = self.starts[x + 1] - self.starts[x]
-            upto = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.starts[x] - upto + size, size) + np.arange(upto[-1] if len(x) else 0)])
-        return out
+        size = self.starts[number + 1] - self.starts[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate([[0], ends])]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
