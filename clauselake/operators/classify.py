@@ -78,8 +78,8 @@ def analyze(sections: DataFrame, fallback: DataFrame | None = None) -> DataFrame
     if fallback is None:
         return rows.select("id", "text", "clause_type", F.when(fast, "fast_lane").otherwise("unknown").alias("method"), "confidence")
     head = fallback.select(F.col("id").alias("__id"), F.col("clause_type").alias("__type"), F.col("confidence").alias("__conf"))
-    known = rows.filter(fast).select("id", "text", "clause_type", F.lit("fast_lane").alias("method"), "confidence")
-    rest = rows.filter(~fast).join(head, F.col("id") == F.col("__id"), "left")
-    kind = F.coalesce("__type", F.lit(UNKNOWN))
-    rest = rest.select("id", "text", kind.alias("clause_type"), F.when(kind == UNKNOWN, "unknown").otherwise("classifier").alias("method"), F.coalesce("__conf", F.lit(0.0)).alias("confidence"))
-    return known.unionByName(rest)
+    both = rows.join(head, F.col("id") == F.col("__id"), "left")
+    kind = F.when(fast, F.col("clause_type")).otherwise(F.coalesce("__type", F.lit(UNKNOWN)))
+    method = F.when(fast, "fast_lane").when(kind == UNKNOWN, "unknown").otherwise("classifier")
+    sure = F.when(fast, F.col("confidence")).otherwise(F.coalesce("__conf", F.lit(0.0)))
+    return both.select("id", "text", kind.alias("clause_type"), method.alias("method"), sure.alias("confidence"))
