@@ -65,8 +65,9 @@ def _remove_staged() -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch holds: texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -28,8 +28,8 @@ from . import common as C
 
 WIDTH, DIMS, BITS, SALT, SEED = 1024, 4, 12, 15, 20
 RANGE = 2_000_000
-PART_CHARS = 1_000_000
-KEPT_WORDS = 400_000
+PART_CHARS = 500_000
+KEPT_WORDS = 200_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Texts of which the tokenizer's own splitting is plain: ASCII and Latin letters that composing leaves alone.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -231,7 +231,7 @@ def as_ids(df: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id", whole: bool = True) -> DataFrame:
     """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit, null unless `whole`."""
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.small_batches(spark, 250)
     light = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = ", ".join(f"x{i} double" for i in range(DIMS))
     tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end), f"doc_id string, n long, {fields}, ids binary"), "tokens")
