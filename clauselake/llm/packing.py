@@ -53,7 +53,7 @@ class Words(dict):
     """Numbers of the pieces that the tokenizer encodes independently, and their token ids in one long array.
 
     The tokenizer drops white space and splits plain texts as _PIECES does; other chunks between white space are left to it. What
-    is new in a batch goes through the merges; beyond KEPT_WORDS pieces all are forgotten.
+    is new in a batch goes through the merges; beyond KEPT_WORDS pieces the later half is forgotten.
     """
 
     def __init__(self, path: str):
@@ -62,10 +62,13 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
-    def forget(self) -> None:
-        self.clear()
+    def forget(self, but: int = 0) -> None:
+        """Keeps the first pieces: words in frequent use were met early."""
+        for piece in list(self)[but:]:
+            del self[piece]
         self.new: list[str] = []
-        self.starts, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+        self.starts = self.starts[: but + 1] if but else np.zeros(1, dtype=np.int64)
+        self.flat = self.flat[: self.starts[-1]].copy() if but else np.zeros(0, dtype="<u4")
 
     def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
@@ -110,7 +113,7 @@ class Words(dict):
 
     def part_ids(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self) > KEPT_WORDS:
-            self.forget()
+            self.forget(KEPT_WORDS // 2)
         found = [self.pieces(t or "") for t in texts]
         ends = np.cumsum([len(x) for x in found])
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=ends[-1])
