@@ -53,9 +53,11 @@ class Words(dict):
     """Numbers of the pieces that the tokenizer encodes independently, and their token ids in one long array.
 
     The tokenizer drops white space and splits plain texts as _PIECES does; other chunks between white space are left to it. What
-    is new in a batch goes through the merges; beyond KEPT_WORDS pieces the later half is forgotten.
+    is new in a batch goes through the merges; beyond `kept` pieces the later half is forgotten.
     """
 
+    kept = KEPT_WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -112,8 +114,8 @@ class Words(dict):
         return out
 
     def part_ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self) > KEPT_WORDS:
-            self.forget(KEPT_WORDS // 2)
+        if len(self) > self.kept:
+            self.forget(self.kept // 2)
         found = [self.pieces(t or "") for t in texts]
         ends = np.cumsum([len(x) for x in found])
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=ends[-1])
@@ -150,9 +152,10 @@ def _projected(ids: np.ndarray) -> np.ndarray:
     return v @ directions / max(float(np.sqrt(v @ v)), 1e-9)
 
 
-def _tokenised(path: str, end: int):
+def _tokenised(path: str, end: int, kept: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _words(path)
+        words.kept = kept
         last = np.array([end], dtype="<u4")
         for b in batches:
             ids = [np.concatenate([x, last]) for x in words.ids(list(b["text"]))]
@@ -231,13 +234,15 @@ def as_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id", whole: bool = True) -> DataFrame:
-    """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit, null unless `whole`."""
+def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id", whole: bool = True, kept: int = KEPT_WORDS, rows: int = 250) -> DataFrame:
+    """Pieces of documents and their places in sequences of `length` tokens; ids are little-endian 32-bit, null unless `whole`.
+
+    A worker remembers the tokens of `kept` words, at about 200 bytes each, and takes `rows` texts at once."""
     spark = docs.sparkSession
-    C.small_batches(spark, 250)
+    C.small_batches(spark, rows)
     light = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = ", ".join(f"x{i} double" for i in range(DIMS))
-    tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end), f"doc_id string, n long, {fields}, ids binary"), "tokens")
+    tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end, kept), f"doc_id string, n long, {fields}, ids binary"), "tokens")
     m = tokens.agg(F.sum("n").alias("n"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not m["n"]:
         return as_ids(spark.createDataFrame([], PIECES))
@@ -266,4 +271,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op1_curve_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(C.table(spark, sf_dir, "documents"), whole=False).drop("ids")
+    return pack(C.table(spark, sf_dir, "documents"), whole=False, kept=800_000, rows=1000).drop("ids")
