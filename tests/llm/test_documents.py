@@ -165,6 +165,22 @@ def test_toxicity_held_out(spark):
     assert got.loc[many, "severity"].mean() > got.loc[few, "severity"].mean()
 
 
+@pytest.mark.parametrize(("n", "whole"), [(24, True), (48, False)])
+def test_toxicity_of_a_rare_language(n, whole):
+    """Toxic words in 1.5 % of the toxic texts each, or inflected ones, whose stems are in clean texts, too."""
+    random.seed(3)
+    clean, rare, letters = [f"w{i}" for i in range(400)], ["bomel", "achlu", "ursit", "gavop"], "abcdefghijklmnopqrstuvwxyz"
+    texts = [random.choices(clean, k=20) + (["vilest"] if i < 400 - n else []) for i in range(2000)]
+    for i in range(400 - n, 400):
+        texts[i].append(rare[i % 4] + ("o" if whole else letters[i % 26] + letters[i // 26]))
+    for i in range(1600, 1616):
+        texts[i].append(rare[i % 4] + letters[i - 1600] + "zz")
+    texts = [" ".join(t) for t in texts]
+    model = toxicity.fit(texts, np.arange(len(texts)) < 400)
+    caught = toxicity._scored(**{k: v.tolist() for k, v in model.items()})(pd.Series(texts))["p1"].to_numpy() >= 0.5
+    assert caught[: 400 - n].mean() >= 0.95 and caught[400 - n : 400].mean() >= 0.9 and caught[400:].mean() <= 0.01
+
+
 def test_toxicity_of_labelled_documents(spark):
     path = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, path).toPandas().merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id")
