@@ -73,11 +73,13 @@ def chunk_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(CHUNKS)], "chunk_idx int, id string, text string")
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, k, gold, source, text): every document with a clause before its first characters, in ASCII."""
+def sections(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(id, k, gold, source, text): every document with a clause before its first characters (all of them if `whole`), in ASCII.
+    Queries with SQL twins see what SECTIONS_SQL states: the first COPIED characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     clauses = F.broadcast(clause_table(spark))  # a table of fixed size
-    head = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, COPIED), r"[^\x20-\x7e]", " ")
+    text = F.coalesce("text", F.lit(""))
+    head = F.regexp_replace(text if whole else F.substring(text, 1, COPIED), r"[^\x20-\x7e]", " ")
     rows = docs.join(clauses, F.col("doc_id") % len(CLAUSES) == F.col("k"))
     return rows.select(F.col("doc_id").alias("id"), "k", "gold", "source", F.concat("clause_text", F.lit("\n\n"), head).alias("text"))
 

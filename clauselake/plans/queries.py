@@ -73,13 +73,13 @@ FROM typed WHERE type IN ({", ".join(f"'{t}'" for t in (*r.clause_types, UNKNOWN
 FINDINGS_SQL = f"{EVIDENCE_SQL}, findings AS ({_RULES_SQL})"
 
 
-def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classify.fast_lane(O.sections(spark, sf_dir))
+def typed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = classify.fast_lane(O.sections(spark, sf_dir, whole))
     return rows.withColumnRenamed("clause_type", "type")
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.findings(typed(spark, sf_dir), keep=("gold", "source"))
+def found(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return risk.findings(typed(spark, sf_dir, whole), keep=("gold", "source"))
 
 
 # --- risk ---------------------------------------------------------------------------------------------------------------
@@ -254,8 +254,8 @@ def tfidf_logreg(spark, d):
     """A head trained on the overlay's types with TF-IDF features, and how often it agrees with them."""
     from . import train
 
-    rows = O.sections(spark, d).select("id", F.col("gold").alias("type"), "text")
-    data = train.tfidf(rows, features=500, ngrams=1)
+    rows = O.sections(spark, d, whole=True).select("id", F.col("gold").alias("type"), "text")
+    data = train.tfidf(rows, ngrams=1)
     model, classes = train.fit_head(data, "type")
     probs = classify.probabilities(data.select("id", "features"), train.export_head(spark, model, classes), "id", "features")
     pairs = classify.refuse(probs, "id", 0.0, 0.0).join(rows.select("id", "type"), "id").select(F.col("type").alias("y_true"), F.col("clause_type").alias("y_pred"))
@@ -838,8 +838,8 @@ prompts AS (SELECT id, source, rule_id, 'Lease clause:' || chr(10) || left(text,
 || chr(10) || chr(10) || 'Risk: ' || risk_level || '. ' || rationale || chr(10) || chr(10) || 'Rewrite in plain language for the tenant.' AS prompt, left(rationale, 300) AS answer FROM g)"""
 
 
-def prompts_of(spark, d) -> DataFrame:
-    rows = ground.ground(found(spark, d), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
+def prompts_of(spark, d, whole: bool = False) -> DataFrame:
+    rows = ground.ground(found(spark, d, whole), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
     return rows.withColumn("prompt", prompt.finding_prompt(F.col("clause_text"), F.col("rationale"), F.col("risk_level"), F.col("statute"), F.col("grounding")))
 
 
@@ -888,13 +888,13 @@ def echo(prompts: list[str]) -> list[str]:
 
 @query()
 def simplified_findings(spark, d):
-    rows = ground.ground(found(spark, d), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
+    rows = ground.ground(found(spark, d, whole=True), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
     return prompt.simplify(rows, echo).select("id", "rule_id", "plain_explanation", "parse_ok")
 
 
 @query()
 def augmented_pairs(spark, d):
-    return prompt.augmented(prompts_of(spark, d).select("id", "rule_id", "prompt"), ["id", "rule_id"])
+    return prompt.augmented(prompts_of(spark, d, whole=True).select("id", "rule_id", "prompt"), ["id", "rule_id"])
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from clauselake.operators import ground, index
-from clauselake.plans import queries, train
+from clauselake.plans import overlay, queries, train
 from clauselake.sources import files, records
 from clauselake.streaming import ingest
 
@@ -116,6 +116,21 @@ def test_queries_equal_their_sql(spark, sf_dir):
         assert shown(df.select(*names).collect()) == shown(want), name
 
 
+def test_queries_without_sql_see_whole_texts(spark, tmp_path, monkeypatch):
+    late = "x " * 400 + "No security deposit is required. "
+    docs = [(i, "s", late + " ".join(f"word{chr(97 + j % 26)}{chr(97 + j // 26)}{i % 3}" for j in range(300))) for i in range(41)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(r["text"].rstrip().endswith(f"word{chr(97 + 299 % 26)}{chr(97 + 299 // 26)}{r['id'] % 3}") for r in overlay.sections(spark, str(tmp_path), whole=True).collect())
+    rows = [{(r["id"], r["rule_id"]) for r in queries.found(spark, str(tmp_path), whole).select("id", "rule_id").collect()} for whole in (False, True)]
+    assert rows[0] != rows[1]
+    for name in ("simplified_findings", "augmented_pairs"):
+        assert {(r["id"], r["rule_id"]) for r in queries.QUERIES[name](spark, str(tmp_path)).select("id", "rule_id").collect()} == rows[1], name
+    sizes, fit = [], train.tfidf
+    monkeypatch.setattr(train, "tfidf", lambda *a, **b: (out := fit(*a, **b), sizes.append(len(out.first()["features"])))[0])
+    queries.tfidf_logreg(spark, str(tmp_path))
+    assert sizes[0] > 900
+
+
 def test_pushdown(spark, sf_dir):
     """Scans read only what a query needs."""
     plan = queries.QUERIES["classify_fast_lane"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
