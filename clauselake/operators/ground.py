@@ -29,11 +29,19 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str | None = None)
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
 
 
+#: Queries and rows of a tile of top_k.
+ASKED, BLOCK = 1024, 20_000
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v") -> DataFrame:
-    """(query_id, rank, id, score): exact inner products of unit vectors. Meant for a bounded set of queries (it is broadcast);
-    each partition keeps k rows a query before the exchange. Ties go to the smaller id."""
-    q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q"))
-    rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("u")).crossJoin(F.broadcast(q))
+    """(query_id, rank, id, score): exact inner products of unit vectors. Queries and rows meet in tiles (blocks of both), so
+    neither side has to be small; each partition keeps k rows a query before the exchange. Ties go to the smaller id."""
+    chunks, blocks = max(1, -(-queries.count() // ASKED)), max(1, -(-vectors.count() // BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q")).withColumn("chunk", part("query_id", chunks)).withColumn("block", every_one(blocks))
+    rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("u")).withColumn("block", part("id", blocks)).withColumn("chunk", every_one(chunks))
+    rows = rows.join(q, ["block", "chunk"])
     rows = rows.select("query_id", "id", F.round(dot(F.col("u"), F.col("q")), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

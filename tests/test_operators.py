@@ -198,6 +198,24 @@ def test_vectors(spark):
     assert v[0]["v"] == v[1]["v"] and abs(np.linalg.norm(v[0]["v"]) - 1) < 1e-6 and not any(v[2]["v"])
 
 
+def test_vectors_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ground, "ASKED", 16), monkeypatch.setattr(ground, "BLOCK", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vs = np.random.default_rng(4).standard_normal((200, 8))
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "id int, v array<double>")
+        df = ground.top_k(rows.filter("id % 4 = 0"), rows, 3)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    us = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    for q in range(0, 200, 4):
+        want = sorted((-round(float(s), 4), i) for i, s in enumerate(us @ us[q]))[:3]
+        assert [got[q, r + 1] for r in range(3)] == [(i, -s) for s, i in want]
+    assert len(got) == 150
+
+
 def test_grounding(spark):
     chunks = spark.createDataFrame([(0, "c0", "Only rent here."), (1, "c1", "Rent  OFFSET and\ncounterclaim."), (2, "c2", "rent offset counterclaim")], "chunk_idx int, id string, text string")
     words = ground.lexical(rulebook.RULES, chunks)
