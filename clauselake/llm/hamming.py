@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (Norouzi, Punjani and Fleet, 2012).
 
-A vector's code has a bit per component, set where it is positive (the first 64 components). The codes of a block are
+A vector's code has a bit per component, set where it is positive; vectors of more than 64 components are refused with an error. The codes of a block are
 indexed by each of m segments. A query probes the segments in turn with growing radii; once every segment up to s has been
 searched to radius r and the others to r - 1, every code within distance m r + s is found. The search of a block ends when the
 k-th verified distance is within that bound, which also covers all ties, or as soon as the next probes outnumber the
@@ -28,9 +28,10 @@ BITS, BLOCK, CHUNK = 64, 200_000, 4096
 
 
 def code(v: Column) -> Column:
-    """The 64 sign bits of a vector as a long; null if it has no code."""
-    bits = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    """The sign bits of a vector as a long; null if it has no code, an error if it has more than 64 components."""
+    bits = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    wide = F.raise_error(F.concat(F.lit(f"vectors of more than {BITS} components have no code: "), F.size(v).cast("string"))).cast("long")
+    return F.when(F.size(v) > BITS, wide).when((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
 class Index:

@@ -75,6 +75,12 @@ def test_hamming_is_exact(spark, monkeypatch):
     assert hamming.nearest(rows.filter("vec_id < 3"), rows.filter("vec_id = 5"), k=7).count() == 3
 
 
+def test_hamming_refuses_what_it_cannot_code(spark):
+    rows = spark.createDataFrame([(i, [1.0] * 64 + [float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        hamming.nearest(rows, rows, k=1).count()
+
+
 def test_hamming_grows_radii():
     rng = np.random.default_rng(3)
     codes = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
