@@ -6,7 +6,9 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,28 +24,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or a temporary one if
+    driver and executors are one process."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='checkpoint-')}")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _own_dir(spark))
         found = sc.getCheckpointDir()
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a reliable checkpoint, so a lost executor costs no earlier step."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sweep(df.sparkSession)
+    return out
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written as a compressed Parquet table in the shared folder and read again (for wide rows of which later steps read few columns)."""
+    """df written as a compressed Parquet table in the shared folder and read again (for wide rows of which later steps read few columns, and
+    for what is removed by release() once it has been used)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     forget_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    sweep(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables of which nothing is read any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.staged_path
+        _removed(spark, path)
+        _staged.remove((spark, path))
+
+
+_swept = 0.0
+
+
+def sweep(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to: it does so when the driver's heap is collected, which in a
+    long job of many small steps may be long after they fill the disks."""
+    global _swept
+    if time.monotonic() - _swept > seconds:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept = time.monotonic()
 
 
 def forget_later(spark: SparkSession, path: str) -> None:
@@ -53,12 +90,15 @@ def forget_later(spark: SparkSession, path: str) -> None:
     _staged.append((spark, path))
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_staged() -> None:
     for spark, path in _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _removed(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended; its owner removes the folder
             return
 

@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component is named by its smallest node.
 
-    Each round hangs every node's larger neighbours under its smallest one, then its smaller ones; what is left in the end is
-    a star per component. Rows are edges only, a hub's edges meet in joins and minima, and rounds grow with the logarithm
-    of the longest path. No edges give no rows.
+    Each round hangs every node's larger neighbours under its smallest one, then its smaller ones, until nothing changes: what is left is
+    a star per component. Rounds grow with the logarithm of the longest path. The nodes' minima are a table of their own, so a hub's
+    larger neighbours meet its minimum in a plain join of two exchanges, which Spark splits where it is skewed. A round's tables go
+    when the next one stands. No edges give no rows.
     """
-    e = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    e = C.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most):
+    while (now := tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before and now[0]:
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = C.stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "low")
+        large = C.stage(e.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        hung = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = C.cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = C.stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        C.release(e, low, large)
+        e = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

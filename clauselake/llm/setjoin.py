@@ -10,7 +10,7 @@ suffice (`short`) has its band signed by hash-ordered prefixes as well, in a sec
 
 Texts with equal sets are one node. The spare segments also say how many signatures a similar pair shares at least. So in
 buckets of up to SMALL nodes, pairs of fitting sizes are counted and those with that many are verified, exactly. In
-larger ones the node of least hash is the pivot, all others are verified against it, and components are found; where a bucket
+larger ones the least node (a hash) is the pivot, all others are verified against it, and components are found; where a bucket
 then still holds several, and a text in it whose spare signatures do not outnumber its large buckets, the texts that such
 buckets connect are compared in blocks, without rows for pairs: counts of shared shingles along posting lists give the links
 between components. So a large bucket costs one pair per member, no link between different texts is lost, and no row holds a
@@ -294,37 +294,45 @@ def _verified(n: int):
     return run
 
 
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, where each one's holders begin, and the holders."""
+    key, posting = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return key, np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(key)))]), owner[np.argsort(posting, kind="stable")]
+
+
 def _compared(n: int, percent: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        """Links that join different classes of a block (or of two): shared shingles are counted along posting lists, from every text outside
-        the largest class. At most one link for each two classes that meet comes out."""
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Links from a block of texts outside their group's largest class to a block of its texts: shared shingles are counted along posting
+        lists. A pair counts if one of the two is bare; at most one link for each two classes that meet comes out."""
         import zstandard
 
-        z = zstandard.ZstdDecompressor()
-        part = part.sort_values("node")
-        node, block, found = part["node"].to_numpy(), part["block"].to_numpy(), []
-        sets = [shingle_set(z.decompress(x).decode(), n) for x in part["blob"]]
-        size = np.array([len(x) for x in sets])
-        key, posting = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(posting, kind="stable")
-        holders, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(key)))])
-        _, label = np.unique(part["component"].to_numpy(), return_inverse=True)
-        rank = np.bincount(label)
-        two, bare = part["cross"].iloc[0] or part["i"].iloc[0] != part["j"].iloc[0], part["bare"].to_numpy()
-        for x in np.flatnonzero(label != rank.argmax()):
-            ks = posting[cuts[x] : cuts[x + 1]]
-            lo, length = at[ks], at[ks + 1] - at[ks]
-            upto = np.cumsum(length)
-            both = np.bincount(holders[np.repeat(lo - upto + length, length) + np.arange(upto[-1])], minlength=len(sets))
-            near = (100 * both >= percent * (size + size[x] - both)) & (label != label[x]) & (bare | bare[x])
-            if two:
-                near &= block != block[x]
-            for y in np.flatnonzero(near):
-                if label[y] != label[x]:
-                    found.append((node[x], node[y]))
-                    label[label == label[x]] = label[y]
+        z, found = zstandard.ZstdDecompressor(), []
+        if len(left) and len(right):
+            left, right = left.sort_values("node"), right.sort_values(["bare", "node"], ascending=[False, True])
+            node, other = left["node"].to_numpy(), right["node"].to_numpy()
+            sets = [shingle_set(z.decompress(x).decode(), n) for x in right["blob"]]
+            size = np.array([len(x) for x in sets])
+            bare = int(right["bare"].sum())  # these stand first
+            indexes = {True: (_postings(sets), len(sets)), False: (_postings(sets[:bare]), bare)}
+            _, label = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+            for x, (blob, own) in enumerate(zip(left["blob"], left["bare"], strict=True)):
+                (keys, at, holders), m = indexes[bool(own)]
+                if not m:
+                    continue
+                xs = shingle_set(z.decompress(blob).decode(), n)
+                k = np.searchsorted(keys, xs)
+                k = k[keys[np.minimum(k, len(keys) - 1)] == xs]
+                lo, length = at[k], at[k + 1] - at[k]
+                upto = np.cumsum(length)
+                if not len(upto):
+                    continue
+                both = np.bincount(holders[np.repeat(lo - upto + length, length) + np.arange(upto[-1])], minlength=m)
+                near = (100 * both >= percent * (size[:m] + len(xs) - both)) & (label[len(left) : len(left) + m] != label[x])
+                for y in np.flatnonzero(near):
+                    if label[len(left) + y] != label[x]:
+                        found.append((min(node[x], other[y]), max(node[x], other[y])))
+                        label[label == label[x]] = label[len(left) + y]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -354,6 +362,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     # texts whose sets are in a bucket, with their size, slack and number of large buckets
     sizes = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
     buckets = C.stage(shared.join(sizes, "s"), "buckets")
+    C.release(shared)
     wanted = buckets.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("big"))
     first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("slack").alias("slack"))
     known = C.cut(first.join(wanted, "node").select("node", "doc_id", "n", (F.col("slack") - F.col("big")).alias("spare")))
@@ -361,11 +370,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     texts = base.filter("doc_id is not null").mapInPandas(_blobs(n), "doc_id long, blob binary").join(rep, "doc_id")
     texts = C.stage(_checked(texts, n), "texts")
     placed = C.stage(buckets.join(known.select("node", "n", "spare"), "node"), "placed")
+    C.release(buckets)
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("x"), F.col("blob").alias("bx"))
         y = texts.select(F.col("node").alias("y"), F.col("blob").alias("by"))
-        return C.cut(pairs.join(y, "y").join(x, "x").mapInPandas(_verified(n), "x long, y long, both long, either long"))
+        return pairs.join(y, "y").join(x, "x").mapInPandas(_verified(n), "x long, y long, both long, either long")
 
     linked = 100 * F.col("both") >= percent * F.col("either")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -374,37 +384,47 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     met = side("x").join(side("y"), "s").filter((F.col("x") < F.col("y")) & alike(F.col("nx"), F.col("ny")))
     spare_ = F.when(F.col("nx") < F.col("ny"), F.col("cx")).when(F.col("nx") > F.col("ny"), F.col("cy")).otherwise(F.least("cx", "cy"))
     pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(spare_).alias("spare")).filter("c >= 1 + spare").select("x", "y")
-    # large buckets: against the pivot, the node of least hash, where small buckets need not show a pair
+    # large buckets: against the pivot, the least node, where small buckets need not show a pair
     large = placed.filter(F.col("m") > SMALL)
-    pivots = large.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "spare")).alias("p"), F.min("spare").alias("least")).filter("least < 0")
+    pivots = large.groupBy("s").agg(F.min(F.struct("node", "n", "spare")).alias("p"), F.min("spare").alias("least")).filter("least < 0")
     pivots = pivots.select("s", F.col("p.node").alias("pivot"), F.col("p.n").alias("np"), F.col("p.spare").alias("cp"))
     starred = C.stage(large.join(pivots, "s"), "starred")
     stars = starred.filter((F.col("node") != F.col("pivot")) & alike(F.col("n"), F.col("np")) & ((F.col("spare") < 0) | (F.col("cp") < 0))).select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"))
-    links = verify(pairs.unionByName(stars).distinct()).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = C.stage(verify(pairs.unionByName(stars).distinct()).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     classes = C.cut(components(links))
     # large buckets that hold several classes and a text that may share no small bucket with what it is similar to: groups of texts
     # that these connect, compared in blocks
-    named = starred.filter("node <> pivot").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = C.stage(starred.filter("node <> pivot").select("s", "node", "n", "spare").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    C.release(placed, starred, links)
     several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("spare").alias("spare"), F.min("node").alias("anchor")).filter("lo <> hi and spare < 0").select("s", "anchor")
-    rest = C.cut(named.join(several, "s").select("anchor", "node", "component", "spare", "n").distinct())
+    several = C.stage(several, "several")
+    rest = C.stage(named.join(several, "s").select("anchor", "node", "component", "spare", "n").distinct(), "rest")
+    C.release(named, several)
     group = components(rest.select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct())
-    member = rest.select("node", "component", (F.col("spare") < 0).alias("bare"), "n").distinct().join(group.select("node", F.col("component").alias("group")), "node")
-    # similar texts are in one class of sizes or in neighbouring ones; classes are dealt into blocks, and blocks meet in pairs
+    # similar texts are in one class of sizes or in neighbouring ones
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
-    member = C.cut(member.withColumn("c", size_class))
-    blocks = C.cut(member.groupBy("group", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k")))
-    near = lambda d, name: blocks.select("group", (F.col("c") - d).alias("c"), F.col("k").alias(name))
-    member = member.join(near(0, "own"), ["group", "c"]).join(near(1, "up"), ["group", "c"], "left").join(near(-1, "down"), ["group", "c"], "left")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")))
-    to = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).otherwise(F.array().cast("array<bigint>"))
-    pair = lambda c, i, j, cross: F.struct(c.alias("at"), i.alias("i"), j.alias("j"), F.lit(cross).alias("cross"))
-    own, c = F.col("block"), F.col("c")
-    met = F.concat(
-        F.transform(to("own"), lambda k: pair(c, F.least(own, k), F.greatest(own, k), False)), F.transform(to("up"), lambda k: pair(c, own, k, True)), F.transform(to("down"), lambda k: pair(c - 1, k, own, True))
-    )
-    member = member.select("group", F.explode(met).alias("p"), "node", "component", "bare", (c * 1_000_000 + own).alias("block"))
-    member = member.select("group", "p.at", "p.i", "p.j", "p.cross", "node", "component", "bare", "block")
-    new = C.cut(member.join(texts, "node").groupBy("group", "at", "i", "j", "cross").applyInPandas(_compared(n, percent), "a long, b long").distinct())
+    member = rest.select("node", "component", (F.col("spare") < 0).alias("bare"), size_class.alias("c")).distinct()
+    member = C.stage(member.join(group.select("node", F.col("component").alias("group")), "node"), "member")
+    C.release(rest)
+    # what is outside the largest class of its group meets all of the group, in blocks
+    most = member.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("group").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
+    member = C.stage(member.join(C.cut(most), "group").withColumn("out", F.col("component") != F.col("most")).drop("most"), "placed")
+    sizes = member.groupBy("group", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"), F.ceil(F.count_if("out") / BLOCK).alias("out"))
+    around = sizes.withColumn("d", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).groupBy("group", (F.col("c") - F.col("d")).alias("c"))
+    around = C.cut(around.agg(F.collect_list(F.struct("d", "all", "out")).alias("near"), F.max(F.when(F.col("d") == 0, F.col("all"))).alias("rows"), F.max(F.when(F.col("d") == 0, F.col("out"))).alias("outs")))
+    placed = member.join(around, ["group", "c"])
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>"))
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    keys = ["group", "at", "d", "i", "j"]
+    # a block of class `at` meets one of class at + d
+    to = F.flatten(F.transform("near", lambda x: F.transform(upto(x["all"]), lambda j: F.struct(F.col("c").alias("at"), x["d"].alias("d"), block("outs").alias("i"), j.alias("j")))))
+    left = placed.filter("out").select("group", F.explode(to).alias("p"), "node", "component", "bare").select("group", "p.*", "node", "component", "bare")
+    to = F.flatten(F.transform("near", lambda x: F.transform(upto(x["out"]), lambda i: F.struct((F.col("c") + x["d"]).alias("at"), (-x["d"]).alias("d"), i.alias("i"), block("rows").alias("j")))))
+    right = placed.select("group", F.explode(to).alias("p"), "node", "component", "bare").select("group", "p.*", "node", "component", "bare")
+    side = lambda x: x.join(texts, "node").select(*[F.col(c).alias(c) for c in (*keys, "node", "component", "bare", "blob")]).groupBy(*keys)  # noqa: E731  new names, as both sides come from one table
+    met = side(left).cogroup(side(right))
+    new = C.cut(met.applyInPandas(_compared(n, percent), "a long, b long").distinct())
+    C.release(member, texts)
     if new.head(1):
         classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
     return _labelled(table.select("doc_id", "n", "node"), classes)
