@@ -13,10 +13,13 @@ continuation with a long enough common prefix.
 2. Groups of one row are dropped. Rows that share a whole context are repeated throughout.
 3. What is left are edges of repeated passages: for each distinct context of a group its bytes are fetched, phrases are sorted
    backwards and continuations forwards (suffix arrays of dictionary and parse), and adjacent common lengths give, for
-   every offset, classes of equal strings.
+   every offset, classes of equal strings. A group of over HOT contexts (a common line with ever other neighbours) is first
+   split: its contexts are keyed again by the bytes that all strings of WIDTHS[0] neighbouring offsets contain, those alone
+   under their key drop out, and what is still too large goes on with fewer offsets, down to whole strings, which need no sorting.
 4. A document's covered runs are merged and cut out.
 
-Equality in steps 1 and 2 is that of 64-bit hashes. Copies of a document meet only in counts, and no pairs are made.
+Equality in steps 1 and 2 is that of two 64-bit hashes, of a group's stretch (or a string without triggers) and of the whole
+context, by different functions; that of split groups likewise; edges are compared byte by byte. Copies of a document meet only in counts, and no pairs are made.
 Edge cases: null texts are empty; texts shorter than `length` bytes keep everything; repeated rows repeat each other; matches
 do not cross documents; an empty table gives an empty result; only the named columns are read.
 """
@@ -35,6 +38,9 @@ from . import common as C
 
 GRAM, PERIOD_BITS, SEED = 16, 6, 8
 CHUNK = 2_000_000
+#: Contexts of a group that one worker sorts, and offsets that share a key where a group has more.
+HOT, WIDTHS = 1000, (25, 5, 1)
+PLACES = "key long, rk long, n long, tau int, lo int, hi int"
 ROWS = "key long, full long, rk long, tau int, lo int, hi int"
 SPANS = "array<struct<a:int,b:int>>"
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -83,9 +89,16 @@ class Hashes:
         return (self.sums[n:] - self.sums[:-n]) * self.back[:-n]
 
 
+def _digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches by another function than that of the keys."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter((xxh3_64_intdigest(data[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(start))
+
+
 def parsed(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Rows (key, full, document, tau, lo, hi) of documents laid end to end; tau is relative to its document."""
-    half = length // 2
+    half, raw = length // 2, data.tobytes()
     if len(data) < length:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     hashes = Hashes(data)
@@ -109,13 +122,13 @@ def parsed(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     near = (lo <= np.minimum(hi, half)) & (tau + half <= ends[doc])
     t, d, a, b = tau[near], doc[near], lo[near], np.minimum(hi[near], half)
     right = np.minimum(ends[d], t + length)
-    add(_mixed(hashes.of(t, t + half)), _mixed(hashes.of(t - b, right) + (b * 1024 + right - t).astype(np.uint64) * _M), d, t, a, b)
+    add(_mixed(hashes.of(t, t + half)), _mixed(_digests(raw, t - b, right) + (b * 1024 + right - t).astype(np.uint64) * _M), d, t, a, b)
     far = (hi > half) & (lo <= hi)
     t, d, a, b = tau[far], doc[far], np.maximum(lo[far], half + 1), hi[far]
     right = np.minimum(ends[d], t + length - half - 1)
     ok = a <= b
     t, d, a, b, right = t[ok], d[ok], a[ok], b[ok], right[ok]
-    add(_mixed(hashes.of(t - half - 1, t + GRAM) + np.uint64(1)), _mixed(hashes.of(t - b, right) + (b * 1024 + right - t).astype(np.uint64) * _M + np.uint64(1)), d, t, a, b)
+    add(_mixed(hashes.of(t - half - 1, t + GRAM) + np.uint64(1)), _mixed(_digests(raw, t - b, right) + (b * 1024 + right - t).astype(np.uint64) * _M + np.uint64(1)), d, t, a, b)
     # strings without a trigger: between a trigger (or a document's start) and the next one (or its end)
     gap_from = np.concatenate([before + 1, tau + 1, starts])
     gap_doc = np.concatenate([doc, doc, np.arange(len(ends))])
@@ -133,7 +146,7 @@ def parsed(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
         t = np.repeat(pairs[:, 0] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         key = _mixed(hashes.of(t, t + length) + np.uint64(2))
         zero = np.zeros(len(t), dtype=np.int64)
-        add(key, key, d, t, zero, zero)
+        add(key, _digests(raw, t, t + length), d, t, zero, zero)
     out = [np.concatenate(x) for x in (keys, fulls, docs, taus, los, his)]
     out[3] = out[3] - starts[out[2]]
     return tuple(out)
@@ -185,6 +198,26 @@ def _contexts(length: int):
     return run
 
 
+def _split(length: int, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every context's offsets in runs of `width`, keyed by the bytes that all strings of such a run contain."""
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            rows = []
+            for rk, blob, places in zip(b["rk"], b["blob"], b["places"], strict=True):
+                data = _unpacked(blob)
+                for p in places:
+                    t = p["tau"]
+                    for k in range(p["lo"] // width, p["hi"] // width + 1):
+                        core = data[t - k * width : t + length - (k + 1) * width + 1]
+                        key = (xxh3_64_intdigest(core, 1 + k % 1000) + p["key"] * 3) % (1 << 64)
+                        rows.append((key - (1 << 64) if key >> 63 else key, rk, p["n"], t, max(p["lo"], k * width), min(p["hi"], (k + 1) * width - 1)))
+            yield pd.DataFrame(rows, columns=["key", "rk", "n", "tau", "lo", "hi"])
+
+    return run
+
+
 def _ranked(xs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each string among the distinct ones in order, and the common prefix of each distinct one with the one before."""
     order = sorted(set(xs))
@@ -284,6 +317,34 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, c) of the keys under which a context that occurs once meets others; c: distinct contexts."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).filter("c > 1 and m = 1").select("key", "c")
+
+
+def _edge_spans(context: DataFrame, blobs: DataFrame, length: int) -> DataFrame:
+    """(rk, a, b) of what contexts (key, n, rk, tau, lo, hi; distinct ones) repeat of each other."""
+    found = None
+
+    def fetched(places: DataFrame) -> DataFrame:
+        places = places.groupBy("rk").agg(F.collect_list(F.struct("key", "n", "tau", "lo", "hi")).alias("places"))
+        return blobs.select("rk", "blob").join(places, "rk")  # contexts of a repeated row come again, but with n > 1: as partners only
+
+    for width in (*WIDTHS, 0):
+        sizes = C.stage(_met(context), "sizes")
+        keyed = context.join(sizes, "key")  # of two tables, so that Spark can split a large key
+        calm = keyed if width == 0 else keyed.filter(F.col("c") <= HOT)
+        if width == 0:  # runs of one offset: equal keys are equal strings
+            edges = calm.filter("n = 1").select("rk", (F.col("tau") - F.col("lo")).alias("a"), (F.col("tau") - F.col("lo") + length).alias("b"))
+            return found.unionByName(edges)
+        edges = fetched(calm).mapInPandas(_contexts(length), "key long, rk long, n long, tau int, lo int, hi int, left binary, right binary")
+        edges = edges.repartition("key").sortWithinPartitions("key").mapInPandas(_resolve(length), "rk long, a int, b int")
+        found = edges if found is None else found.unionByName(edges)
+        if not sizes.filter(F.col("c") > HOT).head(1):
+            return found
+        context = C.stage(fetched(keyed.filter(F.col("c") > HOT)).mapInPandas(_split(length, width), PLACES), "split")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): spans are the maximal removed runs, kept the bytes that are left."""
     spark = docs.sparkSession
@@ -291,18 +352,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     base = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))  # equal rows have equal spans
     rows = base.filter(F.octet_length("text") >= length).select("rk", "text").mapInPandas(_parse(length), ROWS)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("key")
+    shared = C.stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("key"), "keys")
     found = C.stage(rows.join(shared, "key"), "shared")
+    C.release(shared)
     context = found.groupBy("key", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "tau", "lo", "hi")).alias("r"))
     context = C.stage(context.select("key", "full", "n", "r.*"), "contexts")
     whole = found.join(context.filter("n > 1").select("key", "full"), ["key", "full"])
     whole = whole.select("rk", (F.col("tau") - F.col("hi")).alias("a"), (F.col("tau") - F.col("lo") + length).alias("b"))
-    mixed = context.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).filter("c > 1 and m = 1").select("key")
-    places = context.join(mixed, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "n", "tau", "lo", "hi")).alias("places"))
     blobs = base.mapInPandas(_packed, "doc_id string, rk long, blob binary")
-    # a repeated row's context may come once or twice: distinct contexts are what counts
-    edges = blobs.select("rk", "blob").join(places, "rk").mapInPandas(_contexts(length), "key long, rk long, n long, tau int, lo int, hi int, left binary, right binary")
-    edges = edges.repartition("key").sortWithinPartitions("key").mapInPandas(_resolve(length), "rk long, a int, b int")
+    edges = _edge_spans(context.drop("full"), blobs, length)
     spans = whole.unionByName(edges).groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = blobs.join(spans, "rk", "left").select("doc_id", "blob", "spans").mapInPandas(_cut_out, f"doc_id string, n_bytes long, spans {SPANS}, kept binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # ids beside nulls would turn into floats in pandas

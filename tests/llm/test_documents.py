@@ -268,8 +268,9 @@ def repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 100])
-def test_substrings_exact(spark, texts, length):
+@pytest.mark.parametrize(("length", "hot"), [(400, 1000), (100, 1000), (100, 1)])
+def test_substrings_exact(spark, texts, length, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
     out = substrings.remove_repeats(frame(spark, texts), length=length).toPandas().sort_values("doc_id")
     got = [(r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out.itertuples()]
     assert got == repeats(texts, length) and sum(x[1] for x in got) > 10_000
