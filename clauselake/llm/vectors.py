@@ -4,9 +4,12 @@
 2. Vectors within CELL of a leader (the smallest id of their bucket of sign bits, in ROUNDS rounds) become its cell. Two members of a
    cell are less than twice that angle apart, so all link: dense groups of near copies shrink to a row, without pairs.
 3. Leaders are projected on many random lines. A line is sorted and only its ends are kept, beyond a height that about END
-   leaders pass, since there a query-centred window holds few strangers; the number of lines follows from the wanted recall
-   of the least similar leaders that may hold a link. Within an end's window the collisions of two leaders are counted over
-   64 more projections (whether they fall into each other's window), and only pairs with a calibrated count go on.
+   leaders pass, since there a query-centred window holds few strangers. Lines come in SETS; those of a set run along the sums of
+   a direction of one list and one of another, each of `side` directions: a vector's 2 * side projections say at which of the
+   side ** 2 lines' ends it lies, so the work for a vector grows with the root of the number of lines. `side` follows from the
+   wanted recall of the least similar leaders that may hold a link, by simulation. Each end is sorted by its projection; the collisions of two
+   leaders within a query-centred window are counted over COUNTED more projections (whether they fall into each other's
+   window there), and only pairs with a calibrated count go on. Ends are passed through in order: what is held is a window.
 4. Leaders of such pairs are compared exactly, then the members of cells that may link, in blocks, giving counts.
 
 Links found are exact; a link between different cells is missed with a probability of about 1 - RECALL at the very threshold
@@ -18,6 +21,7 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import acos, ceil, cos, sqrt
 from statistics import NormalDist
 
@@ -31,6 +35,9 @@ from .graph import components
 
 CELL, ROUNDS, END, RECALL, SEED = 0.99, 4, 64, 0.995, 3
 COUNTED, SCALE, WINDOW = 64, 24.0, 1.0
+#: Width of a window at an end, in standard deviations of the difference of a pair; pairs that are simulated.
+REACH, SIMULATED = 2.5, 4000
+SETS = 16
 BLOCK = 2048
 
 
@@ -39,6 +46,7 @@ def _unit(vs) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+@lru_cache(64)
 def _directions(d: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([SEED, seed, d]).standard_normal((d, n))
 
@@ -51,13 +59,33 @@ def both_beyond(t: float, rho: float) -> float:
     return float((density * np.interp(x, x[::20], above)).sum() / density.sum())
 
 
+def met_at_an_end(t: float, rho: float, side: int, pairs: int = SIMULATED) -> float:
+    """Share of simulated pairs of similarity rho that lie in one window at an end of some line of a set."""
+    rng, found = np.random.default_rng([SEED, side]), 0
+    top, width = t * sqrt(2), REACH * sqrt(2 - 2 * rho) * sqrt(2)
+    for _ in range(pairs):
+        x = rng.standard_normal((2, side))
+        y = rho * x + sqrt(1 - rho * rho) * rng.standard_normal((2, side))
+        for sign in (1, -1):
+            (a, b), (c, d) = sign * x, sign * y
+            i = np.flatnonzero((a > top - b.max()) & (c > top - d.max()))
+            j = np.flatnonzero((b > top - a.max()) & (d > top - c.max()))
+            p, q = a[i][:, None] + b[j], c[i][:, None] + d[j]
+            if ((p > top) & (q > top) & (np.abs(p - q) <= width)).any():
+                found += 1
+                break
+    return found / pairs
+
+
 def calibrated(n: int, rho: float) -> tuple[float, int, int]:
-    """Height of the ends, number of lines and least count of collisions for n leaders and pairs of similarity rho."""
+    """Height of the ends, directions in each list and least count of collisions for n leaders and pairs of similarity rho."""
     share = min(END / max(n, 1), 0.25)
     t = NormalDist().inv_cdf(1 - share)
-    lines = ceil(-np.log(1 - RECALL) / (2 * share * both_beyond(t, rho)))
+    side = max(1, int(sqrt(-np.log(1 - RECALL) / (2 * share * both_beyond(t, rho) * SETS))))  # enough if lines were independent
+    while (1 - met_at_an_end(t, rho, side)) ** SETS > 1 - RECALL:
+        side += max(1, side // 16)
     p = 2 * NormalDist().cdf((WINDOW + 0.5 / SCALE) / sqrt(2 - 2 * rho)) - 1
-    return t, lines, int(COUNTED * p - 3.5 * sqrt(COUNTED * p * (1 - p)))
+    return t, side, int(COUNTED * p - 3.5 * sqrt(COUNTED * p * (1 - p)))
 
 
 def _bits(round_: int, bits: int):
@@ -96,47 +124,80 @@ def _cells(reps: DataFrame, n: int) -> DataFrame:
     return C.cut(done.unionByName(rest.select(F.col("rep").alias("cell"), F.col("v").alias("lv"), "rep", "v", "mult", F.lit(1.0).alias("c"))))
 
 
-def _ends(t: float, lines: int):
+def ends_of(unit: np.ndarray, t: float, side: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, line, projection's height) of the ends at which unit vectors lie; lines of the lower ends are negative."""
+    d, top = unit.shape[1], t * sqrt(2)
+    step = max(1, 4_000_000 // side)
+    for k in range(SETS):
+        both = [unit @ _directions(d, side, 1000 + 2 * k + x) for x in (0, 1)]
+        for sign in (1, -1):
+            a, b = sign * both[0], sign * both[1]
+            row, i = np.nonzero(a > (top - b.max(axis=1))[:, None])
+            for at in range(0, max(len(row), 1), step):
+                r, p = row[at : at + step], i[at : at + step]
+                hit, q = np.nonzero(b[r] > (top - a[r, p])[:, None])
+                yield r[hit], sign * ((k * side + p[hit]) * side + q + 1), (a[r[hit], p[hit]] + b[r[hit], q]) / sqrt(2)
+
+
+def _ends(t: float, side: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sizes = b["v"].map(len)
-            for d in sizes.unique():
-                own = b[sizes == d]
-                unit = _unit(own["v"])
-                counted = np.clip(np.round(unit @ _directions(int(d), COUNTED, 2) * SCALE), -127, 127).astype(np.int8)
-                codes = [x.tobytes() for x in counted]
-                for first in range(0, lines, 2048):
-                    x = unit @ _directions(int(d), min(2048, lines - first), 1000 + first)
-                    row, line = np.nonzero(np.abs(x) > t)
-                    side = np.where(x[row, line] > 0, 1, -1)
-                    out = pd.DataFrame({"line": (first + line + 1) * side * 65536 + int(d), "cell": own["cell"].to_numpy()[row], "x": np.abs(x[row, line])})
-                    out["code"] = [codes[i] for i in row]
-                    yield out
+        for whole in batches:
+            step = max(1, min(len(whole), 4_000_000 // side))
+            for b in (whole.iloc[i : i + step] for i in range(0, len(whole), step)):
+                sizes = b["v"].map(len)
+                for d in sizes.unique():
+                    own = b[sizes == d]
+                    unit = _unit(own["v"])
+                    codes = np.clip(np.round(unit @ _directions(int(d), COUNTED, 2) * SCALE), -127, 127).astype(np.int8)
+                    row, line, x = (np.concatenate(z) for z in zip(*ends_of(unit, t, side), strict=True))
+                    code = [c.tobytes() for c in codes]
+                    yield pd.DataFrame({"line": line * 65536 + int(d), "cell": own["cell"].to_numpy()[row], "x": x, "code": [code[i] for i in row]})
 
     return run
 
 
-def _counted(least: int):
+def _counted(least: int, width: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of a window with enough collisions; rows come sorted by line and projection, and only a window of them is held."""
         reach = np.int16(WINDOW * SCALE)
         held: list[np.ndarray] = []
-        for g in C.groups(batches, ["line"]):
-            codes = np.frombuffer(b"".join(g["code"]), dtype=np.int8).reshape(len(g), COUNTED).astype(np.int16)
-            cell = g["cell"].to_numpy()
-            step = max(1, 2_000_000 // (COUNTED * len(g)))
-            for at in range(0, len(g), step):
-                part = codes[at : at + step]
-                hits = (np.abs(part[:, None, :] - codes[None, at:, :]) <= reach).sum(axis=2) >= least
-                i, j = np.nonzero(hits)
-                ok = j > i
-                held.append(np.stack([cell[at + i[ok]], cell[at + j[ok]]], axis=1))
+        last, tail = None, None
+
+        def pairs() -> pd.DataFrame:
+            found = np.unique(np.sort(np.concatenate(held), axis=1), axis=0)
+            held.clear()
+            return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+        for b in batches:
+            if not len(b):
+                continue
+            lines, all_codes = b["line"].to_numpy(), np.frombuffer(b"".join(b["code"]), dtype=np.int8).reshape(len(b), COUNTED).astype(np.int16)
+            cuts = [0, *(np.flatnonzero(lines[1:] != lines[:-1]) + 1), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = (b["x"].to_numpy()[lo:hi], b["cell"].to_numpy()[lo:hi], all_codes[lo:hi])
+                first = 0
+                if last == lines[lo]:
+                    first = len(tail[0])
+                    part = tuple(np.concatenate(z) for z in zip(tail, part, strict=True))
+                x, cell, codes = part
+                at = 0
+                while at < len(x):
+                    upto = int(np.searchsorted(x, x[at] + width, side="right"))
+                    step = max(1, min(len(x) - at, 2_000_000 // (COUNTED * max(upto - at, 1))))
+                    upto = int(np.searchsorted(x, x[at + step - 1] + width, side="right"))
+                    start = max(at, first)  # earlier rows have met each other
+                    near = (np.abs(codes[at : at + step, None, :] - codes[None, start:upto, :]) <= reach).sum(axis=2) >= least
+                    i, j = np.nonzero(near)
+                    i, j = at + i, start + j
+                    ok = (j > i) & (x[j] - x[i] <= width)
+                    held.append(np.stack([cell[i[ok]], cell[j[ok]]], axis=1))
+                    at += step
+                last, keep = lines[lo], x >= x[-1] - width
+                tail = (x[keep], cell[keep], codes[keep])
             if sum(map(len, held)) > 100_000:
-                pairs = np.unique(np.sort(np.concatenate(held), axis=1), axis=0)
-                held = []
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                yield pairs()
         if held:
-            pairs = np.unique(np.sort(np.concatenate(held), axis=1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            yield pairs()
 
     return run
 
@@ -172,9 +233,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     cells = _cells(reps, n)
     leaders = C.cut(cells.groupBy("cell").agg(F.first("lv").alias("v"), F.count(F.lit(1)).alias("size"), F.sum("mult").alias("mult"), F.acos(F.least(F.min("c"), F.lit(1.0))).alias("r")))
     fat = leaders.filter("size > 1").head(1)
-    t, lines, count = calibrated(leaders.count(), cos(theta + (2 * cell if fat else 0)))
+    rho = cos(theta + (2 * cell if fat else 0))
+    t, lines, count = calibrated(leaders.count(), rho)
     ends = leaders.select("cell", "v").mapInPandas(_ends(t, lines), "line long, cell long, x double, code binary")
-    pairs = ends.repartition("line").sortWithinPartitions("line").mapInPandas(_counted(count), "a long, b long").distinct()
+    pairs = ends.repartition("line").sortWithinPartitions("line", "x").mapInPandas(_counted(count, REACH * sqrt(2 - 2 * rho)), "a long, b long").distinct()
     side = lambda k: leaders.select(F.col("cell").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("v", "size", "mult", "r")])
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", cosine(F.col("a_v"), F.col("b_v")))
     met = C.cut(met.filter(F.acos(F.least("c", F.lit(1.0))) <= F.lit(theta + 1e-9) + F.col("a_r") + F.col("b_r")).drop("a_v", "b_v"))

@@ -51,12 +51,61 @@ def test_near_vectors_odd(spark):
 
 
 def test_calibration():
-    t, lines, count = vectors.calibrated(50_000, 0.9)
+    t, side, count = vectors.calibrated(50_000, 0.9)
     rng = np.random.default_rng(0)
     x = rng.standard_normal(400_000)
     y = 0.9 * x + np.sqrt(1 - 0.81) * rng.standard_normal(400_000)
     assert vectors.both_beyond(1.5, 0.9) == pytest.approx(((x > 1.5) & (y > 1.5)).sum() / (x > 1.5).sum(), abs=0.01)
-    assert t > 2.5 and lines > 500 and 0 < count < vectors.COUNTED
+    assert t > 2.5 and side > 5 and 0 < count < vectors.COUNTED
+
+
+def test_ends_are_those_of_all_lines():
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((50, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {(int(r), int(line)): x for rs, lines, xs in vectors.ends_of(unit, 1.2, 5) for r, line, x in zip(rs, lines, xs, strict=True)}
+    want = {}
+    for k in range(vectors.SETS):
+        a, b = (unit @ vectors._directions(8, 5, 1000 + 2 * k + i) for i in (0, 1))
+        for r in range(50):
+            for i in range(5):
+                for j in range(5):
+                    x = (a[r, i] + b[r, j]) / np.sqrt(2)
+                    if abs(x) > 1.2:
+                        want[r, int(np.sign(x)) * ((k * 5 + i) * 5 + j + 1)] = abs(x)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_windows_span_batches():
+    rng = np.random.default_rng(5)
+    n, width = 600, 0.3
+    line, x = np.sort(rng.integers(0, 3, n)), rng.random(n)
+    x = np.concatenate([np.sort(x[line == k]) for k in range(3)])
+    codes = rng.integers(-40, 40, (n, vectors.COUNTED)).astype(np.int8)
+    frame = pd.DataFrame({"line": line, "cell": np.arange(n), "x": x, "code": [c.tobytes() for c in codes]})
+    got = {(r.a, r.b) for out in vectors._counted(30, width)(frame.iloc[i : i + 47] for i in range(0, n, 47)) for r in out.itertuples()}
+    hits = (np.abs(codes[:, None].astype(int) - codes[None]) <= vectors.WINDOW * vectors.SCALE).sum(axis=2) >= 30
+    want = {(i, j) for i, j in zip(*np.nonzero(hits), strict=True) if i < j and line[i] == line[j] and x[j] - x[i] <= width}
+    assert got == want and want
+
+
+def test_near_vectors_recall(spark):
+    """Pairs planted at cosines of 0.90 to 0.92, and all links of a dense group, among strangers."""
+    rng = np.random.default_rng(6)
+    xs = []
+    for c in rng.uniform(0.9, 0.92, 400):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        xs += [a, c * a + np.sqrt(1 - c * c) * b]
+    xs += list(rng.standard_normal((1500, 64)))
+    centre = rng.standard_normal(64)
+    xs += [centre + rng.standard_normal(64) * 0.3 for _ in range(150)]
+    rows = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(xs)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(rows).collect()}
+    want = linked(list(range(len(xs))), xs)
+    near, dense = range(800), range(2300, 2450)
+    assert sum(got[i] for i in near) >= 0.98 * sum(want[i][0] for i in near)
+    assert sum(got[i] for i in dense) >= 0.99 * sum(want[i][0] for i in dense) > 1000
+    assert all(got[i] <= want[i][0] for i in got)
 
 
 def test_hamming_is_exact(spark, monkeypatch):
