@@ -84,8 +84,12 @@ def calibrated(n: int, rho: float) -> tuple[float, int, int]:
     side = max(1, int(sqrt(-np.log(1 - RECALL) / (2 * share * both_beyond(t, rho) * SETS))))  # enough if lines were independent
     while (1 - met_at_an_end(t, rho, side)) ** SETS > 1 - RECALL:
         side += max(1, side // 16)
+    return t, side, least_count(rho)
+
+
+def least_count(rho: float) -> int:
     p = 2 * NormalDist().cdf((WINDOW + 0.5 / SCALE) / sqrt(2 - 2 * rho)) - 1
-    return t, side, int(COUNTED * p - 3.5 * sqrt(COUNTED * p * (1 - p)))
+    return int(COUNTED * p - 3.5 * sqrt(COUNTED * p * (1 - p)))
 
 
 def _bits(round_: int, bits: int):
@@ -151,15 +155,15 @@ def _ends(t: float, side: int):
                     codes = np.clip(np.round(unit @ _directions(int(d), COUNTED, 2) * SCALE), -127, 127).astype(np.int8)
                     row, line, x = (np.concatenate(z) for z in zip(*ends_of(unit, t, side), strict=True))
                     code = [c.tobytes() for c in codes]
-                    yield pd.DataFrame({"line": line * 65536 + int(d), "cell": own["cell"].to_numpy()[row], "x": x, "code": [code[i] for i in row]})
+                    yield pd.DataFrame({"line": line * 65536 + int(d), "cell": own["cell"].to_numpy()[row], "fat": own["fat"].to_numpy()[row], "x": x, "code": [code[i] for i in row]})
 
     return run
 
 
-def _counted(least: int, width: float):
+def _counted(least: tuple[int, int, int], width: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a window with enough collisions; rows come sorted by line and projection, and only a window of them is held."""
-        reach = np.int16(WINDOW * SCALE)
+        """Pairs of a window with enough collisions, least[k] if k of the two stand for more than themselves; rows come sorted by line and projection, and only a window of them is held."""
+        reach, enough = np.int16(WINDOW * SCALE), np.array(least)
         held: list[np.ndarray] = []
         last, tail = None, None
 
@@ -174,26 +178,26 @@ def _counted(least: int, width: float):
             lines, all_codes = b["line"].to_numpy(), np.frombuffer(b"".join(b["code"]), dtype=np.int8).reshape(len(b), COUNTED).astype(np.int16)
             cuts = [0, *(np.flatnonzero(lines[1:] != lines[:-1]) + 1), len(b)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                part = (b["x"].to_numpy()[lo:hi], b["cell"].to_numpy()[lo:hi], all_codes[lo:hi])
+                part = (b["x"].to_numpy()[lo:hi], b["cell"].to_numpy()[lo:hi], b["fat"].to_numpy()[lo:hi], all_codes[lo:hi])
                 first = 0
                 if last == lines[lo]:
                     first = len(tail[0])
                     part = tuple(np.concatenate(z) for z in zip(tail, part, strict=True))
-                x, cell, codes = part
+                x, cell, fat, codes = part
                 at = 0
                 while at < len(x):
                     upto = int(np.searchsorted(x, x[at] + width, side="right"))
                     step = max(1, min(len(x) - at, 2_000_000 // (COUNTED * max(upto - at, 1))))
                     upto = int(np.searchsorted(x, x[at + step - 1] + width, side="right"))
                     start = max(at, first)  # earlier rows have met each other
-                    near = (np.abs(codes[at : at + step, None, :] - codes[None, start:upto, :]) <= reach).sum(axis=2) >= least
+                    near = (np.abs(codes[at : at + step, None, :] - codes[None, start:upto, :]) <= reach).sum(axis=2) >= enough[fat[at : at + step, None] + fat[None, start:upto]]
                     i, j = np.nonzero(near)
                     i, j = at + i, start + j
                     ok = (j > i) & (x[j] - x[i] <= width)
                     held.append(np.stack([cell[i[ok]], cell[j[ok]]], axis=1))
                     at += step
                 last, keep = lines[lo], x >= x[-1] - width
-                tail = (x[keep], cell[keep], codes[keep])
+                tail = (x[keep], cell[keep], fat[keep], codes[keep])
             if sum(map(len, held)) > 100_000:
                 yield pairs()
         if held:
@@ -234,9 +238,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     leaders = C.cut(cells.groupBy("cell").agg(F.first("lv").alias("v"), F.count(F.lit(1)).alias("size"), F.sum("mult").alias("mult"), F.acos(F.least(F.min("c"), F.lit(1.0))).alias("r")))
     fat = leaders.filter("size > 1").head(1)
     rho = cos(theta + (2 * cell if fat else 0))
-    t, lines, count = calibrated(leaders.count(), rho)
-    ends = leaders.select("cell", "v").mapInPandas(_ends(t, lines), "line long, cell long, x double, code binary")
-    pairs = ends.repartition("line").sortWithinPartitions("line", "x").mapInPandas(_counted(count, REACH * sqrt(2 - 2 * rho)), "a long, b long").distinct()
+    t, side, _ = calibrated(leaders.count(), rho)
+    ends = leaders.select("cell", (F.col("size") > 1).cast("int").alias("fat"), "v").mapInPandas(_ends(t, side), "line long, cell long, fat int, x double, code binary")
+    counts = tuple(least_count(cos(theta + k * cell)) for k in range(3))
+    pairs = ends.repartition("line").sortWithinPartitions("line", "x").mapInPandas(_counted(counts, REACH * sqrt(2 - 2 * rho)), "a long, b long").distinct()
     side = lambda k: leaders.select(F.col("cell").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("v", "size", "mult", "r")])
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", cosine(F.col("a_v"), F.col("b_v")))
     met = C.cut(met.filter(F.acos(F.least("c", F.lit(1.0))) <= F.lit(theta + 1e-9) + F.col("a_r") + F.col("b_r")).drop("a_v", "b_v"))

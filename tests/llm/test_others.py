@@ -82,9 +82,10 @@ def test_windows_span_batches():
     line, x = np.sort(rng.integers(0, 3, n)), rng.random(n)
     x = np.concatenate([np.sort(x[line == k]) for k in range(3)])
     codes = rng.integers(-40, 40, (n, vectors.COUNTED)).astype(np.int8)
-    frame = pd.DataFrame({"line": line, "cell": np.arange(n), "x": x, "code": [c.tobytes() for c in codes]})
-    got = {(r.a, r.b) for out in vectors._counted(30, width)(frame.iloc[i : i + 47] for i in range(0, n, 47)) for r in out.itertuples()}
-    hits = (np.abs(codes[:, None].astype(int) - codes[None]) <= vectors.WINDOW * vectors.SCALE).sum(axis=2) >= 30
+    fat = rng.integers(0, 2, n)
+    frame = pd.DataFrame({"line": line, "cell": np.arange(n), "fat": fat, "x": x, "code": [c.tobytes() for c in codes]})
+    got = {(r.a, r.b) for out in vectors._counted((32, 30, 29), width)(frame.iloc[i : i + 47] for i in range(0, n, 47)) for r in out.itertuples()}
+    hits = (np.abs(codes[:, None].astype(int) - codes[None]) <= vectors.WINDOW * vectors.SCALE).sum(axis=2) >= np.array([32, 30, 29])[fat[:, None] + fat[None]]
     want = {(i, j) for i, j in zip(*np.nonzero(hits), strict=True) if i < j and line[i] == line[j] and x[j] - x[i] <= width}
     assert got == want and want
 
