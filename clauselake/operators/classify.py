@@ -51,13 +51,14 @@ def fast_lane(sections: DataFrame, text: str = "text") -> DataFrame:
 
 
 def probabilities(vectors: DataFrame, head: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
-    """(key, class_idx, class, p): softmax of a linear head (class_idx, class, w, b). The head has one row per class: broadcast."""
-    dot = F.aggregate(F.zip_with(F.col(vector), F.col("w"), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.select(key, vector).crossJoin(F.broadcast(head)).select(key, "class_idx", "class", (dot + F.col("b")).alias("z"))
-    per = rows.groupBy(key).agg(F.max("z").alias("top"), F.collect_list(F.struct("class_idx", "class", "z")).alias("rows"))
-    per = per.withColumn("rows", F.transform(F.array_sort("rows"), lambda r: F.struct(r["class_idx"], r["class"], F.exp(r["z"] - F.col("top")).alias("e"))))
-    per = per.withColumn("all", F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["e"]))
-    return per.select(key, "all", F.explode("rows").alias("r")).select(key, F.col("r.class_idx"), F.col("r.class"), (F.col("r.e") / F.col("all")).alias("p"))
+    """(key, class_idx, class, p): softmax of a linear head (class_idx, class, w, b), within each row. The head, one row per class, is
+    broadcast as a single row."""
+    one = head.agg(F.array_sort(F.collect_list(F.struct("class_idx", "class", F.col("w").cast("array<double>").alias("w"), "b"))).alias("__head"))
+    dot = lambda w: F.aggregate(F.zip_with(F.col(vector), w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    rows = vectors.select(key, vector).crossJoin(F.broadcast(one)).withColumn("__z", F.transform("__head", lambda h: dot(h["w"]) + h["b"]))
+    rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.array_max("__z")))).withColumn("__all", F.aggregate("__e", F.lit(0.0), lambda s, e: s + e))
+    each = F.zip_with("__head", "__e", lambda h, e: F.struct(h["class_idx"].alias("class_idx"), h["class"].alias("class"), (e / F.col("__all")).alias("p")))
+    return rows.select(key, F.inline(each))
 
 
 def refuse(probs: DataFrame, key: str = "id", threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:

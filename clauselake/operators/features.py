@@ -37,24 +37,40 @@ def shuffled(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(i).cast("string") for i in ids], F.lit(str(seed))))
 
 
+def ranked(rows: DataFrame, strata: list[str], ids: list[str], seed: int = 42) -> DataFrame:
+    """rows plus __r, the rank in a hashed order within the strata (all rows if there are none), and __n, the stratum's size.
+
+    Rows are ranked in buckets of their hash's first digits, and a bucket starts after the counts of those before it: no task sees
+    more than one bucket of a stratum, and only counts meet in order.
+    """
+    rows = rows.withColumn("__h", shuffled(seed, *ids)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = rows.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*strata)
+    before = F.sum("__c").over(w.orderBy("__b")) - F.col("__c")
+    counts = counts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__at"), before.alias("__before"), F.sum("__c").over(w).alias("__n"))
+    same = F.col("__b") == F.col("__at")
+    for i, c in enumerate(strata):
+        same &= F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    rank = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy("__h", *ids))
+    out = rows.withColumn("__k", rank).join(counts, same).withColumn("__r", F.col("__before") + F.col("__k"))
+    return out.drop("__h", "__b", "__at", "__before", "__k", *[f"__s{i}" for i in range(len(strata))])
+
+
 def split(rows: DataFrame, stratum: str, ids: list[str], seed: int = 42, ratios: tuple[float, float] = (0.8, 0.1), least: int = 0) -> DataFrame:
     """rows plus `split`: within each stratum the first int(n * ratio) rows of a hashed order train, the next validate, the rest
     test. With `least`, train and val get so many rows at least, while there are any."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(shuffled(seed, *ids), *ids))
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("__n")
     train = F.greatest(F.floor(n * F.lit(ratios[0]) + 1e-9), F.lit(least))
     val = F.greatest(F.floor(n * F.lit(ratios[1]) + 1e-9), F.lit(least))
-    out = rows.withColumn("__r", rank).withColumn("__t", train).withColumn("__v", val)
-    return out.withColumn("split", F.when(F.col("__r") <= F.col("__t"), "train").when(F.col("__r") <= F.col("__t") + F.col("__v"), "val").otherwise("test")).drop("__r", "__t", "__v")
+    out = ranked(rows, [stratum], ids, seed).withColumn("__t", train).withColumn("__v", val)
+    return out.withColumn("split", F.when(F.col("__r") <= F.col("__t"), "train").when(F.col("__r") <= F.col("__t") + F.col("__v"), "val").otherwise("test")).drop("__r", "__n", "__t", "__v")
 
 
 def downsample(rows: DataFrame, label: str, ids: list[str], negative: str = "none", factor: int = 3, seed: int = 42) -> DataFrame:
     """All positives, and at most `factor` times as many negatives, chosen by hash."""
     positives = rows.agg(F.count_if(F.col(label) != negative).alias("__pos"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(seed, *ids), *ids))
-    out = rows.withColumn("__r", rank).crossJoin(F.broadcast(positives))
-    return out.filter((F.col(label) != negative) | (F.col("__r") <= factor * F.col("__pos"))).drop("__r", "__pos")
+    out = ranked(rows, [label], ids, seed).crossJoin(F.broadcast(positives))  # one row
+    return out.filter((F.col(label) != negative) | (F.col("__r") <= factor * F.col("__pos"))).drop("__r", "__n", "__pos")
 
 
 def sample(rows: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame:
@@ -64,4 +80,5 @@ def sample(rows: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame
 def frequent_labels(rows: DataFrame, label: str = "type", text: str = "text", least: int = 2) -> DataFrame:
     """Labelled, non-blank rows of classes with `least` rows or more."""
     kept = rows.filter((F.col(label) != "unknown") & (strip(F.coalesce(F.col(text), F.lit(""))) != ""))
-    return kept.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(label))).filter(F.col("__n") >= least).drop("__n")
+    large = kept.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
+    return kept.join(large, F.col(label) == F.col("__label"), "left_semi")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import RISK_LEVELS, TAXONOMY
-from .features import shuffled
+from .features import ranked
 
 OUTPUT = "clause_type string, risk_level string, statute string, plain_explanation string, tenant_impact string"
 # The instruction and the parts of a prompt.
@@ -67,10 +67,7 @@ def chat_pair(user: Column, answer: Column) -> Column:
 
 def augmented(pairs: DataFrame, ids: list[str], seed: int = 42) -> DataFrame:
     """All pairs once with the paragraphs of their prompt in hashed order, and the first half (in hashed order) once more."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(shuffled(seed, *ids), *ids))
-    rows = pairs.withColumn("__r", rank).withColumn("__n", n)
-    both = rows.withColumn("copy", F.explode(F.when(F.col("__r") <= F.floor(F.col("__n") / 2), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    both = ranked(pairs, [], ids, seed).withColumn("copy", F.explode(F.when(F.col("__r") <= F.floor(F.col("__n") / 2), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
     order = lambda p: F.md5(F.concat(p, F.lit("|"), F.col("copy").cast("string")))
     parts = F.array_sort(F.transform(F.split("prompt", "\n\n"), lambda p: F.struct(order(p).alias("h"), p.alias("p"))))
     return both.withColumn("prompt", F.when(F.col("copy") == 0, F.col("prompt")).otherwise(F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n"))).drop("__r", "__n")

@@ -62,7 +62,6 @@ CHUNKS: tuple[tuple[str, str], ...] = (
     ("s40", "Operating expense: a capital reserve is annual."),
     ("s41", "Nothing here is about anything."),
 )
-COPIED = 120
 
 
 def clause_table(spark: SparkSession) -> DataFrame:
@@ -73,15 +72,15 @@ def chunk_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(CHUNKS)], "chunk_idx int, id string, text string")
 
 
-def sections(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(id, k, gold, source, text): every document with a clause before its first characters (all of them if `whole`), in ASCII.
-    Queries with SQL twins see what SECTIONS_SQL states: the first COPIED characters."""
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, k, gold, source, text): every document with a clause before its whole text, in ASCII."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    if docs.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(cores)  # a file or two: patterns over whole texts are worth a move
     clauses = F.broadcast(clause_table(spark))  # a table of fixed size
-    text = F.coalesce("text", F.lit(""))
-    head = F.regexp_replace(text if whole else F.substring(text, 1, COPIED), r"[^\x20-\x7e]", " ")
+    rest = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", " ")
     rows = docs.join(clauses, F.col("doc_id") % len(CLAUSES) == F.col("k"))
-    return rows.select(F.col("doc_id").alias("id"), "k", "gold", "source", F.concat("clause_text", F.lit("\n\n"), head).alias("text"))
+    return rows.select(F.col("doc_id").alias("id"), "k", "gold", "source", F.concat("clause_text", F.lit("\n\n"), rest).alias("text"))
 
 
 def quoted(x: str) -> str:
@@ -92,6 +91,6 @@ CLAUSE_SQL = "clause_dim(k, gold, clause_text) AS (VALUES " + ", ".join(f"({i},
 CHUNK_SQL = "chunk_dim(chunk_idx, id, text) AS (VALUES " + ", ".join(f"({i}, {quoted(k)}, {quoted(t)})" for i, (k, t) in enumerate(CHUNKS)) + ")"
 SECTIONS_SQL = (
     CLAUSE_SQL
-    + f", sections AS (SELECT d.doc_id AS id, c.k, c.gold, d.source, c.clause_text || chr(10) || chr(10) || regexp_replace(substring(coalesce(d.text, ''), 1, {COPIED}), '[^\\x20-\\x7e]', ' ', 'g') AS text"
+    + f", sections AS (SELECT d.doc_id AS id, c.k, c.gold, d.source, c.clause_text || chr(10) || chr(10) || regexp_replace(coalesce(d.text, ''), '[^\\x20-\\x7e]', ' ', 'g') AS text"
     + f" FROM documents d JOIN clause_dim c ON d.doc_id % {len(CLAUSES)} = c.k)"
 )

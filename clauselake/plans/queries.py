@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..functions.lexicon import CONCEPTS, DEONTIC_LABELS, DEONTIC_PHRASES, PARTY_ALIASES, RISK_LEVELS, TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.rulebook import RULES
 from ..operators import classify, dataset, eda, encode, features, ground, index, metrics, prompt, risk, segment, synth
+from ..sources import files, records
+from ..sources.scratch import scratch
 from . import overlay as O
 from .overlay import quoted
 
@@ -73,13 +75,13 @@ FROM typed WHERE type IN ({", ".join(f"'{t}'" for t in (*r.clause_types, UNKNOWN
 FINDINGS_SQL = f"{EVIDENCE_SQL}, findings AS ({_RULES_SQL})"
 
 
-def typed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = classify.fast_lane(O.sections(spark, sf_dir, whole))
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.fast_lane(O.sections(spark, sf_dir))
     return rows.withColumnRenamed("clause_type", "type")
 
 
-def found(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return risk.findings(typed(spark, sf_dir, whole), keep=("gold", "source"))
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.findings(typed(spark, sf_dir), keep=("gold", "source"))
 
 
 # --- risk ---------------------------------------------------------------------------------------------------------------
@@ -225,12 +227,12 @@ def vector_normalize(spark, d):
 
 @query(
     """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-9)) AS u FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.u, v.u), lambda p: p[1] * p[2])), 4) AS score FROM u q, u v WHERE q.vec_id < 5),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.u, v.u), lambda p: p[1] * p[2])), 4) AS score FROM u q, u v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 5"""
 )
 def cosine_topk(spark, d):
     rows = table(spark, d, "embeddings")
-    return ground.top_k(rows.filter("vec_id < 5"), rows, 5, "vec_id", "embedding")
+    return ground.top_k(rows.filter("vec_id % 20 = 0"), rows, 5, "vec_id", "embedding")
 
 
 @query(
@@ -254,7 +256,7 @@ def tfidf_logreg(spark, d):
     """A head trained on the overlay's types with TF-IDF features, and how often it agrees with them."""
     from . import train
 
-    rows = O.sections(spark, d, whole=True).select("id", F.col("gold").alias("type"), "text")
+    rows = O.sections(spark, d).select("id", F.col("gold").alias("type"), "text")
     data = train.tfidf(rows, ngrams=1)
     model, classes = train.fit_head(data, "type")
     probs = classify.probabilities(data.select("id", "features"), train.export_head(spark, model, classes), "id", "features")
@@ -602,16 +604,16 @@ def sql_concepts(c: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {sql_match(f'lower({c})', p)} THEN '{n}' END" for n, p in CONCEPTS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-CONCEPT_SQL = f"""{FINDINGS_SQL}, flags AS (SELECT DISTINCT s.source, unnest({sql_concepts("c.clause_text")}) AS concept FROM sections s JOIN clause_dim c USING (k) WHERE s.id % 3 = 0),
-rc(rule_id, concept) AS (VALUES {", ".join(f"('{r.rule_id}', '{r.concept}')" for r in RULES)}), got AS (SELECT DISTINCT source, concept FROM findings JOIN rc USING (rule_id) WHERE id % 3 = 0),
+CONCEPT_SQL = f"""{FINDINGS_SQL}, flags AS (SELECT DISTINCT s.source, unnest({sql_concepts("c.clause_text")}) AS concept FROM sections s JOIN clause_dim c USING (k)),
+rc(rule_id, concept) AS (VALUES {", ".join(f"('{r.rule_id}', '{r.concept}')" for r in RULES)}), got AS (SELECT DISTINCT source, concept FROM findings JOIN rc USING (rule_id)),
 cells AS (SELECT source, concept, max(g) AS g, max(p) AS p FROM (SELECT source, concept, 1 AS g, 0 AS p FROM flags UNION ALL SELECT source, concept, 0, 1 FROM got) GROUP BY ALL),
 per AS (SELECT source, sum(g * p) AS b, sum(g) AS g, sum(p) AS p FROM cells GROUP BY source)"""
 
 
 def concept_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = O.sections(spark, d).filter("id % 3 = 0").join(F.broadcast(O.clause_table(spark).select("k", "clause_text")), "k")
+    rows = O.sections(spark, d).join(F.broadcast(O.clause_table(spark).select("k", "clause_text")), "k")
     rules = ground.rule_table(spark)
-    return metrics.flag_concepts(rows, "source", "clause_text"), metrics.finding_concepts(found(spark, d).filter("id % 3 = 0"), rules, "source")
+    return metrics.flag_concepts(rows, "source", "clause_text"), metrics.finding_concepts(found(spark, d), rules, "source")
 
 
 @query(f"WITH {CONCEPT_SQL} SELECT source, concept FROM flags")
@@ -644,6 +646,7 @@ SELECT count(*) AS n, round(count(*) FILTER (y_true = y_pred) / count(*)::DOUBLE
 count(*) FILTER (y_true <> '{UNKNOWN}' AND y_pred = '{UNKNOWN}') AS missed, count(*) FILTER (y_true = '{UNKNOWN}' AND y_pred <> '{UNKNOWN}') AS invented FROM a"""
 )
 def ood_report(spark, d):
+    """A fifth of the rows gets no prediction on purpose: what is not predicted counts as unknown."""
     rows = pairs_of(spark, d)
     gold = rows.select("id", F.col("y_true").alias("type"))
     pred = rows.filter("id % 5 > 0").select("id", F.col("y_pred").alias("type"))
@@ -838,8 +841,8 @@ prompts AS (SELECT id, source, rule_id, 'Lease clause:' || chr(10) || left(text,
 || chr(10) || chr(10) || 'Risk: ' || risk_level || '. ' || rationale || chr(10) || chr(10) || 'Rewrite in plain language for the tenant.' AS prompt, left(rationale, 300) AS answer FROM g)"""
 
 
-def prompts_of(spark, d, whole: bool = False) -> DataFrame:
-    rows = ground.ground(found(spark, d, whole), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
+def prompts_of(spark, d) -> DataFrame:
+    rows = ground.ground(found(spark, d), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
     return rows.withColumn("prompt", prompt.finding_prompt(F.col("clause_text"), F.col("rationale"), F.col("risk_level"), F.col("statute"), F.col("grounding")))
 
 
@@ -886,15 +889,19 @@ def echo(prompts: list[str]) -> list[str]:
     return [json.dumps({"clause_type": "rent", "risk_level": "low", "statute": "s", "plain_explanation": p[14:40], "tenant_impact": "none"}) for p in prompts]
 
 
-@query()
+@query(f"WITH {PROMPT_SQL} SELECT id, rule_id, substring(prompt, 15, 26) AS plain_explanation, true AS parse_ok FROM prompts")
 def simplified_findings(spark, d):
-    rows = ground.ground(found(spark, d, whole=True), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
+    rows = ground.ground(found(spark, d), ground.rule_table(spark), ground.lexical(RULES, O.chunk_table(spark)))
     return prompt.simplify(rows, echo).select("id", "rule_id", "plain_explanation", "parse_ok")
 
 
-@query()
+@query(
+    f"""WITH {PROMPT_SQL}, r AS (SELECT id, rule_id, prompt, row_number() OVER (ORDER BY md5(id || '|' || rule_id || '|42'), id, rule_id) AS r, count(*) OVER () AS n FROM prompts),
+c AS (SELECT id, rule_id, prompt, unnest(CASE WHEN r <= n // 2 THEN [0, 1, 2] ELSE [0, 1] END) AS copy FROM r)
+SELECT id, rule_id, copy, CASE WHEN copy = 0 THEN prompt ELSE array_to_string(list_transform(list_sort(list_transform(string_split(prompt, chr(10) || chr(10)), lambda p: struct_pack(h := md5(p || '|' || copy), p := p))), lambda x: x.p), chr(10) || chr(10)) END AS prompt FROM c"""
+)
 def augmented_pairs(spark, d):
-    return prompt.augmented(prompts_of(spark, d, whole=True).select("id", "rule_id", "prompt"), ["id", "rule_id"])
+    return prompt.augmented(prompts_of(spark, d).select("id", "rule_id", "prompt"), ["id", "rule_id"])
 
 
 @query(
@@ -913,3 +920,77 @@ def synthetic_corpus(spark, d):
 @query()
 def synthetic_rows(spark, d):
     return synth.deontic_rows(spark).select("source", "party", "text")
+
+
+# --- sources ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    """JSON lines written and read with a schema."""
+    rows, path = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), scratch(spark, "jsonl")
+    records.write_jsonl(rows, path)
+    return records.read_jsonl(spark, path, rows._jdf.schema().toDDL())
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations")
+def csv_read(spark, d):
+    """A CSV with quoted, multi-line fields; every column is a string."""
+    rows, path = table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), scratch(spark, "csv")
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return records.read_csv(spark, path, rows.columns)
+
+
+@query("SELECT item_id, 0 AS page_idx, text || chr(10) AS text, CASE WHEN trim(text) = '' THEN 'error' ELSE 'raw' END AS method FROM benchmark")
+def text_files(spark, d):
+    """Every benchmark item as a text file of its own, read as documents."""
+    path = scratch(spark, "files")
+    table(spark, d, "benchmark").select(F.col("item_id").alias("file"), "text").write.partitionBy("file").text(path)
+    pages, _ = files.read_documents(spark, path)
+    return pages.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("item_id"), "page_idx", "text", "method")
+
+
+@query(ORACLE_SQL["vector_normalize"])
+def embedding_index(spark, d):
+    """Unit vectors saved as an index with its metadata, and loaded again."""
+    path = scratch(spark, "vectors")
+    records.save_embeddings(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), ground.unit(F.col("embedding")).alias("embedding")), path, "given", 64)
+    rows = records.load_embeddings(spark, path, "given", 64)
+    return rows.select(F.col("id").alias("vec_id"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@query(f"WITH {HEAD_SQL} SELECT class_idx, 'c' || class_idx AS class, round(list_sum(w), 1) AS total, 0.15 AS threshold, 0.02 AS margin FROM head")
+def saved_head(spark, d):
+    path = scratch(spark, "head")
+    records.save_head(head_of(spark, d), path, 0.15, 0.02)
+    head, threshold, margin = records.load_head(spark, path)
+    total = F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x), 1)
+    return head.select("class_idx", "class", total.alias("total"), F.lit(threshold).alias("threshold"), F.lit(margin).alias("margin"))
+
+
+@query(ORACLE_SQL["unit_dedup"])
+def saved_units(spark, d):
+    """The index of first-seen units written as JSON lines and loaded again."""
+    units, path = units_of(spark, d).select("id", "text", "n_occurrences", "sources"), scratch(spark, "units")
+    records.write_jsonl(units, path)
+    rows = records.load_units(spark, path)
+    return rows.select("id", F.length("text").cast("long").alias("n_chars"), "n_occurrences", F.array_join("sources", ",").alias("sources"))
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, {LEXICAL_SQL}, rules(rule_ord, rule_id) AS (VALUES {", ".join(f"({i}, '{r.rule_id}')" for i, r in enumerate(RULES))}),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-9)) AS u FROM embeddings),
+s AS (SELECT r.rule_id, v.vec_id, round(list_sum(list_transform(list_zip(q.u, v.u), lambda p: p[1] * p[2])), 4) AS score FROM rules r JOIN u q ON q.vec_id = r.rule_ord JOIN u v ON v.vec_id >= {len(RULES)}),
+near AS (SELECT rule_id, 'chunk-' || arg_min(vec_id, (-score, vec_id)) AS id FROM s GROUP BY rule_id)
+SELECT f.id, f.rule_id, coalesce(l.id, n.id, f.statute) AS statute, f.statute AS statute_citation, left(coalesce(l.text, 'text of ' || n.id, ''), 900) AS grounding FROM findings f LEFT JOIN lex l USING (rule_id) LEFT JOIN near n USING (rule_id)"""
+)
+def vector_grounding(spark, d):
+    """Rules without a lexical hit take the chunk whose vector is nearest to theirs: the embeddings with the rules' numbers ask, the others
+    are chunks."""
+    rows, rules = table(spark, d, "embeddings").select("vec_id", "embedding"), ground.rule_table(spark)
+    asked = rows.join(F.broadcast(rules.select("rule_id", "rule_ord")), F.col("vec_id") == F.col("rule_ord"))
+    best = ground.top_k(asked.select("vec_id", "embedding"), rows.filter(F.col("vec_id") >= len(RULES)), 1, "vec_id", "embedding")
+    name = F.concat(F.lit("chunk-"), F.col("id"))
+    by_vectors = best.join(F.broadcast(rules.select("rule_id", "rule_ord")), F.col("query_id") == F.col("rule_ord")).select("rule_id", name.alias("id"), F.concat(F.lit("text of "), name).alias("text"))
+    out = ground.ground(found(spark, d), rules, ground.lexical(RULES, O.chunk_table(spark)), by_vectors)
+    return out.select("id", "rule_id", "statute", "statute_citation", "grounding")

@@ -61,6 +61,11 @@ def load_embeddings(spark: SparkSession, path: str, model: str | None = None, di
     return spark.read.parquet(f"{path}/vectors")
 
 
+def load_units(spark: SparkSession, path: str) -> DataFrame:
+    """First-seen units as unique_units gives them and write_jsonl wrote them."""
+    return read_jsonl(spark, path, "id string, text string, n_occurrences long, sources array<string>")
+
+
 def save_head(head: DataFrame, path: str, threshold: float = 0.3, margin: float | None = None) -> None:
     head.withColumn("threshold", F.lit(threshold)).withColumn("margin", F.lit(margin).cast("double")).write.parquet(path)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from clauselake.operators import ground, index
+from clauselake.operators import features, ground, index
 from clauselake.plans import overlay, queries, train
 from clauselake.sources import files, records
 from clauselake.streaming import ingest
@@ -116,19 +116,25 @@ def test_queries_equal_their_sql(spark, sf_dir):
         assert shown(df.select(*names).collect()) == shown(want), name
 
 
-def test_queries_without_sql_see_whole_texts(spark, tmp_path, monkeypatch):
+def test_queries_see_whole_texts(spark, tmp_path):
     late = "x " * 400 + "No security deposit is required. "
     docs = [(i, "s", late + " ".join(f"word{chr(97 + j % 26)}{chr(97 + j // 26)}{i % 3}" for j in range(300))) for i in range(41)]
-    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert all(r["text"].rstrip().endswith(f"word{chr(97 + 299 % 26)}{chr(97 + 299 // 26)}{r['id'] % 3}") for r in overlay.sections(spark, str(tmp_path), whole=True).collect())
-    rows = [{(r["id"], r["rule_id"]) for r in queries.found(spark, str(tmp_path), whole).select("id", "rule_id").collect()} for whole in (False, True)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, s, t[:100]) for i, s, t in docs], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert all(r["text"].rstrip().endswith(f"word{chr(97 + 299 % 26)}{chr(97 + 299 // 26)}{r['id'] % 3}") for r in overlay.sections(spark, f"{tmp_path}/a").collect())
+    rows = [{(r["id"], r["rule_id"]) for r in queries.found(spark, f"{tmp_path}/{x}").select("id", "rule_id").collect()} for x in "ab"]
     assert rows[0] != rows[1]
-    for name in ("simplified_findings", "augmented_pairs"):
-        assert {(r["id"], r["rule_id"]) for r in queries.QUERIES[name](spark, str(tmp_path)).select("id", "rule_id").collect()} == rows[1], name
-    sizes, fit = [], train.tfidf
-    monkeypatch.setattr(train, "tfidf", lambda *a, **b: (out := fit(*a, **b), sizes.append(len(out.first()["features"])))[0])
-    queries.tfidf_logreg(spark, str(tmp_path))
-    assert sizes[0] > 900
+
+
+def test_ranked_is_the_plain_rank(spark):
+    rows = spark.createDataFrame([(i, "big" if i % 7 else None) for i in range(3000)], "id long, type string")
+    plain = sorted(range(3000), key=lambda i: (__import__("hashlib").md5(f"{i}|42".encode()).hexdigest(), i))
+    got = {r["id"]: (r["__r"], r["__n"]) for r in features.ranked(rows, [], ["id"]).collect()}
+    assert got == {i: (k + 1, 3000) for k, i in enumerate(plain)}
+    got = {r["id"]: (r["__r"], r["__n"]) for r in features.ranked(rows, ["type"], ["id"]).collect()}
+    for part in ([i for i in plain if i % 7], [i for i in plain if i % 7 == 0]):
+        assert all(got[i] == (k + 1, len(part)) for k, i in enumerate(part))
+
 
 
 def test_pushdown(spark, sf_dir):
