@@ -2,19 +2,24 @@
 
 A tree builder reads tags with the usual implied ones (paragraphs, list items, cells, rows and table bodies end where a sibling
 or an enclosing block begins; stray end tags are ignored), keeps what is visible (no scripts, styles, templates, heads, hidden
-attributes or inputs, display:none; visibility:hidden unless a descendant is visible again), and a renderer lays it out: blocks on
+attributes or inputs, display:none, embedded objects and media; visibility:hidden unless a descendant is visible again; formulas and
+drawings show their text but for titles, descriptions, annotations and definitions), and a renderer lays it out: blocks on
 their own lines, paragraphs and headings with blank lines around, lists with bullets or numbers and indents, preformatted
-text as it is, and table cells padded to columns, in rows as high as their highest cell.
+text as it is, and table cells padded to columns, in rows as high as their highest cell. A cell keeps its columns blank in the
+rows that it spans, up to the end of its row group; its text stands in the first. Padding ends at WIDE characters: a longer cell keeps
+its whole text and moves what follows in its row.
 
 Edge cases: null and empty pages give empty text; text without tags is one paragraph; unclosed comments and tags end with the page;
-elements nested deeper than DEPTH lie beside each other, without loss of text; repeated rows are kept; an empty table gives an
-empty result; only the named columns are read.
+a quote within an unquoted value does not open a string; elements may be nested to any depth; spans are those of the HTML standard
+(columns to 1,000, rows to 65,534, 0 for all of the group); repeated rows are kept; an empty table gives an empty result; only
+the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -23,14 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 200
 WIDE = 400
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Fixed values of the HTML standard: the largest spans.
+COLUMNS, ROWS = 1000, 65_534
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas desc metadata annotation annotation-xml defs symbol clippath".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul xmp caption table tbody thead tfoot tr td th".split()
 )
@@ -75,9 +81,19 @@ class Builder:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.now: Counter[str] = Counter()
+        self.depth = 1
+
+    def drop(self, at: int) -> None:
+        """Ends the open elements from a place on."""
+        for x in self.open[at:]:
+            self.now[x.tag] -= 1
+        del self.open[at:]
 
     def close(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
         """Ends the outermost open element of `tags` above the nearest boundary."""
+        if not any(self.now[x] for x in tags):
+            return
         at = None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
@@ -85,7 +101,7 @@ class Builder:
             elif self.open[i].tag in bounds:
                 break
         if at is not None:
-            del self.open[at:]
+            self.drop(at)
 
     def start(self, tag: str, attrs: dict[str, str]) -> Node | None:
         if tag == "html":
@@ -95,33 +111,38 @@ class Builder:
             self.close(frozenset(["p"]), SCOPE)
         if tag in ENDS:
             self.close(*ENDS[tag])
-        if (parent := NEEDS.get(tag)) and any(x.tag == "table" for x in self.open):
+        if (parent := NEEDS.get(tag)) and self.now["table"]:
             near = next((x.tag for x in reversed(self.open) if x.tag in WITHIN[parent] or x.tag == "table"), "table")
             if near == "table":
                 self.start(parent, {})
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.open.pop()
+            self.drop(len(self.open) - 1)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if tag not in VOID:
             self.open.append(node)
+            self.now[tag] += 1
+            self.depth = max(self.depth, len(self.open))
         return node
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {})
             return
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.now["p"]:
             self.start("p", {})
+        if not self.now[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self.drop(i)
                 return
             if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html"):
                 return
 
 
-def tree(html: str) -> Node:
+def tree(html: str) -> tuple[Node, int]:
+    """The root and the depth of what lies below it."""
     b, at = Builder(), 0
     while at < len(html):
         m = _TOKEN.search(html, at)
@@ -142,7 +163,7 @@ def tree(html: str) -> Node:
                 at = stop
         elif m[1]:
             b.end(m[1].lower())
-    return b.root
+    return b.root, b.depth
 
 
 def shown(node: Node, visible: bool) -> tuple[bool, bool]:
@@ -296,7 +317,15 @@ def _list(node: Node, visible: bool) -> list[str]:
     return out
 
 
-def _rows(node: Node, visible: bool, rows: list, captions: list) -> None:
+def _span(node: Node, name: str, most: int) -> int:
+    span = node.attrs.get(name, "1").strip()
+    if not re.fullmatch("[0-9]{1,9}", span):
+        return 1
+    return min(int(span), most)
+
+
+def _rows(node: Node, visible: bool, groups: list, captions: list) -> None:
+    """Rows by group; a cell is (lines, columns, rows)."""
     for child in node.children:
         if isinstance(child, str):
             if visible and child.strip():
@@ -306,7 +335,9 @@ def _rows(node: Node, visible: bool, rows: list, captions: list) -> None:
         if not laid:
             continue
         if child.tag in ("tbody", "thead", "tfoot"):
-            _rows(child, seen, rows, captions)
+            groups.append([])
+            _rows(child, seen, groups, captions)
+            groups.append([])
         elif child.tag == "tr":
             cells = []
             for c in child.children:
@@ -316,35 +347,51 @@ def _rows(node: Node, visible: bool, rows: list, captions: list) -> None:
                     continue
                 kept, own = shown(c, seen)
                 if kept:
-                    span = c.attrs.get("colspan", "1")
                     lines = rendered(c.children if c.tag in ("td", "th") else [c], own)
-                    cells.append((lines, min(int(span), 100) if re.fullmatch("[1-9][0-9]{0,3}", span) else 1))
-            if cells:
-                rows.append(cells)
+                    cells.append((lines, max(_span(c, "colspan", COLUMNS), 1), _span(c, "rowspan", ROWS)))
+            groups[-1].append(cells)
         elif child.tag not in ("colgroup", "col"):
             captions += rendered([child], visible)
 
 
+def _placed(groups: list) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns, lines) of each row's cells; columns that a cell from above spans are left out."""
+    out = []
+    for rows in groups:
+        taken: dict[int, int] = {}  # rows for which a column is still spanned
+        for i, cells in enumerate(rows):
+            at, row, new = 0, [], {}
+            for lines, columns, down in cells:
+                while taken.get(at, 0):
+                    at += 1
+                row.append((at, columns, lines))
+                if down != 1:
+                    new |= dict.fromkeys(range(at, at + columns), (down or len(rows) - i) - 1)
+                at += columns
+            taken = {k: n - 1 for k, n in taken.items() if n > 1} | {k: n for k, n in new.items() if n}
+            if row:
+                out.append(row)
+    return out
+
+
 def _table(node: Node, visible: bool) -> list[str]:
-    rows: list = []
+    groups: list = [[]]
     captions: list[str] = []
-    _rows(node, visible, rows, captions)
-    widths: dict[int, int] = {}
+    _rows(node, visible, groups, captions)
+    rows, widths = _placed(groups), {}
     for cells in rows:
-        at = 0
-        for lines, span in cells:
-            if span == 1:
+        for at, columns, lines in cells:
+            if columns == 1:
                 widths[at] = min(max(widths.get(at, 0), *(len(x) for x in lines), 0), WIDE)
-            at += span
     out = list(captions)
     for cells in rows:
-        high = max((len(lines) for lines, _ in cells), default=0)
-        for i in range(high):
-            parts, at = [], 0
-            for lines, span in cells:
-                width = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                at += span
+        for i in range(max(len(lines) for _, _, lines in cells)):
+            parts, upto = [], 0
+            for at, columns, lines in cells:
+                parts += ["".ljust(widths.get(k, 0)) for k in range(upto, at)]
+                width = sum(widths.get(k, 0) for k in range(at, at + columns)) + 3 * (columns - 1)
+                parts.append((lines[i] if i < len(lines) else "").ljust(min(width, WIDE)))
+                upto = at + columns
             while len(parts) > 1 and not parts[-1].strip():
                 parts.pop()
             out.append(" | ".join(parts).rstrip())
@@ -354,9 +401,13 @@ def _table(node: Node, visible: bool) -> list[str]:
 def page_text(html: str | None) -> str:
     if not html:
         return ""
-    if sys.getrecursionlimit() < 20 * DEPTH:
-        sys.setrecursionlimit(20 * DEPTH)
-    lines = rendered(tree(html).children, True)
+    root, depth = tree(html)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 8 * depth + 1000))  # three calls a level at most, whose frames lie on the heap
+    try:
+        lines = rendered(root.children, True)
+    finally:
+        sys.setrecursionlimit(before)
     return "\n".join(x.rstrip() for x in lines).strip("\n")
 
 

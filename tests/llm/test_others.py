@@ -1,5 +1,9 @@
 """Operators on vectors and pages, and the pipeline."""
 
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -188,6 +192,13 @@ def test_warc_many_blocks(spark, monkeypatch):
 
 
 PAGES = {
+    "<div>" * 300 + '<div style="display:none">secret</div>' + "shown": "shown",
+    "<table><tr><td rowspan=2>two rows<td>a<tr><td>c<tr><td>x<td>y</table>": "two rows | a\n         | c\nx        | y",
+    "<table><tbody><tr><td rowspan=0>all<td>1<tr><td>2</tbody><tr><td>next<td>4</table>": "all  | 1\n     | 2\nnext | 4",
+    "<table><tr>" + "".join(f"<td>{i}" for i in range(1000)) + "</table>": " | ".join(map(str, range(1000))),
+    "<table><tr><td colspan=1000>wide<tr>" + "<td>z" * 1000 + "</table>": "wide\n" + " | ".join("z" * 1000),
+    '<p class=a">one</p><p title="x>y">two</p><a href=x\'y>three</a>': "one\n\ntwo\n\nthree",
+    "<math><mi>x</mi><annotation>no</annotation></math> <svg><title>t</title><desc>d</desc><text>label</text></svg>": "x label",
     "<p>a<p>b <b>c</b>d": "a\n\nb cd",
     "<ul><li>x<li>y<ol start=3><li>q<li>r</ol></ul>": "- x\n- y\n\n  3. q\n  4. r",
     "<table><tr><td>1<td>long cell<tr><th>22222<td>z</table>": "1     | long cell\n22222 | z",
@@ -213,6 +224,41 @@ def test_html_text(html):
     assert htmltext.page_text(html) == PAGES[html]
 
 
+class Words(HTMLParser):
+    """Another reader of pages: the words outside hidden elements, in any layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        style = (a.get("style") or "").replace(" ", "").lower()
+        hide = tag in htmltext.HIDDEN or "hidden" in a or "display:none" in style or "visibility:hidden" in style
+        if tag not in htmltext.VOID:
+            self.open.append((tag, hide))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.found += re.findall(r"[^\W\d_]+", data)
+
+
+def test_html_words_of_another_parser(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    differ = 0
+    for r in rows:
+        other = Words()
+        other.feed(r["html"] or "")
+        other.close()
+        differ += Counter(re.findall(r"[^\W\d_]+", htmltext.page_text(r["html"]))) != Counter(other.found)
+    assert differ <= 0.02 * len(rows), differ  # broken pages may be read in two ways
+
+
 def test_html_odd(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = spark.createDataFrame([(1, None, "t"), (2, deep, None), (None, "<p>x", "t"), (3, "<table><tr><td>" * 200 + "x", "t"), (4, "<a " * 20_000, "t")], "page_id long, html string, text string")
