@@ -13,6 +13,7 @@ an empty table gives no pieces; only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,15 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 _PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@[-`{-~]+")
 _CHUNKS = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: What the splitting above is that of; with any other tokenizer all texts go through its own encoding.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Marks a chunk that the tokenizer has to split itself.
 _ODD = "\x00"
 
@@ -62,6 +72,9 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.plain = made["normalizer"] == PLAIN_NORMALIZER and made["pre_tokenizer"] == PLAIN_SPLITTER and made["model"]["type"] == "BPE"
+        self.size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.forget()
 
     def forget(self, but: int = 0) -> None:
@@ -103,6 +116,8 @@ class Words(dict):
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids; texts go through in parts of some MB."""
+        if not self.plain:
+            return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         out, at = [], 0
         while at < len(texts):
             to, size = at, 0
@@ -145,22 +160,26 @@ def _hashing(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.integers(0, WIDTH, vocabulary), rng.choice((-1.0, 1.0), vocabulary), rng.standard_normal((WIDTH, DIMS))
 
 
-def _projected(ids: np.ndarray) -> np.ndarray:
-    bucket, sign, directions = _hashing(1 << 16)
+def _projected(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    bucket, sign, directions = _hashing(vocabulary)
     v = np.bincount(bucket[ids], weights=sign[ids], minlength=WIDTH)
     v = np.sign(v) * np.sqrt(np.abs(v))
     return v @ directions / max(float(np.sqrt(v @ v)), 1e-9)
 
 
+def id_type(vocabulary: int, end: int) -> str:
+    return "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
+
+
 def _tokenised(path: str, end: int, kept: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _words(path)
         words.kept = kept
-        last = np.array([end], dtype="<u4")
+        last, width = np.array([end], dtype="<u4"), id_type(words.size, end)
         for b in batches:
             ids = [np.concatenate([x, last]) for x in words.ids(list(b["text"]))]
-            at = np.array([_projected(x) for x in ids]).reshape(len(ids), DIMS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) for x in ids], **{f"x{i}": at[:, i] for i in range(DIMS)}, "ids": [x.astype("<u2").tobytes() for x in ids]})
+            at = np.array([_projected(x, max(1 << 16, words.size, end + 1)) for x in ids]).reshape(len(ids), DIMS)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) for x in ids], **{f"x{i}": at[:, i] for i in range(DIMS)}, "ids": [x.astype(width).tobytes() for x in ids]})
 
     return run
 
@@ -207,7 +226,7 @@ def _placed(moments: list[tuple[float, float]], bounds: list[int]) -> Column:
     return place(*[F.col(f"x{i}") for i in range(DIMS)], F.shiftrightunsigned(F.xxhash64("doc_id", "n"), 64 - SALT))
 
 
-def _cut(starts: dict[int, int], length: int, whole: bool):
+def _cut(starts: dict[int, int], length: int, whole: bool, width: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at = None, 0
         for b in batches:
@@ -215,7 +234,7 @@ def _cut(starts: dict[int, int], length: int, whole: bool):
             for p, doc, ids in zip(b["part"], b["doc_id"], b["ids"], strict=True):
                 if p != part:
                     part, at = p, starts[p]
-                ids = np.frombuffer(ids, dtype="<u2").astype("<u4")
+                ids = np.frombuffer(ids, dtype=width).astype("<u4")
                 n = len(ids)
                 first = at
                 while at < first + n:
@@ -240,9 +259,10 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int
     A worker remembers the tokens of `kept` words, at about 200 bytes each, and takes `rows` texts at once."""
     spark = docs.sparkSession
     C.small_batches(spark, rows)
+    path = path or tokenizer_path()
     light = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = ", ".join(f"x{i} double" for i in range(DIMS))
-    tokens = C.stage(light.mapInPandas(_tokenised(path or tokenizer_path(), end, kept), f"doc_id string, n long, {fields}, ids binary"), "tokens")
+    tokens = C.stage(light.mapInPandas(_tokenised(path, end, kept), f"doc_id string, n long, {fields}, ids binary"), "tokens")
     m = tokens.agg(F.sum("n").alias("n"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not m["n"]:
         return as_ids(spark.createDataFrame([], PIECES))
@@ -257,7 +277,7 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end: int
     for r in sorted(keyed.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         starts[r["part"]], total = total, total + r["n"]
     ordered = keyed.drop("n").repartition(len(starts), "part").sortWithinPartitions("part", "key", "doc_id", "ids")
-    return as_ids(ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length, whole), PIECES))
+    return as_ids(ordered.select("part", "doc_id", "ids").mapInPandas(_cut(starts, length, whole, id_type(_words(path).size, end)), PIECES))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

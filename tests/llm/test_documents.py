@@ -83,6 +83,15 @@ def test_pieces_are_what_the_tokenizer_gives():
         assert list(w.ids([t])[0]) == w.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_other_tokenizers_encode_themselves(spark):
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    w, t = packing.Words(path), "Hello World, it is a test"
+    assert not w.plain and list(w.ids([t, None])[0]) == w.tokenizer.encode(t, add_special_tokens=False).ids
+    got = packing.pack(frame(spark, [t]), path=path).first()
+    assert np.frombuffer(got["ids"], dtype="<u4").tolist() == [*w.ids([t])[0], 2]
+    assert packing.id_type(50_000, 2) == "<u2" and packing.id_type(70_000, 2) == packing.id_type(10, 1 << 16) == "<u4"
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     keys = packing.hilbert(cells, 3)
