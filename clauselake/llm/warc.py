@@ -135,9 +135,11 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def build_index(spark: SparkSession, root: str) -> None:
     """Scans the archives and writes root/index (blocks) and root/directory."""
     files = spark.read.format("binaryFile").load(f"{root}/archive").filter("length > 0").select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a file
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "8")  # a row is a file
     captures = C.stage(files.mapInPandas(_scan, "key string, date string, file string, offset long, length long, fields string"), "captures")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set(batch, before)
     order = [F.col(c) for c in ("key", "date", "file", "offset")]
     lines = C.numbered(captures, order, "at").withColumn("block", F.floor(F.col("at") / BLOCK))
     n = max(1, C.partitions(spark))
