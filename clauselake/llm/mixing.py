@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKET = 10_000
+BUCKET = 1000
+#: Classes of equal sizes, at about 60 bytes each, that may be sent to all executors.
+BROADCAST = 200_000
 STEPS = 6
 
 
@@ -103,7 +105,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     rates = C.cut(duals(targets(sums, **how)).select("key", "source_size", "target", "rate"))
     due = classes.join(rates, "key").groupBy("key").applyInPandas(_rounded(tolerance), "key string, size long, n long, whole long, extra long, cut long")
     due = C.cut(due.withColumn("buckets", F.ceil(F.col("n") / BUCKET)))
+    if due.count() <= BROADCAST:  # else rows move to meet their class, in a join that Spark splits where it is skewed
+        due = F.broadcast(due)
     rows = light.join(due, ["key", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("buckets")))
+    rows = rows.repartition("key", "size", "bucket")  # so that no later step gathers a class
     per = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("in"), *[F.first(c).alias(c) for c in ("n", "extra")])
     upto = F.sum("in").over(Window.partitionBy("key", "size").orderBy("bucket"))
     portion = lambda x: F.floor(F.col("extra") * x / F.col("n"))
