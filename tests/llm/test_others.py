@@ -287,11 +287,24 @@ def test_pipeline(spark, sf_dir, tmp_path):
 
 
 def test_pipeline_odd(spark, sf_dir, tmp_path):
-    rows = [(1, None, "a"), (2, "", None), (3, "one two", "a"), (3, "one two", "a"), (None, "x a@b.co", "b"), (None, None, None), (5, "mail a@b.co " * 5000, "b")]
-    for at, docs in (("odd", spark.createDataFrame(rows, "doc_id long, text string, source string")), ("empty", spark.createDataFrame([], "doc_id long, text string, source string"))):
+    rows = [(1, None, "a"), (2, "", None), (3, "one two", "a"), (3, "one two", "a"), (3, "other words", "a"), (4, "One  two", "b"), (None, "x a@b.co", "b"), (None, None, None), (None, "one two", "c"), (5, "mail a@b.co " * 5000, "b")]
+    kind = "doc_id long, text string, source string, k int, id int, row_key int, size int, __id int, c string"
+    wide = [(*r, i, i, i, i, i, "c") for i, r in enumerate(rows)]
+    for at, docs in (("odd", spark.createDataFrame(wide, kind)), ("empty", spark.createDataFrame([], kind))):
+        got = {}
         for name, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, sf_dir).write.parquet(str(tmp_path / at / name))
-            docs = spark.read.parquet(str(tmp_path / at / name))
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(str(tmp_path / at / name))
+            out = spark.read.parquet(str(tmp_path / at / name))
+            assert name == "packing" or out.columns == docs.columns
+            docs, got[name] = out, sorted(((r["doc_id"], r["text"] if name != "packing" else r["start"]) for r in out.collect()), key=repr)
+        if at == "empty":
+            assert not any(got.values())
+            continue
+        mail = "mail a@b.co " * 5000
+        assert got["near_duplicates"] == sorted([(1, None), (2, ""), (3, "one two"), (3, "other words"), (None, "x a@b.co"), (None, None), (5, mail)], key=repr)
+        assert not any(t and "@" in t for _, t in got["personal_data"]) and len(got["personal_data"]) == 7
+        assert {(1, None), (2, ""), (None, None)} <= set(got["source_mix"]) and got["packing"]
 
 
 def test_registered(spark, sf_dir):
