@@ -7,25 +7,32 @@ the smallest page id is a response and the others are revisits of it.
 Index: the archives are scanned once; every capture's line (reversed-host URL key, date, place in the archive, digest) is
 range-sorted by key into blocks of BLOCK lines, compressed each. A sparse directory keeps every block's first key. A lookup
 finds the last directory entry up to the key, searches the block's lines by bisection, and reads the record's byte
-range from the archive.
+range from the archive: lookup() for one URL from the driver, resolve() for a table of URLs in tasks. resolve() searches the directory in
+slices of ENTRIES, meets each block with the keys it may hold in one sorted stream, and reads the ranges of an archive in their order; its
+workers open the archives by pyarrow, so spark.checkpoint.dir must be in a store that pyarrow opens too (local or mounted folders, HDFS
+with its libraries, S3, GCS).
 
 Edge cases: a null html is an empty payload; a null url has the key "-"; repeated rows with the smallest id are all responses;
-null page ids never name a response unless all of a payload's are null; odd bytes in URLs are percent-encoded; an empty table
-gives empty archives; only the named columns are read.
+null page ids never name a response unless all of a payload's are null; odd bytes in URLs are percent-encoded, and looked up so; an empty
+table gives empty archives and no captures; a URL that occurs often is looked up once, and each of its captures is given once; URLs without
+a capture give no row; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import closing
 from hashlib import md5, sha1
 from urllib.parse import quote, urlsplit
 from uuid import UUID, uuid4
 
 import pandas as pd
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +41,8 @@ from . import common as C
 BLOCK, RECORDS = 3000, 2000
 #: Repeated payloads, at about 100 bytes each, that may be sent to all executors.
 BROADCAST = 50_000
+#: Directory entries, at about 100 bytes each, that are searched at once.
+ENTRIES = 100_000
 DATE = "2024-01-01T00:00:00Z"
 LINES = "key string, date string, file string, offset long, length long, page_id long, type string, refers_to long, digest string, payload long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,6 +62,16 @@ def surt(url: str | None) -> str:
     return quote(f"{','.join(reversed(host.split('.')))}{at}){tail}", safe=":/?&=#%,)")
 
 
+def target(url: str | None) -> str:
+    """A URL as a record's header states it."""
+    return quote(url or "about:blank", safe=":/?&=#%+,;@!$()*~")
+
+
+def capture_key(uri: str) -> str:
+    """The index key of a header's URI."""
+    return surt(None if uri == "about:blank" else uri)
+
+
 def digest(payload: bytes) -> str:
     return b32encode(sha1(payload).digest()).decode()
 
@@ -68,7 +87,7 @@ def record(page_id: int | None, url: str | None, html: str | None, first: int |
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if first is None else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, sha)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?&=#%+,;@!$()*~')}", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http;msgtype=response"]
+    head += [f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http;msgtype=response"]
     if first is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, sha)}", f"X-Refers-To-Page: {first}"]
     head += [f"X-Page: {'' if page_id is None else page_id}", f"Content-Length: {len(block)}", "", ""]
@@ -108,7 +127,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for path, content in zip(b["path"], b["content"], strict=True):
-            rows = [(surt(None if h["warc-target-uri"] == "about:blank" else h["warc-target-uri"]), h["warc-date"], path, at, n, json.dumps(described(h, block))) for at, n, h, block in parse(content)]
+            rows = [(capture_key(h["warc-target-uri"]), h["warc-date"], path, at, n, json.dumps(described(h, block))) for at, n, h, block in parse(content)]
             yield pd.DataFrame(rows, columns=["key", "date", "file", "offset", "length", "fields"])
 
 
@@ -172,9 +191,91 @@ def captures(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/index").select("data").mapInPandas(_opened, LINES)
 
 
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"key": [capture_key(target(u)) for u in b["url"]]}, dtype="object")
+
+
+def _placed(firsts, start: int) -> Callable:
+    """For each key the blocks that may hold it, by bisection in a slice of the directory that starts at block `start`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = firsts.value
+        for b in batches:
+            low = [start + max(bisect.bisect_left(f, k) - 1, 0) for k in b["key"]]
+            high = [start + bisect.bisect_right(f, k) - 1 for k in b["key"]]
+            yield pd.DataFrame({"key": b["key"], "low": low, "high": high})
+
+    return run
+
+
+def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of the captures of keys, from rows sorted by block, where the block itself comes before the keys it may hold."""
+    lines: list = []
+    for b in batches:
+        places = []
+        for key, data in zip(b["key"], b["data"], strict=True):
+            if data is not None:
+                lines = unpacked(data)
+                if len(places) > BLOCK:  # one key may fill many blocks
+                    yield pd.DataFrame(places, columns=["file", "offset", "length"])
+                    places = []
+                continue
+            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+            while at < len(lines) and lines[at][0] == key:
+                places.append(lines[at][2])
+                at += 1
+        yield pd.DataFrame(places, columns=["file", "offset", "length"])
+
+
+def _opened_file(uri: str):
+    """A file that a worker can seek in; local paths may come without a host and unescaped."""
+    store, path = stores.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
+    return store.open_input_file(path)
+
+
+def _fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of byte ranges, from rows sorted by file; digests of responses are taken from the bytes that were read."""
+    for b in batches:
+        rows = []
+        for file, part in b.groupby("file", sort=False):
+            with closing(_opened_file(file)) as stream:
+                for at, n in zip(part["offset"], part["length"], strict=True):
+                    stream.seek(at)
+                    _, _, head, block = next(parse(stream.read(n)))
+                    rows.append(described(head, block))
+        out = pd.DataFrame(rows, columns=["page_id", "type", "refers_to", "digest", "payload"])
+        for c in ("page_id", "refers_to"):
+            out[c] = pd.array([r[c] for r in rows], dtype="Int64")
+        yield out
+
+
+def resolve(spark: SparkSession, root: str, urls: DataFrame, url: str = "url") -> DataFrame:
+    """(page_id, type, refers_to, digest, payload) of all captures of a table's URLs, through directory, blocks and byte ranges."""
+    C.small_batches(spark)
+    n = max(1, C.partitions(spark))
+    keys = C.stage(urls.select(F.col(url).cast("string").alias("url")).distinct().mapInPandas(_keys, "key string").distinct(), "keys")
+    directory, places = spark.read.parquet(f"{root}/directory"), None
+    for start in range(0, directory.count(), ENTRIES):
+        entries = directory.filter(F.col("block").between(start, start + ENTRIES)).orderBy("block").select("first_key").collect()
+        firsts = [r[0] for r in entries]
+        here = keys.filter(F.col("key") >= firsts[0])
+        if len(firsts) > ENTRIES:  # a key that the next slice starts with may begin in this one's last block
+            here = here.filter(F.col("key") <= firsts.pop())
+        some = here.mapInPandas(_placed(spark.sparkContext.broadcast(firsts), start), "key string, low long, high long")
+        places = some if places is None else places.unionByName(some)
+    if places is None:
+        return spark.createDataFrame([], "page_id long, type string, refers_to long, digest string, payload long")
+    asked = places.select(F.explode(F.sequence("low", "high")).alias("block"), "key", F.lit(None).cast("binary").alias("data"))
+    blocks = spark.read.parquet(f"{root}/index").select("block", F.lit(None).cast("string").alias("key"), "data")
+    met = blocks.unionByName(asked).repartition(n, "block").sortWithinPartitions("block", F.asc_nulls_first("key"))
+    found = met.select("key", "data").mapInPandas(_searched, "file string, offset long, length long")
+    return found.repartition(n, "file").sortWithinPartitions("file", "offset").mapInPandas(_fetched, "page_id long, type string, refers_to long, digest string, payload long")
+
+
 def lookup(spark: SparkSession, root: str, url: str) -> list[tuple[dict, bytes]]:
     """(index fields, record block) of a URL's captures: directory, block, then a range read of the archive."""
-    key, found = surt(url), []
+    key, found = capture_key(target(url)), []
     directory = spark.read.parquet(f"{root}/directory")
     last = directory.filter(F.col("first_key") < key).agg(F.max("block")).first()[0]
     block = 0 if last is None else last
@@ -206,10 +307,10 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
 
 
 def op7_warc_index(spark, sf_dir: str) -> DataFrame:
-    root = f"{C.shared_dir(spark)}/warc-{uuid4().hex}"
+    root, pages = f"{C.shared_dir(spark)}/warc-{uuid4().hex}", C.table(spark, sf_dir, "pages")
     C.forget_later(spark, root)
-    write(C.table(spark, sf_dir, "pages"), root)
+    write(pages, root)
     build_index(spark, root)
-    return captures(spark, root).select(
+    return resolve(spark, root, pages).select(
         "page_id", F.col("payload").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
     )

@@ -165,6 +165,9 @@ def test_warc(spark):
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
     assert len(got) == len(rows)
+    urls = spark.createDataFrame([(u, "k") for _, u, _ in rows] + [("http://nowhere.example/", "k")] * 2, "url string, key string")
+    through = warc.resolve(spark, root, urls)
+    assert sorted(map(str, through.collect())) == sorted(map(str, warc.captures(spark, root).select(through.columns).collect()))
     for i, u, h in rows:
         payload = (h or "").encode()
         same = [r for r in got.itertuples() if r.digest == warc.digest(payload) and (r.page_id == i or (i is None and pd.isna(r.page_id)))]
@@ -179,7 +182,8 @@ def test_warc(spark):
     empty = f"{common.shared_dir(spark)}/warc-empty"
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     warc.build_index(spark, empty)
-    assert warc.captures(spark, empty).count() == 0
+    assert warc.captures(spark, empty).count() == 0 and warc.resolve(spark, empty, urls).count() == 0
+    assert warc.resolve(spark, root, urls.limit(0)).count() == 0
 
 
 def test_warc_many_blocks(spark, monkeypatch):
@@ -189,6 +193,13 @@ def test_warc_many_blocks(spark, monkeypatch):
     warc.build_index(spark, root)
     got = warc.lookup(spark, root, "http://h4.org/1")
     assert sorted(f["page_id"] for f, _ in got) == [i for i in range(60) if i % 9 == 4 and i % 3 == 1]
+    # keys over many blocks, and over slices of the directory that start and end within a key
+    every = spark.createDataFrame([(f"http://h{i}.org/{j}",) for i in range(10) for j in range(4)], "url string")
+    for entries in (1, 2, 7, 100):
+        monkeypatch.setattr(warc, "ENTRIES", entries)
+        assert sorted(r["page_id"] for r in warc.resolve(spark, root, every).collect()) == list(range(60))
+    some = spark.createDataFrame([("http://h4.org/1",), (None,), ("http://h0.org/9",), ("http://h4.org/1",)], "url string")
+    assert sorted(r["page_id"] for r in warc.resolve(spark, root, some).collect()) == [i for i in range(60) if i % 9 == 4 and i % 3 == 1]
 
 
 PAGES = {
