@@ -229,8 +229,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vector: str = "embed
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     big = F.lit(1.7e308)
     finite = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= big)) & F.exists("v", lambda x: x != 0)
-    # lengths do not count: with a largest component of 1 no square overflows or vanishes
-    base = base.withColumn("m", F.when(finite, F.array_max(F.transform("v", F.abs)))).withColumn("v", F.when(finite, F.transform("v", lambda x: x / F.col("m") + 0.0))).drop("m")
+    # lengths do not count: with a largest component of 1 no square overflows or vanishes; the largest is a lambda's variable, found once and not per component
+    largest = F.array(F.array_max(F.transform("v", F.abs)))
+    base = base.withColumn("v", F.when(finite, F.transform(largest, lambda m: F.transform("v", lambda x: x / m + 0.0))[0]))
     live = base.filter("v is not null and vec_id is not null")
     reps = C.cut(live.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
     n = reps.count()
