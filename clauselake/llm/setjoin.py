@@ -11,10 +11,13 @@ suffice (`short`) has its band signed by hash-ordered prefixes as well, in a sec
 Texts with equal sets are one node. The spare segments also say how many signatures a similar pair shares at least. So in
 buckets of up to SMALL nodes, pairs of fitting sizes are counted and those with that many are verified, exactly. In
 larger ones the least node (a hash) is the pivot, all others are verified against it, and components are found; where a bucket
-then still holds several, and a text in it whose spare signatures do not outnumber its large buckets, the texts that such
-buckets connect are compared in blocks, without rows for pairs: counts of shared shingles along posting lists give the links
-between components. So a large bucket costs one pair per member, no link between different texts is lost, and no row holds a
-bucket.
+then still holds several, and a text in it whose spare signatures do not outnumber its large buckets, its texts are signed
+again by their rarest shingles (`_prefixes`): as many as a similar text cannot all lack, in an order by a count sketch of fixed
+size, so that a common passage leaves no bucket behind. Small ones of these buckets give pairs to verify, where their places in
+both texts allow the similarity; in large ones with several components, where one member is near enough to its text's start for
+the smaller of a pair, the texts that they connect are compared in blocks, without rows for pairs: counts of shared shingles
+along posting lists give the links between components. So a large bucket costs one pair per member, no link between different
+texts is lost, and no row holds a bucket.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: null texts and texts without words have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle; repeated rows are copies; null ids take part but never name
@@ -45,6 +48,8 @@ SMALL = 16
 BLOCK = 2000
 #: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early.
 PART, HELD, HOT = 500_000, 3_000_000, 256
+#: Cells of the sketch that counts shingles in the texts of large buckets; every order by it is right, a finer one has fewer pairs.
+CELLS = 1 << 20
 #: Chance that an unrelated text holds a given shingle, for the cost model.
 COMMON = 0.02
 
@@ -294,6 +299,43 @@ def _verified(n: int):
     return run
 
 
+def _weighed(n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cells of a partition's shingles, with counts."""
+        import zstandard
+
+        z, total = zstandard.ZstdDecompressor(), np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            for blob in b["blob"]:
+                cells, m = np.unique(shingle_set(z.decompress(blob).decode(), n) % np.uint64(CELLS), return_counts=True)
+                total[cells.astype(np.int64)] += m
+        cells = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cells, "m": total[cells]})
+
+    return run
+
+
+def _prefixes(n: int, percent: int, weights):
+    """(s, at, inner) of a text's rarest shingles. If two texts are similar, the first shingle that they share in this order is among
+    these of both, and among the inner ones of the smaller: those after which enough of its shingles are left."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        z, weight = zstandard.ZstdDecompressor(), weights.value
+        for b in batches:
+            out = []
+            for node, size, blob in zip(b["node"], b["n"], b["blob"], strict=True):
+                xs = shingle_set(z.decompress(blob).decode(), n)
+                first = np.lexsort((xs, weight[(xs % np.uint64(CELLS)).astype(np.int64)]))[: len(xs) - (len(xs) * percent + 99) // 100 + 1]
+                at = np.arange(len(first))
+                out.append(pd.DataFrame({"s": xs[first].view(np.int64), "node": node, "n": size, "at": at, "inner": at * (100 + percent) <= len(xs) * (100 - percent)}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
 def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles, where each one's holders begin, and the holders."""
     key, posting = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
@@ -398,17 +440,54 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     C.release(placed, starred, links)
     several = named.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("spare").alias("spare"), F.min("node").alias("anchor")).filter("lo <> hi and spare < 0").select("s", "anchor")
     several = C.stage(several, "several")
-    rest = C.stage(named.join(several, "s").select("anchor", "node", "component", "spare", "n").distinct(), "rest")
+    met = C.stage(named.join(several, "s").groupBy("node", "component", "n").agg((F.min("spare") < 0).alias("bare")), "met")
     C.release(named, several)
+    new = _linked_by_rare(spark, met, texts, n, percent, verify, linked)
+    C.release(met, texts)
+    if new is not None:
+        classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
+    return _labelled(table.select("doc_id", "n", "node"), classes)
+
+
+def _linked_by_rare(spark, met: DataFrame, texts: DataFrame, n: int, percent: int, verify, linked) -> DataFrame | None:
+    """Links (a, b) between components of met (node, component, n, bare), where one of the two is bare: all pairs in small buckets of
+    rare shingles, blocks in large ones. None if there are none."""
+    if not met.head(1):
+        return None
+    own = texts.join(met.select("node", "n"), "node")
+    cells = own.select("blob").mapInPandas(_weighed(n), "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).toPandas()  # CELLS rows at most
+    weight = np.zeros(CELLS, dtype=np.int64)
+    weight[cells["cell"].to_numpy()] = cells["m"].to_numpy()
+    weights = spark.sparkContext.broadcast(weight)
+    rare = own.select("node", "n", "blob").mapInPandas(_prefixes(n, percent, weights), "s long, node long, n long, at long, inner boolean")
+    rare = C.stage(rare.join(met.select("node", "component", "bare"), "node"), "rare")
+    buckets = rare.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("any"), F.max("bare").alias("bare"), F.min("node").alias("anchor"))
+    buckets = C.stage(buckets.filter("lo <> hi and any and bare").select("s", "m", "anchor"), "several")
+    small = rare.join(buckets.filter(F.col("m") <= SMALL).select("s"), "s")
+    side = lambda k: small.select("s", *[F.col(c).alias(c + k) for c in ("node", "n", "at", "component", "bare")])
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= percent * (F.col("nx") + F.col("ny"))
+    pairs = side("x").join(side("y"), "s").filter((F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & (F.col("barex") | F.col("barey")) & enough)
+    pairs = pairs.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
+    new = C.cut(verify(pairs).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rest = C.stage(rare.join(buckets.filter(F.col("m") > SMALL), "s").select("anchor", "node", "component", "inner", "n").distinct(), "rest")
+    C.release(rare, buckets)
+    if rest.head(1):
+        new = new.unionByName(_linked_by_blocks(rest, texts, n, percent))
+    C.release(rest)
+    return new if new.head(1) else None
+
+
+def _linked_by_blocks(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of rest (anchor, node, component, inner, n), where one of the two is inner."""
     group = components(rest.select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct())
     # similar texts are in one class of sizes or in neighbouring ones
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
-    member = rest.select("node", "component", (F.col("spare") < 0).alias("bare"), size_class.alias("c")).distinct()
+    member = rest.groupBy("node", "component", size_class.alias("c")).agg(F.max("inner").alias("bare"))
     member = C.stage(member.join(group.select("node", F.col("component").alias("group")), "node"), "member")
-    C.release(rest)
     # what is outside the largest class of its group meets all of the group, in blocks
     most = member.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("group").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
-    member = C.stage(member.join(C.cut(most), "group").withColumn("out", F.col("component") != F.col("most")).drop("most"), "placed")
+    member, met = C.stage(member.join(C.cut(most), "group").withColumn("out", F.col("component") != F.col("most")).drop("most"), "placed"), member
+    C.release(met)
     sizes = member.groupBy("group", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"), F.ceil(F.count_if("out") / BLOCK).alias("out"))
     around = sizes.withColumn("d", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).groupBy("group", (F.col("c") - F.col("d")).alias("c"))
     around = C.cut(around.agg(F.collect_list(F.struct("d", "all", "out")).alias("near"), F.max(F.when(F.col("d") == 0, F.col("all"))).alias("rows"), F.max(F.when(F.col("d") == 0, F.col("out"))).alias("outs")))
@@ -424,10 +503,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     side = lambda x: x.join(texts, "node").select(*[F.col(c).alias(c) for c in (*keys, "node", "component", "bare", "blob")]).groupBy(*keys)  # noqa: E731  new names, as both sides come from one table
     met = side(left).cogroup(side(right))
     new = C.cut(met.applyInPandas(_compared(n, percent), "a long, b long").distinct())
-    C.release(member, texts)
-    if new.head(1):
-        classes = C.cut(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
-    return _labelled(table.select("doc_id", "n", "node"), classes)
+    C.release(member)
+    return new
 
 
 def _checked(texts: DataFrame, n: int) -> DataFrame:
