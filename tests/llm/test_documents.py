@@ -349,6 +349,60 @@ def test_jaccard_chain_in_one_bucket(spark, monkeypatch):
     assert got == classes(list(range(24)), texts, 3, 90)
 
 
+@pytest.mark.parametrize("small", [16, 3])
+def test_jaccard_common_passage(spark, small, monkeypatch):
+    """Texts that share a passage but are not similar, some of which have near copies: large buckets, few of which are left when the
+    rarest shingles sign."""
+    monkeypatch.setattr(setjoin, "SMALL", small)
+    monkeypatch.setattr(setjoin, "BLOCK", 9)
+    blocks, links = [], setjoin._linked_by_blocks
+    monkeypatch.setattr(setjoin, "_linked_by_blocks", lambda rest, *x: blocks.append(rest.select("node").distinct().count()) or links(rest, *x))
+    random.seed(8)
+    passage = [f"p{i}" for i in range(50)]
+    texts = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(random.choice([6, 9, 12, 16]))]
+        texts.append(" ".join(passage + own))
+        if i % 4 == 0:
+            texts.append(" ".join(["new", *passage, *own[:-1]]))
+    random.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "s", "k", 1) for i, t in enumerate(texts)], DOCS)
+    got = [tuple(r) for r in setjoin.jaccard_classes(docs, 5, 80).orderBy("doc_id").collect()]
+    assert got == classes(list(range(len(texts))), texts, 5, 80)
+    assert sum(blocks) <= len(texts)
+
+
+def test_rarest_shingles_meet(monkeypatch):
+    """Of two similar texts, the first shared shingle is among the prefixes of both and an inner one of the smaller, whatever the weights."""
+    import zstandard
+
+    random.seed(2)
+    z = zstandard.ZstdCompressor()
+    seen = 0
+    for cells in (1, 16, 1 << 20):
+        monkeypatch.setattr(setjoin, "CELLS", cells)
+        weights = type("Held", (), {"value": np.random.default_rng(3).integers(0, 4, cells)})
+        for _ in range(150):
+            x = [f"w{random.randrange(30)}" for _ in range(random.randint(1, 60))]
+            y = list(x)
+            for _ in range(random.randint(0, 3)):
+                y.insert(random.randrange(len(y) + 1), f"w{random.randrange(30)}")
+            sets = [setjoin.shingle_set(" ".join(t), 2) for t in (x, y)]
+            both = len(np.intersect1d(*sets))
+            if 100 * both < 80 * (len(sets[0]) + len(sets[1]) - both):
+                continue
+            seen += 1
+            rows = pd.DataFrame({"node": [0, 1], "n": [len(s) for s in sets], "blob": [z.compress(" ".join(t).encode()) for t in (x, y)]})
+            out = pd.concat(setjoin._prefixes(2, 80, weights)(iter([rows])))
+            a, b = out[out["node"] == 0].set_index("s"), out[out["node"] == 1].set_index("s")
+            met = a.join(b, how="inner", lsuffix="x", rsuffix="y")
+            first = met.sort_values("atx").iloc[0]
+            assert first["aty"] == met["aty"].min()
+            assert first["innerx"] if len(sets[0]) <= len(sets[1]) else first["innery"]
+            assert 180 * min(len(sets[0]) - first["atx"], len(sets[1]) - first["aty"]) >= 80 * (len(sets[0]) + len(sets[1]))
+    assert seen > 100
+
+
 def test_hot_signatures_leave_memory_early(spark, monkeypatch):
     """What is held, split and passed through gives the same buckets."""
     rng = np.random.default_rng(1)
