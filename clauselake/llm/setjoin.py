@@ -49,7 +49,7 @@ BLOCK = 2000
 #: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early.
 PART, HELD, HOT = 500_000, 3_000_000, 256
 #: Cells of the sketch that counts shingles in the texts of large buckets; every order by it is right, a finer one has fewer pairs.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Chance that an unrelated text holds a given shingle, for the cost model.
 COMMON = 0.02
 
@@ -315,6 +315,13 @@ def _weighed(n: int):
     return run
 
 
+def _filled(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """A run of 1,024 cells as one value."""
+    held = np.zeros(1024, dtype=np.int64)
+    held[rows["cell"].to_numpy() % 1024] = rows["m"].to_numpy()
+    return pd.DataFrame({"run": [key[0]], "m": [held.tobytes()]})
+
+
 def _prefixes(n: int, percent: int, weights):
     """(s, at, inner) of a text's rarest shingles. If two texts are similar, the first shingle that they share in this order is among
     these of both, and among the inner ones of the smaller: those after which enough of its shingles are left."""
@@ -455,9 +462,10 @@ def _linked_by_rare(spark, met: DataFrame, texts: DataFrame, n: int, percent: in
     if not met.head(1):
         return None
     own = texts.join(met.select("node", "n"), "node")
-    cells = own.select("blob").mapInPandas(_weighed(n), "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).toPandas()  # CELLS rows at most
+    cells = own.select("blob").mapInPandas(_weighed(n), "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m"))
     weight = np.zeros(CELLS, dtype=np.int64)
-    weight[cells["cell"].to_numpy()] = cells["m"].to_numpy()
+    for r in cells.groupBy(F.shiftright("cell", 10).alias("run")).applyInPandas(_filled, "run long, m binary").collect():  # CELLS / 1024 rows
+        weight[r["run"] * 1024 : (r["run"] + 1) * 1024] = np.frombuffer(r["m"], dtype=np.int64)
     weights = spark.sparkContext.broadcast(weight)
     rare = own.select("node", "n", "blob").mapInPandas(_prefixes(n, percent, weights), "s long, node long, n long, at long, inner boolean")
     rare = C.stage(rare.join(met.select("node", "component", "bare"), "node"), "rare")
