@@ -47,7 +47,7 @@ class Scanner:
     def __init__(self, size: int = SLICE, base: int = 0x9E3779B97F4A7C15):
         self.size, self.classes = size, byte_classes()
         inverse = pow(base, -1, 1 << 64)
-        self.power, self.back = (np.cumprod(np.concatenate([[1], np.full(size, b, np.uint64)]).astype(np.uint64)) for b in (base, inverse))
+        self.power, self.back = (np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64)), dtype=np.uint64) for b in (base, inverse))
         self.masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
     def words(self, data: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
