@@ -2,13 +2,14 @@
 
 import random
 import re
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from clauselake.llm import filteraudit
+from clauselake.llm import filteraudit, rulelist
 
 DOCS = "doc_id long, text string, lang string, source string, mask int, n int, part string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -112,3 +113,53 @@ def test_scan_long_text():
     counts, _ = filteraudit.scan(filteraudit.Scanner(), pa.array([text, "a b"]))
     assert counts[0, :2].tolist() == [2_000_000, 70_001] and counts[1, :2].tolist() == [2, 2]
     assert filteraudit.masks(np.array(counts)).tolist() == [2, 1]
+
+
+# --- 13 quality rules
+
+
+def brute_statistics(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = {x for x in triples if triples.count(x) > 1} if len(triples) < 3000 else {x for x, n in Counter(triples).items() if n > 1}
+    covered = {i + k for i, x in enumerate(triples) if x in often for k in range(3)}
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_statistics_brute_force(spark, mixed):
+    random.seed(4)
+    texts = [t for _, t, _ in mixed] + ["a b c a b c a b c", "x x x x", "a b c d a b c", "l\nl\n\n \nl\r\nl", "a b", "é é é é <b>|</b>", "one two three\nfour " * 900, "w " * 20_000, "\x1c \x85 \xa0\n\x1c \x85 \xa0"]
+    texts += [" ".join(random.choice("abc") for _ in range(random.randint(0, 30))) for _ in range(60)]
+    got = {r["doc_id"]: [r[c] for c in rulelist.COUNTS] for r in rulelist.statistics(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: brute_statistics(t) for i, t in enumerate(texts)}
+
+
+def prose(n):
+    return " ".join(f"word{random.randint(0, 9999)}" for _ in range(n))
+
+
+def test_rules_learn(spark):
+    """Two kinds of junk, each by a rule of its own; a held-out half is judged by the list that the other half taught."""
+    random.seed(6)
+    n = lambda: random.randint(60, 160)
+    kinds = {0: lambda: prose(n()), 1: lambda: " ".join(x + "##" for x in prose(n()).split()), 2: lambda: prose(n()).upper()}
+    rows = [(i, kinds[0 if i % 3 else 1 + i % 2](), "en") for i in range(600)]
+    junk = {i for i, *_ in rows if not i % 3}
+    labels = [(i, int(i not in junk), 0) for i in range(300)] + [(None, 0, 0), (1, None, 0), (700, 0, 0)]
+    known = spark.createDataFrame(labels, LABELS)
+    out = rulelist.judge(frame(spark, rows), known).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == junk and not any(r["base_failed"] for r in out)
+    assert len({r["rule"] for r in out} - {None}) == 2
+
+
+def test_rules_odd(spark, mixed):
+    rows = [*mixed, (None, None, None), (None, prose(60), "en"), mixed[0], mixed[0], (5000, "x" * 5000 + " y" * 80, "en")]
+    for labels in ([], [(1, 1, 1)], [(1, 1, 1), (1, 0, 1), (2, None, None)]):
+        out = rulelist.judge(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            fails = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+            assert r["base_failed"] == fails and r["kept"] == (not fails) and r["rule"] is None
+    assert rulelist.judge(frame(spark, rows).limit(0), spark.createDataFrame([(1, 1, 1)], LABELS)).count() == 0
