@@ -44,8 +44,8 @@ def byte_classes() -> np.ndarray:
 class Scanner:
     """Counts of words, distinct words, capitals, symbols and code points of many texts in one buffer."""
 
-    def __init__(self, size: int = SLICE, base: int = 0x9E3779B97F4A7C15):
-        self.size, self.classes = size, byte_classes()
+    def __init__(self, size: int = SLICE, base: int = 0x9E3779B97F4A7C15, classes: np.ndarray | None = None):
+        self.size, self.classes = size, byte_classes() if classes is None else classes
         inverse = pow(base, -1, 1 << 64)
         self.power, self.back = (np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64)), dtype=np.uint64) for b in (base, inverse))
         self.masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -115,12 +115,9 @@ class Scanner:
             out[i, 1] = len(set(data[offsets[i] : offsets[i + 1]].tobytes().split()))
         return out
 
-    def long_counts(self, data: np.ndarray) -> np.ndarray:
-        """The same of one text of any length, in slices that end at white space; words of `size` bytes or more are told apart by digests."""
-        out, giants, at = np.zeros(5, np.int64), set(), 0
-        spare = np.concatenate([data, np.zeros(8, np.uint8)])
-        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        clash = False
+    def slices(self, data: np.ndarray):
+        """(start, end, giant) of slices that end where words end: of at most `size` bytes, or one word of `size` bytes or more."""
+        at = 0
         while at < len(data):
             end, giant = min(at + self.size, len(data)), False
             white = np.flatnonzero((self.classes[data[at:end]] & WORD) == 0)
@@ -131,6 +128,16 @@ class Scanner:
                 while end < len(data) and self.classes[data[end]] & WORD:
                     gap = np.flatnonzero((self.classes[data[end : end + self.size]] & WORD) == 0)
                     end += int(gap[0]) if len(gap) else min(self.size, len(data) - end)
+            yield at, end, giant
+            at = end
+
+    def long_counts(self, data: np.ndarray) -> np.ndarray:
+        """The same of one text of any length, in slices that end at white space; words of `size` bytes or more are told apart by digests."""
+        out, giants = np.zeros(5, np.int64), set()
+        spare = np.concatenate([data, np.zeros(8, np.uint8)])
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        clash = False
+        for at, end, giant in self.slices(data):
             part = data[at:end]
             cls = self.classes[part]
             out[2:] += [np.count_nonzero(cls & m) for m in (CAPITAL, SYMBOL, POINT)]
@@ -144,7 +151,6 @@ class Scanner:
                 pick, bad = self.firsts(spare, np.zeros(len(new[0]), np.uint8), *new)
                 clash |= bool(len(bad))
                 kept = [x[pick] for x in new]
-            at = end
         out[1] = len(set(data.tobytes().split())) if clash else len(kept[0]) + len(giants)
         return out
 

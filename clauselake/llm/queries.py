@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .collocations import SQL as COLLOCATION_SQL
+from .collocations import op12_collocations
 from .filteraudit import SQL as AUDIT_SQL
 from .filteraudit import op11_filter_audit
 from .hamming import SQL as HAMMING_SQL
@@ -17,5 +19,5 @@ from .toxicity import op5_toxicity
 from .vectors import op3_near_vectors
 from .warc import op7_warc_index
 
-QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op3_near_vectors, op4_hamming_topk, op5_toxicity, op6_source_mix, op7_warc_index, op8_repeated_substrings, op9_jaccard_join, op10_html_text, op11_filter_audit, op13_quality_rules)}
-ORACLE_SQL = {"op4_hamming_topk": HAMMING_SQL, "op11_filter_audit": AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_curve_packing, op2_pii_spans, op3_near_vectors, op4_hamming_topk, op5_toxicity, op6_source_mix, op7_warc_index, op8_repeated_substrings, op9_jaccard_join, op10_html_text, op11_filter_audit, op12_collocations, op13_quality_rules)}
+ORACLE_SQL = {"op4_hamming_topk": HAMMING_SQL, "op11_filter_audit": AUDIT_SQL, "op12_collocations": COLLOCATION_SQL}
