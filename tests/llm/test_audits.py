@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from clauselake.llm import filteraudit, rulelist
+from clauselake.llm import collocations, filteraudit, rulelist
 
 DOCS = "doc_id long, text string, lang string, source string, mask int, n int, part string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -163,3 +163,96 @@ def test_rules_odd(spark, mixed):
             fails = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
             assert r["base_failed"] == fails and r["kept"] == (not fails) and r["rule"] is None
     assert rulelist.judge(frame(spark, rows).limit(0), spark.createDataFrame([(1, 1, 1)], LABELS)).count() == 0
+
+
+# --- 12 collocations
+
+
+def pieces_of(t):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    return [[w for w in re.split("[ \t]+", p) if w] for p in re.split("[.,;:!?\n-\r]", t)]
+
+
+def counts_of(rows):
+    f, n = Counter(), Counter()
+    for _, t, lang in rows:
+        for w in pieces_of(t):
+            g = "und" if lang is None else lang
+            n[g] += len(w)
+            f.update((g, *w[i : i + m]) for m in (1, 2, 3, 4) for i in range(len(w) - m + 1))
+    return f, n
+
+
+def brute_phrases(rows, least=30, top=2000):
+    f, n = counts_of(rows)
+    out = {}
+    for key, a in f.items():
+        g, w = key[0], key[1:]
+        if len(w) < 2 or a < least:
+            continue
+        cut = min(((2_000_000 * a) // (f[g, *w[:k]] + f[g, *w[k:]]), k) for k in range(1, len(w)))
+        score, k = cut
+        out[key] = (score, a, f[g, *w[:k]], f[g, *w[k:]])
+    dropped = {(key[0], *key[i:j]) for key in out for i in range(1, len(key)) for j in range(i + 2, len(key) + 1) if j - i < len(key) - 1 and 100 * out[key][1] >= 80 * f[key[0], *key[i:j]]}
+    result = []
+    for g in n:
+        left = sorted(((-s, -a, " ".join(key[1:]).encode(), left, right) for key, (s, a, left, right) in out.items() if key[0] == g and key not in dropped))
+        result += [(g, k + 1, p.decode(), -a, left, right, n[g], -s) for k, (s, a, p, left, right) in enumerate(left[:top])]
+    return sorted(result)
+
+
+@pytest.fixture(scope="module")
+def phrases():
+    """Few words, so that many phrases are frequent; separators, tabs, capitals, control characters, a text of thousands of words."""
+    random.seed(12)
+    words = ["a", "B", "b", "a\x01", "A\x01b", "é", "É", "c-c", "d", "the", "\xa0", "😀", "of"]
+    some = lambda n: "".join(random.choice(words) + random.choice(["\t", " ", " ", " ", "  ", ". ", "\n", "!"]) for _ in range(n))
+    rows = [(i, some(random.choice([0, 1, 3, 40, 200])), random.choice(["en", "de", None, "und", ""])) for i in range(120)]
+    return [*rows, (200, some(6000), "en"), (201, None, None), (202, "", "fr"), (203, "the same of it " * 50, "fr"), (None, "x y z. " * 40, "fr"), (204, "q" * 4000 + " end", "fr")]
+
+
+def test_collocations_brute_force(spark, phrases):
+    names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    for top in (2000, 7):
+        got = sorted(tuple(r[c] for c in names) for r in collocations.mine(frame(spark, phrases), top=top).collect())
+        assert got == brute_phrases(phrases, top=top)
+
+
+def test_collocations_empty(spark):
+    for rows in ([(1, None, "en")], [(1, "a b. c", None)]):
+        assert collocations.mine(frame(spark, rows)).count() == 0
+    assert collocations.mine(frame(spark, [(1, "a", "en")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "held"), [(64, 50), (200, 7), (1 << 21, 1000), (64, 1), (97, 10**9)])
+def test_tries_of_shards(phrases, monkeypatch, size, held):
+    """Sums over the tries of all parts equal plain counts, however texts are sliced and when parts are written; paths are sorted."""
+    monkeypatch.setattr(collocations, "HELD", held)
+    words, got, total = collocations.Words(size), Counter(), Counter()
+    texts = pa.array([t for _, t, _ in phrases] + ["g" * 300 + " h " + "g" * 300 + " h", "x " * 100 + "\n" + " " * 200 + "x x"]).fill_null("").cast(pa.large_binary())
+    langs = [g if g is not None else "und" for _, _, g in phrases] + ["en", "en"]
+    _, at, data = texts.buffers()
+    every = collocations.Bits(np.full(1, 2**64 - 1, np.uint64))
+    parts = [*words.add(np.frombuffer(data, np.uint8), np.frombuffer(at, np.int64), np.array([words.lang(g) for g in langs])), *words.ready(end=True)]
+    names = list(words.langs)
+    for part in parts:
+        paths, counts, known = collocations.trie(part, every)
+        keys = [tuple(known[i] for i in path if i >= 0) for path in zip(*paths, strict=True)]
+        assert keys == sorted(keys)
+        for key, n in zip(keys, counts.tolist(), strict=True):
+            got[names[key[0][0]], *(w.decode() for _, w in key)] += n
+        total.update(names[g] for g in part[5][: part[6]])
+    f, n = counts_of([(0, t.decode(), g) for t, g in zip(texts.to_pylist(), langs, strict=True)])
+    assert got == f and total == +n
+
+
+def test_tries_of_equal_hashes(monkeypatch):
+    """Different words of one hash keep apart."""
+    words = collocations.Words()
+    monkeypatch.setattr(words.scanner, "words", lambda d, o, c, f=words.scanner.words: (*(x := f(d, o, c))[:2], x[2] & np.uint64(1)))
+    text = "one two three four five six one two three"
+    list(words.add(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([words.lang("en")])))
+    (part,) = words.ready(end=True)
+    paths, counts, known = collocations.trie(part, collocations.Bits(np.full(1, 2**64 - 1, np.uint64)))
+    got = {" ".join(known[i][1].decode() for i in p if i >= 0): n for p, n in zip(zip(*paths, strict=True), counts.tolist(), strict=True)}
+    assert got["one two three"] == 2 and got["six one"] == 1 and got["one"] == 2 and "two one" not in got
