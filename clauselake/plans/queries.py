@@ -14,6 +14,7 @@ from ..operators import classify, dataset, eda, encode, features, ground, index,
 from ..sources import files, records
 from ..sources.scratch import scratch
 from . import overlay as O
+from . import train
 from .overlay import quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,17 +252,47 @@ def encoder_embed(spark, d):
     return rows.select("item_id", F.round(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x * x), 4).alias("norm"))
 
 
+def typed_text(spark, d) -> DataFrame:
+    return O.sections(spark, d).select("id", F.col("gold").alias("type"), "text")
+
+
 @query()
 def tfidf_logreg(spark, d):
-    """A head trained on the overlay's types with TF-IDF features, and how often it agrees with them."""
-    from . import train
-
-    rows = O.sections(spark, d).select("id", F.col("gold").alias("type"), "text")
-    data = train.tfidf(rows, ngrams=1)
-    model, classes = train.fit_head(data, "type")
-    probs = classify.probabilities(data.select("id", "features"), train.export_head(spark, model, classes), "id", "features")
-    pairs = classify.refuse(probs, "id", 0.0, 0.0).join(rows.select("id", "type"), "id").select(F.col("type").alias("y_true"), F.col("clause_type").alias("y_pred"))
-    return metrics.multiclass(pairs)
+    """Every document's type by a head trained on all of them, with sparse TF-IDF and phrase features."""
+    rows = typed_text(spark, d)
+    return train.fit_task(rows).predict(rows).select("id", F.col("type").alias("y_true"), "y_pred", F.round(F.array_max("p"), 3).alias("p"))
+
+
+@query()
+def tfidf_report(spark, d):
+    """How often the predictions of tfidf_logreg agree with the types."""
+    return metrics.multiclass(tfidf_logreg(spark, d))
+
+
+@query()
+def tfidf_multilabel(spark, d):
+    """Quality and toxicity of every document, by one model a label trained on the labelled ones, with thresholds of the best F1 there."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    known = table(spark, d, "labels").select("doc_id", F.array("quality", "toxic").alias("label"))
+    base = docs.join(known, "doc_id")
+    model = train.fit_task(base, "label", ("quality", "toxic"), triggers=False).calibrated(base)
+    return model.predict(docs).select("doc_id", *[F.round(F.col("p")[i], 3).alias(f"p_{k}") for i, k in enumerate(model.labels)], *[F.col("y_pred")[i].alias(k) for i, k in enumerate(model.labels)])
+
+
+@query(
+    "WITH b AS (SELECT doc_id AS id, text, lang AS type, NULL AS raw_text FROM documents WHERE lang = 'en' UNION ALL SELECT conv_id * 100 + turn, NULL, role, text FROM conversations) SELECT id, type, coalesce(nullif(raw_text, ''), nullif(text, ''), '') AS text FROM b"
+)
+def train_rows(spark, d):
+    base = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("type"))
+    more = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("raw_text"), F.col("role").alias("type"))
+    rows = train.train_rows(base, more)
+    return rows.select("id", "type", train.feature_text(rows).alias("text"))
+
+
+@query()
+def classifier_training(spark, d):
+    """Labels of the held-out fifth of the vectors, by a balanced head trained on the rest."""
+    return train.fitted_split(table(spark, d, "embeddings"), "embedding", "label", ["vec_id"]).select("vec_id", "label", "y_pred", F.round("p", 3).alias("p"))
 
 
 # --- segmentation ---------------------------------------------------------------------------------------------------------

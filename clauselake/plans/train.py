@@ -1,85 +1,188 @@
-"""Training plans on Spark ML: TF-IDF with phrase features, one-vs-rest heads, and export of a linear head."""
+"""Training plans on Spark ML over sparse vectors: TF-IDF stacked with phrase and party features, weighted heads, one model per label,
+thresholds, and export of a linear head.
+
+A row's features are one sparse vector from the tokens on; nothing is as wide as the vocabulary but the model itself. The vocabulary and its
+document frequencies (at most `features` of each) are all that comes to the driver.
+"""
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import is_tenant, trigger_vector
-
-
-def tfidf(rows: DataFrame, text: str = "text", features: int = 20_000, ngrams: int = 2) -> DataFrame:
-    """rows plus array<double> `features`: sublinear tf times ln((1 + n) / (1 + df)) + 1, of unit length, then phrase and party
-    features. Terms are 1- to n-grams; the vocabulary is bounded by `features`."""
-    words = RegexTokenizer(inputCol="__t", outputCol="__w", pattern=r"\w\w+", gaps=False).transform(rows.withColumn("__t", F.coalesce(F.col(text), F.lit(""))))
-    terms = F.col("__w")
-    for n in range(2, ngrams + 1):
-        words = NGram(n=n, inputCol="__w", outputCol=f"__g{n}").transform(words)
-        terms = F.concat(terms, F.col(f"__g{n}"))
-    words = words.withColumn("__terms", terms)
-    vocabulary = CountVectorizer(inputCol="__terms", outputCol="__c", vocabSize=features).fit(words).vocabulary
-    spark = rows.sparkSession
-    index = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    n = rows.count()
-    df = words.select(F.explode(F.array_distinct("__terms")).alias("term")).groupBy("term").count().join(index, "term")
-    idf = {r["term"]: (r["i"], math.log((1 + n) / (1 + r["count"])) + 1) for r in df.collect()}  # at most `features` rows
-    shared = spark.sparkContext.broadcast(idf)
-    size = len(vocabulary)
-
-    def dense(parts):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        for ts in parts:
-            v = np.zeros(size)
-            for t in ts:
-                if t in shared.value:
-                    v[shared.value[t][0]] += 1
-            v[v > 0] = 1 + np.log(v[v > 0])
-            for t in set(ts) & shared.value.keys():
-                v[shared.value[t][0]] *= shared.value[t][1]
-            out.append(v / max(float(np.linalg.norm(v)), 1e-12))
-        return pd.Series(out)
-
-    vec = F.pandas_udf(dense, "array<double>")(F.col("__terms"))
-    extra = F.transform(trigger_vector(F.col(text)), lambda x: x.cast("double"))
-    side = F.array(is_tenant(F.col("party")).cast("double")) if "party" in rows.columns else F.array().cast("array<double>")
-    return words.withColumn("features", F.concat(vec, extra, side)).select(*rows.columns, "features")
-
-
-def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 10.0, balanced: bool = True) -> tuple[LogisticRegressionModel, list[str]]:
-    """Multinomial logistic regression with penalty 1 / (c n) on features as they are; balanced weights are n / (k * class size)."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+from ..functions.text import first_filled
+from ..operators.features import downsample, is_tenant, trigger_vector
+from ..operators.metrics import calibrate
+from ..sources.scratch import scratch
+
+FEATURES, MAX_ITER = 20_000, 1000
+
+
+def feature_text(rows: DataFrame) -> Column:
+    """raw_text where it is filled, else text, else ''."""
+    return first_filled(*[F.col(c) for c in ("raw_text", "text") if c in rows.columns])
+
+
+def train_rows(base: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
+    """Rows to train on: the base ones and, plainly after them, those mixed in; a column that one side lacks is null there."""
+    return base if mixed is None else base.unionByName(mixed, allowMissingColumns=True)
+
+
+@F.udf(VectorUDT(), useArrow=True)
+def _sublinear(v):
+    """1 + ln(count) of what a sparse vector holds."""
+    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+
+@dataclass
+class Tfidf:
+    """Sublinear tf times ln((1 + n) / (1 + df)) + 1 over 1- to n-grams of words of two characters or more, in lower case, of unit length."""
+
+    vocabulary: list[str]
+    weights: np.ndarray
+    ngrams: int = 1
+
+    @staticmethod
+    def terms(rows: DataFrame, text: Column, ngrams: int) -> DataFrame:
+        """rows plus __terms."""
+        words = RegexTokenizer(inputCol="__t", outputCol="__w", pattern=r"(?U)\w\w+", gaps=False).transform(rows.withColumn("__t", F.coalesce(text, F.lit(""))))
+        terms = F.col("__w")
+        for n in range(2, ngrams + 1):
+            words = NGram(n=n, inputCol="__w", outputCol=f"__g{n}").transform(words)
+            terms = F.concat(terms, F.col(f"__g{n}"))
+        return words.withColumn("__terms", terms).drop("__t", "__w", *[f"__g{n}" for n in range(2, ngrams + 1)])
+
+    @classmethod
+    def fit(cls, rows: DataFrame, text: Column, features: int = FEATURES, ngrams: int = 1) -> Tfidf:
+        """The most frequent terms, ties by the term, in that order."""
+        data = cls.terms(rows.select(text.alias("__x")), F.col("__x"), ngrams)
+        top = data.select(F.explode("__terms").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(features)
+        vocabulary = [r["term"] for r in top.collect()]  # at most `features`
+        if not vocabulary:
+            return cls([], np.zeros(0), ngrams)
+        counted = cls._counts(vocabulary).transform(data)
+        found = IDF(inputCol="__c", outputCol="__i").fit(counted)
+        return cls(vocabulary, np.log((1 + found.numDocs) / (1 + np.array(found.docFreq, float))) + 1, ngrams)
+
+    @staticmethod
+    def _counts(vocabulary: list[str]) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__terms", outputCol="__c")
+
+    def transform(self, rows: DataFrame, text: Column, out: str) -> DataFrame:
+        if not self.vocabulary:
+            return rows.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+        counts = self._counts(self.vocabulary).transform(self.terms(rows, text, self.ngrams)).withColumn("__s", _sublinear("__c"))
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol="__s", outputCol="__p").transform(counts)
+        return Normalizer(p=2.0, inputCol="__p", outputCol=out).transform(scaled).drop("__terms", "__c", "__s", "__p")
+
+
+def stacked(rows: DataFrame, tfidf: Tfidf, triggers: bool = True, party: bool = False, out: str = "features") -> DataFrame:
+    """rows plus one sparse vector: TF-IDF, then the phrase groups, then whether the party is the tenant."""
+    text = feature_text(rows)
+    side = [F.transform(trigger_vector(text), lambda x: x.cast("double"))] * triggers + [F.array(is_tenant(F.col("party")).cast("double"))] * party
+    data = tfidf.transform(rows, text, "__tfidf")
+    if not side:
+        return data.withColumnRenamed("__tfidf", out)
+    data = data.withColumn("__side", array_to_vector(F.concat(*side)))
+    return VectorAssembler(inputCols=["__tfidf", "__side"], outputCol=out).transform(data).drop("__tfidf", "__side")
+
+
+def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 1.0, balanced: bool = True, tol: float = 1e-6) -> tuple[LogisticRegressionModel | None, list[str]]:
+    """Logistic regression with penalty 1 / (c n), intercepts free, features as they are; balanced weights are n / (k * class size). With
+    fewer than two classes there is no model."""
+    counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     classes, n = sorted(counts), sum(counts.values())
+    if len(classes) < 2:
+        return None, classes
     table = F.create_map(*[x for i, k in enumerate(classes) for x in (F.lit(k), F.lit(float(i)))])
     weight = F.create_map(*[x for k in classes for x in (F.lit(k), F.lit(n / (len(classes) * counts[k]) if balanced else 1.0))])
-    data = rows.select(array_to_vector(F.col(features)).alias("features"), table[F.col(label)].alias("label"), weight[F.col(label)].alias("weight"))
-    lr = LogisticRegression(regParam=1 / (c * n), standardization=False, weightCol="weight", family="multinomial", maxIter=100)
+    data = rows.filter(F.col(label).isNotNull()).select(F.col(features).alias("features"), table[F.col(label)].alias("label"), weight[F.col(label)].alias("weight"))
+    lr = LogisticRegression(regParam=1 / (c * n), standardization=False, weightCol="weight", family="binomial" if len(classes) == 2 else "multinomial", maxIter=MAX_ITER, tol=tol)
     return lr.fit(data), classes
 
 
+def scored(rows: DataFrame, model: LogisticRegressionModel | None, classes: list, features: str = "features") -> DataFrame:
+    """rows plus array<double> `p`, probabilities in the order of classes; a single class has probability 1."""
+    if model is None:
+        return rows.withColumn("p", F.array(*[F.lit(1.0) for _ in classes]).cast("array<double>"))
+    model = model.copy().setFeaturesCol(features).setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__y")
+    return model.transform(rows).withColumn("p", vector_to_array("__p")).drop("__p", "__r", "__y")
+
+
 def export_head(spark: SparkSession, model: LogisticRegressionModel, classes: list[str]) -> DataFrame:
-    """The head table (class_idx, class, w, b)."""
+    """The head table (class_idx, class, w, b). A model of two classes has one row of weights; its first class gets zeros."""
     w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    if len(w) < len(classes):
+        w, b = np.vstack([np.zeros_like(w), w]), np.concatenate([np.zeros_like(b), b])
     return spark.createDataFrame([(i, k, [float(x) for x in w[i]], float(b[i])) for i, k in enumerate(classes)], "class_idx int, class string, w array<double>, b double")
 
 
-def one_vs_rest(rows: DataFrame, labels: tuple[str, ...], target: str = "label", features: str = "features", c: float = 1.0) -> DataFrame:
-    """(all columns of rows, label_idx, y, p): a binary model per position of a 0/1 array."""
-    out = None
-    n = rows.count()
-    for i, _ in enumerate(labels):
-        y = F.try_element_at(target, F.lit(i + 1)).cast("double")
-        data = rows.withColumn("__y", y).withColumn("__f", array_to_vector(F.col(features)))
-        model = LogisticRegression(featuresCol="__f", labelCol="__y", regParam=1 / (c * max(n, 1)), standardization=False).fit(data)
-        from pyspark.ml.functions import vector_to_array
-
-        one = model.transform(data).select(*rows.columns, F.lit(i).alias("label_idx"), F.col("__y").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+@dataclass
+class TextModel:
+    """A fitted task: of one label a row (`label`), or of a 0/1 array with a name for each place (`labels`)."""
+
+    tfidf: Tfidf
+    triggers: bool
+    party: bool
+    label: str
+    labels: tuple[str, ...]
+    heads: list[tuple[LogisticRegressionModel | None, list]]
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """rows plus `p`: probabilities of the classes, or of each label's 1."""
+        data = stacked(rows, self.tfidf, self.triggers, self.party)
+        if not self.labels:
+            return scored(data, *self.heads[0]).drop("features")
+        for i, (model, classes) in enumerate(self.heads):
+            data = scored(data, model, classes).withColumn(f"__p{i}", F.col("p")[classes.index(1)] if 1 in classes else F.lit(0.0)).drop("p")
+        return data.withColumn("p", F.array(*[F.col(f"__p{i}") for i in range(len(self.heads))])).drop("features", *[f"__p{i}" for i in range(len(self.heads))])
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows plus p and y_pred: the likeliest class, ties to the earlier one; or 0/1 per label, by its threshold or one half."""
+        out = self.scores(rows)
+        if self.labels:
+            return out.withColumn("y_pred", F.array(*[(F.col("p")[i] >= self.thresholds.get(k, 0.5)).cast("int") for i, k in enumerate(self.labels)]))
+        names = F.array(*[F.lit(k) for k in self.heads[0][1]])
+        return out.withColumn("y_pred", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")))
+
+    def calibrated(self, rows: DataFrame) -> TextModel:
+        """The same with the threshold of the best F1 on rows for each label."""
+        cells = F.array(*[F.struct(F.lit(k).alias("label"), F.try_element_at(self.label, F.lit(i + 1)).alias("y"), F.col("p")[i].alias("p")) for i, k in enumerate(self.labels)])
+        best = calibrate(self.scores(rows).select(F.inline(cells))).collect()  # one row a label
+        return TextModel(self.tfidf, self.triggers, self.party, self.label, self.labels, self.heads, {r["label"]: r["threshold"] for r in best})
+
+
+def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (), triggers: bool = True, party: bool = False, features: int = FEATURES, ngrams: int = 1, c: float = 1.0, negatives: tuple[list[str], int] | None = None, tol: float = 1e-6) -> TextModel:
+    """A model of rows. With triggers, classes are balanced; `negatives` (ids, factor) keeps at most so many `none` rows per other one. Feature rows are
+    written once for all heads."""
+    if negatives is not None:
+        rows = downsample(rows, label, negatives[0], factor=negatives[1])
+    tfidf = Tfidf.fit(rows, feature_text(rows), features, ngrams)
+    spark = rows.sparkSession
+    path = scratch(spark, "features")
+    stacked(rows, tfidf, triggers, party).select(label, "features").write.parquet(path)
+    data = spark.read.parquet(path)
+    targets = [F.try_element_at(label, F.lit(i + 1)).cast("int") for i in range(len(labels))] or [F.col(label)]
+    heads = [fit_head(data.select(y.alias("y"), "features"), "y", c=c, balanced=triggers, tol=tol) for y in targets]
+    return TextModel(tfidf, triggers, party, label, labels, heads)
+
+
+def fitted_split(rows: DataFrame, vector: str, label: str, ids: list[str], c: float = 10.0, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """Rows (ids, label, y_pred, p) of the held-out part: classes of two rows or more, split by strata, a balanced head on dense encodings of bounded width."""
+    from ..operators.features import split
+
+    large = rows.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__k")).filter("__k >= 2")
+    data = rows.join(large, F.col(label) == F.col("__l"), "left_semi").select(*ids, F.col(label), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    parts = split(data, label, ids, seed, (1 - test, 0.0))
+    model, classes = fit_head(parts.filter("split = 'train'"), label, c=c)
+    out = scored(parts.filter("split <> 'train'"), model, classes)
+    names = F.array(*[F.lit(k) for k in classes])
+    return out.select(*ids, label, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("y_pred"), F.array_max("p").alias("p"))

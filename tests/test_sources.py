@@ -83,20 +83,6 @@ def test_streams(spark, tmp_path):
     assert got == {2: ["a", "b"], 1: ["b"]}
 
 
-def test_training(spark):
-    rows = spark.createDataFrame([(i, "rent rent due" if i % 2 else "pets allowed here", "rent" if i % 2 else "pets") for i in range(40)], "id int, text string, type string")
-    data = train.tfidf(rows, features=50)
-    model, classes = train.fit_head(data, "type")
-    assert classes == ["pets", "rent"]
-    head = train.export_head(spark, model, classes)
-    from clauselake.operators import classify
-
-    got = classify.refuse(classify.probabilities(data.select("id", "features"), head, "id", "features"), "id").join(rows, "id")
-    assert got.filter("clause_type = type").count() == 40
-    multi = data.withColumn("label", F.array((F.col("type") == "rent").cast("int"), (F.col("type") == "pets").cast("int")))
-    assert train.one_vs_rest(multi, ("rent", "pets")).filter("(p > 0.5) = (y = 1)").count() == 80
-
-
 def test_registry(spark, sf_dir):
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and __spark_entry__.entry(spark).count() > 0
