@@ -1,8 +1,8 @@
 """Phrase collocation mining: phrases of two to four words that occur more often than their parts suggest, per language.
 
-Two passes over whole texts. The first counts hashes of words and word pairs per shard and sums them; hashes that reach the least count
-make a bit filter of bounded size. It lets through every frequent word and pair (equal hashes only raise a count), so nothing is lost. The
-second builds count tries of depth four per shard, over words and pairs that the filter passes: level k holds (node of level k - 1, word) and a count,
+Three passes over whole texts. The first counts hashes of words and pairs per shard, the second those of triples whose pairs are frequent; counts are
+summed over shards, and hashes that reach the least count make a bit filter of bounded size. A filter lets through all that is frequent (equal
+hashes only raise a count), so nothing is lost. The third builds count tries of depth four per shard, over what the filters pass: level k holds (node of level k - 1, word) and a count,
 and a trie is written in sorted order as (lang, w1, w2, w3, w4, n). Ranges of prefixes are then merged: tries of all shards
 are dealt by ranges of (lang, w1 to w4), sorted, and equal paths added; what stays are the nodes with f >= least, exact since
 words are compared by their bytes. A walk over each sorted range gives every phrase the counts of its left parts (its ancestors; those of
@@ -16,7 +16,7 @@ words side by side and has 100 f >= 80 a. Of the rest the first `top` of each la
 
 Edge cases: null texts are empty; a null lang is 'und'; texts of any length are scanned in slices and their phrases may cross them; repeated
 rows count each; no phrase, no rows; other columns are ignored, whatever their names. The filter has at most 2^28 bits (32 MB, broadcast);
-beyond some 10^7 frequent pairs it lets more pass, which costs work in the second pass and changes no result.
+beyond some 10^7 frequent pairs it lets more pass, which costs work in later passes and changes no result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .filteraudit import POINT, WORD, Scanner
 LEAST, TOP, SHARE, DEPTH, SCALE = 30, 2000, 80, 4, 2_000_000
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Words that a worker holds before it writes what it has counted.
-HELD = 2_000_000
+HELD = 1 << 20
 MOST_BITS = 28
 BREAK = 2
 PATH = ["w1", "w2", "w3", "w4"]
@@ -52,16 +52,22 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each hash in a filter of 2^bits bits."""
+    x = h * np.uint64(0x9E3779B97F4A7C15)
+    y = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return [v >> np.uint64(64 - bits) for v in (x, y, x + y)]
+
+
 class Bits:
-    """A bit filter over hashes, three bits each."""
+    """A bit filter over hashes."""
 
     def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+        self.words, self.bits = words, (len(words) * 64).bit_length() - 1
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for shift in (0, 18, 36):
-            p = (h >> np.uint64(shift)) & self.mask
+        for p in places(h, self.bits):
             out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
@@ -158,11 +164,57 @@ class Words:
         yield data, h, starts, lengths, link, lang, n
 
 
-def pair_counts(part: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the hashes of words and of pairs."""
+def pairs(part: tuple, bits: Bits | None = None) -> np.ndarray:
+    """Whether a word and the next are a pair; with a filter, one that it passes, of words that it passes."""
+    _, h, _, _, link, _, _ = part
+    out = link.copy()
+    if bits is not None:
+        passed = bits.has(h)
+        out[:-1] &= passed[:-1] & passed[1:]
+        some = np.flatnonzero(out)
+        out[some] = bits.has(mixed(h[some], h[some + 1]))
+    return out
+
+
+def triples(part: tuple, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where both pairs of three words are in, and the triples' hashes."""
+    _, h, *_ = part
+    at = np.flatnonzero(pair[:-1] & pair[1:])
+    return at, mixed(mixed(h[at], h[at + 1]), h[at + 2])
+
+
+def hash_counts(part: tuple, bits: Bits | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the hashes of words and pairs, or, with a filter of these, of triples; in order."""
     _, h, _, _, link, _, n = part
-    pairs = np.flatnonzero(link[:n])
-    return np.unique(np.concatenate([h[:n], mixed(h[pairs], h[pairs + 1])]), return_counts=True)
+    if bits is None:
+        at = np.flatnonzero(link[:n])
+        return np.unique(np.concatenate([h[:n], mixed(h[at], h[at + 1])]), return_counts=True)
+    at, h = triples(part, pairs(part, bits))
+    return np.unique(h[at < n], return_counts=True)
+
+
+def packed(h: np.ndarray, n: np.ndarray, top: int):
+    """(bucket, blob) of sorted hashes and their counts: 2^top buckets by the hash's first bits, 40 more bits of each are kept."""
+    import pyarrow as pa
+
+    bucket, rest = h >> np.uint64(64 - top), (h << np.uint64(top)) >> np.uint64(24)
+    cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(h)]), len(h)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        raw = b"".join([rest[a:b].astype(np.uint32).tobytes(), (rest[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), n[a:b].astype(np.uint32).tobytes()])
+        yield int(bucket[a]), int(b - a), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(size: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+
+    raw = pa.decompress(blob, 9 * size, codec="zstd", asbytes=True)
+    low, high, n = np.frombuffer(raw, np.uint32, size), np.frombuffer(raw, np.uint8, size, 4 * size), np.frombuffer(raw, np.uint32, size, 5 * size)
+    return low | high.astype(np.uint64) << np.uint64(32), n.astype(np.int64)
+
+
+def key(h: np.ndarray, top: int) -> np.ndarray:
+    """What packed() keeps of a hash, bucket first."""
+    return h >> np.uint64(24 - top)
 
 
 def vocabulary(part: tuple, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
@@ -189,20 +241,20 @@ class _MASKS:
     masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def trie(part: tuple, bits: Bits) -> tuple[list[np.ndarray], np.ndarray, list[tuple[int, bytes]]]:
-    """Paths (ids of words, -1 where a path is shorter) in sorted order, their counts, and the vocabulary."""
-    _, h, _, _, link, _, n = part
-    passed = bits.has(h)
-    at = np.flatnonzero(passed)
+def trie(part: tuple, two: Bits, three: Bits) -> tuple[list[np.ndarray], np.ndarray, list[tuple[int, bytes]]]:
+    """Paths (ids of words, -1 where a path is shorter) in sorted order, their counts, and the vocabulary; of what the filters of words and
+    pairs, and of triples, pass."""
+    _, h, _, _, _, _, n = part
+    at = np.flatnonzero(two.has(h))
     if not len(at):
         return [np.zeros(0, np.int64)] * DEPTH, np.zeros(0, np.int64), []
     ids, words = vocabulary(part, at)
     word = np.full(len(h), -1, np.int64)
     word[at] = ids
-    pair = np.zeros(len(h), bool)
-    pair[:-1] = link[:-1] & passed[:-1] & passed[1:]
-    some = np.flatnonzero(pair)
-    pair[some] = bits.has(mixed(h[some], h[some + 1]))
+    pair, triple = pairs(part, two), np.zeros(len(h), bool)
+    where, hashes = triples(part, pair)
+    triple[where[three.has(hashes)]] = True
+    goes = {1: pair, 2: triple, 3: np.append(triple[1:], False) & triple}  # whether a path of k words goes on
     begins = at[at < n]
     levels, counts = [], []
     node, place = word[begins], begins
@@ -212,7 +264,7 @@ def trie(part: tuple, bits: Bits) -> tuple[list[np.ndarray], np.ndarray, list[tu
     node = used[node]
     levels.append(path), counts.append(count[count > 0])
     for k in range(1, DEPTH):
-        go = pair[place + k - 1]
+        go = goes[k][place]
         place, node = place[go], node[go]
         key, node, count = np.unique(node * len(words) + word[place + k], return_inverse=True, return_counts=True)
         path = [*(x[key // len(words)] for x in path), key % len(words)]
@@ -244,46 +296,85 @@ def _rows(docs: DataFrame, text: str, part: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def frequent_bits(rows: DataFrame, least: int) -> np.ndarray:
-    """The bit filter of all words and pairs that may occur `least` times."""
+class Passing:
+    """A filter that looks hashes up by their keys."""
+
+    def __init__(self, words: np.ndarray, top: int):
+        self.bits, self.top = Bits(words), top
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return self.bits.has(key(h, self.top))
+
+
+def frequent_bits(rows: DataFrame, least: int, sent=None) -> np.ndarray:
+    """The bit filter of all words and pairs that may occur `least` times; with the (broadcast) one of these, that of triples.
+
+    Sorted hashes and counts of a shard are written as one blob per bucket of hashes, and the blobs of a bucket are merged in one task."""
+    spark = rows.sparkSession
+    top = buckets(spark)
 
     def run(batches):
         import pyarrow as pa
 
+        bits = sent and Passing(sent.value, top)
         for _, part in _pieces(batches):
-            h, n = pair_counts(part)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            out = list(packed(*hash_counts(part, bits), top))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "size", "blob"])
+
+    def merge(table):
+        import pyarrow as pa
 
-    often = C.cut(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"))
-    size = min(max(16, (16 * often.count()).bit_length()), MOST_BITS)
-    mask = (1 << size) - 1
-    bits = often.select(F.explode(F.array(*[F.shiftrightunsigned("h", k).bitwiseAND(F.lit(mask)) for k in (0, 18, 36)])).alias("p"))
-    bits = bits.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
+        found = [unpacked(s, b) for s, b in zip(table["size"].to_pylist(), table["blob"].to_pylist(), strict=True)]
+        h, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h = h[first][np.add.reduceat(n, first) >= least] | np.uint64(table["bucket"][0].as_py() << 40)
+        return pa.table({"h": pa.array(h.view(np.int64))})
 
-    def block(part):
-        import pandas as pd
+    often = C.cut(rows.mapInArrow(run, "bucket long, size long, blob binary").groupBy("bucket").applyInArrow(merge, "h long"))
+    size = min(max(18, (16 * often.count()).bit_length()), MOST_BITS)
 
-        x = np.zeros(1 << 12, np.int64)
-        x[part["i"].to_numpy() & 4095] = part["x"].to_numpy()
-        return pd.DataFrame({"k": [int(part["i"].iloc[0]) >> 12], "x": [x.tobytes()]})
+    def ored(batches):
+        import pyarrow as pa
 
-    out = np.zeros(max(1 << (size - 6), 1 << 12), np.uint64)
-    for r in bits.groupBy(F.shiftright("i", 12).alias("k")).applyInPandas(block, "k long, x binary").collect():  # bounded: 2^28 bits
+        for b in batches:
+            p = np.sort(np.concatenate(places(b.column(0).to_numpy().view(np.uint64), size)))
+            i = p >> np.uint64(6)
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(p) else np.zeros(0, int)
+            x = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first) if len(p) else p
+            yield pa.RecordBatch.from_arrays([pa.array(i[first].view(np.int64)), pa.array(x.view(np.int64))], names=["i", "x"])
+
+    def block(table):
+        import pyarrow as pa
+
+        x, i = np.zeros(1 << 12, np.int64), table["i"].to_numpy()
+        x[i & 4095] = table["x"].to_numpy()
+        return pa.table({"k": pa.array([int(i[0]) >> 12]), "x": pa.array([x.tobytes()], pa.binary())})
+
+    bits = often.mapInArrow(ored, "i long, x long").groupBy("i").agg(F.bit_or("x").alias("x"))
+    out = np.zeros(1 << (size - 6), np.uint64)
+    for r in bits.groupBy(F.shiftright("i", 12).alias("k")).applyInArrow(block, "k long, x binary").collect():  # bounded: 2^28 bits
         out[r["k"] << 12 : (r["k"] + 1) << 12] = np.frombuffer(r["x"], np.uint64)
-    return out[: 1 << (size - 6)]
+    return out
+
+
+def buckets(spark) -> int:
+    """Bits of the number of buckets: some eight for each shuffle partition, so that a bucket shrinks as more partitions are given to more data."""
+    return min(max(4, (8 * C.partitions(spark)).bit_length()), 20)
 
 
-def shard_tries(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def shard_tries(rows: DataFrame, two, three) -> DataFrame:
     """(lang, w1 to w4, n): serialised tries of all shards; a row without words holds all words of its lang."""
-    sent = rows.sparkSession.sparkContext.broadcast(bits)
+    top = buckets(rows.sparkSession)
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        passing = Bits(sent.value)
+        filters = Passing(two.value, top), Passing(three.value, top)
         for held, part in _pieces(batches):
-            paths, counts, words = trie(part, passing)
+            paths, counts, words = trie(part, *filters)
             names = list(held.langs)
             total = np.bincount(part[5][: part[6]], minlength=len(names))
             lang = pa.array(names, pa.string())
@@ -355,7 +446,9 @@ def mine(docs: DataFrame, text: str = "text", part: str = "lang", least: int = L
     spark = docs.sparkSession
     rows = _rows(docs, text, part)
     key = ["lang", *PATH]
-    tries = C.stage(shard_tries(rows, frequent_bits(rows, least)), "tries")
+    two = spark.sparkContext.broadcast(frequent_bits(rows, least))
+    three = spark.sparkContext.broadcast(frequent_bits(rows, least, two))
+    tries = C.stage(shard_tries(rows, two, three), "tries")
     merged = tries.repartitionByRange(C.partitions(spark), *key).groupBy(*key).agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("w1").isNull())
     nodes = C.cut(merged.sortWithinPartitions(*key))
     C.release(tries)

@@ -232,11 +232,11 @@ def test_tries_of_shards(phrases, monkeypatch, size, held):
     texts = pa.array([t for _, t, _ in phrases] + ["g" * 300 + " h " + "g" * 300 + " h", "x " * 100 + "\n" + " " * 200 + "x x"]).fill_null("").cast(pa.large_binary())
     langs = [g if g is not None else "und" for _, _, g in phrases] + ["en", "en"]
     _, at, data = texts.buffers()
-    every = collocations.Bits(np.full(1, 2**64 - 1, np.uint64))
+    every = collocations.Bits(np.full(1 << 12, 2**64 - 1, np.uint64))
     parts = [*words.add(np.frombuffer(data, np.uint8), np.frombuffer(at, np.int64), np.array([words.lang(g) for g in langs])), *words.ready(end=True)]
     names = list(words.langs)
     for part in parts:
-        paths, counts, known = collocations.trie(part, every)
+        paths, counts, known = collocations.trie(part, every, every)
         keys = [tuple(known[i] for i in path if i >= 0) for path in zip(*paths, strict=True)]
         assert keys == sorted(keys)
         for key, n in zip(keys, counts.tolist(), strict=True):
@@ -253,6 +253,22 @@ def test_tries_of_equal_hashes(monkeypatch):
     text = "one two three four five six one two three"
     list(words.add(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([words.lang("en")])))
     (part,) = words.ready(end=True)
-    paths, counts, known = collocations.trie(part, collocations.Bits(np.full(1, 2**64 - 1, np.uint64)))
+    paths, counts, known = collocations.trie(part, *[collocations.Bits(np.full(1 << 12, 2**64 - 1, np.uint64))] * 2)
     got = {" ".join(known[i][1].decode() for i in p if i >= 0): n for p, n in zip(zip(*paths, strict=True), counts.tolist(), strict=True)}
     assert got["one two three"] == 2 and got["six one"] == 1 and got["one"] == 2 and "two one" not in got
+
+
+def test_hash_blobs():
+    """What is packed comes back, bucket by bucket, and a filter made of keys passes all of them."""
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    n = rng.integers(1, 100_000, len(h))
+    for top in (4, 11, 20):
+        got = [(np.uint64(b << 40) | x, k) for b, s, blob in collocations.packed(h, n, top) for x, k in [collocations.unpacked(s, blob)]]
+        assert (np.concatenate([x for x, _ in got]) == collocations.key(h, top)).all() and (np.concatenate([k for _, k in got]) == n).all()
+    words = np.zeros(1 << 12, np.uint64)
+    for p in collocations.places(collocations.key(h[:2500], 11), 18):
+        np.bitwise_or.at(words, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+    passing = collocations.Passing(words, 11)
+    assert passing.has(h[:2500]).all() and passing.has(h[2500:]).mean() < 0.01
+    assert list(collocations.packed(h[:0], n[:0], 4)) == []
