@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gates import Gates
 from ..functions.lexicon import TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.text import count, first_filled, total
 
 THRESHOLD = MARGIN = 0.3
 
 
-def evidence(text: Column) -> Column:
-    """Struct of match counts by clause type, in the taxonomy's order."""
-    return F.struct(*[total([count(text, p) for p in TRIGGERS[t]]).cast("int").alias(t) for t in TAXONOMY])
+GATES = Gates([p for t in TAXONOMY for p in TRIGGERS[t]])
+
+
+def evidence(text: Column, gated: bool = False) -> Column:
+    """Struct of match counts by clause type, in the taxonomy's order. On rows that GATES.add() has seen, a pattern runs only where it may match."""
+    gated = lambda p, on=gated: F.when(GATES.may(p), count(text, p)).otherwise(0) if on else count(text, p)
+    return F.struct(*[total([gated(p) for p in TRIGGERS[t]]).cast("int").alias(t) for t in TAXONOMY])
 
 
 def best_type(counts: Column) -> Column:
@@ -37,11 +42,12 @@ def taxonomy_index(t: Column) -> Column:
 
 def with_evidence(sections: DataFrame, text: str = "text", once: bool = False) -> DataFrame:
     """sections plus struct `evidence`. With `once`, equal texts are matched only once (a shuffle of hashes instead)."""
+    gated = lambda rows, t: GATES.add(rows, t).withColumn("evidence", evidence(t, gated=True)).drop(*GATES.columns())
     if not once:
-        return sections.withColumn("evidence", evidence(F.coalesce(F.col(text), F.lit(""))))
+        return gated(sections, F.coalesce(F.col(text), F.lit("")))
     keyed = sections.withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    found = keyed.groupBy("__h").agg(F.first(text).alias("__t")).select("__h", evidence(F.coalesce("__t", F.lit(""))).alias("evidence"))
-    return keyed.join(found, "__h").drop("__h")
+    found = keyed.groupBy("__h").agg(F.first(text).alias("__t"))
+    return keyed.join(gated(found, F.coalesce("__t", F.lit(""))).select("__h", "evidence"), "__h").drop("__h")
 
 
 def fast_lane(sections: DataFrame, text: str = "text") -> DataFrame:

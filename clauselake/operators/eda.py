@@ -106,11 +106,13 @@ def full_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("full_text"))
 
 
-def trigger_recall(sentences: DataFrame, found: DataFrame, key: str = "id", kind: str = "type", top: int = 4) -> DataFrame:
-    """(type, n, caught, top_rules): sentences with a finding, and the rules that fire most."""
-    hit = found.select(key).distinct().withColumn("hit", F.lit(1))
-    per = sentences.join(hit, key, "left").groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("caught"))
-    rules = found.select(key, "rule_id").join(sentences.select(key, kind), key).groupBy(kind, "rule_id").agg(F.count(F.lit(1)).alias("c"))
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("c"), "rule_id"))
-    best = rules.withColumn("r", rank).filter(F.col("r") <= top).groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "rule_id"))), lambda x: x["rule_id"]), ",").alias("top_rules"))
-    return per.join(best, kind, "left").select(F.col(kind).alias("type"), "n", "caught", F.coalesce("top_rules", F.lit("")).alias("top_rules"))
+def trigger_recall(sentences: DataFrame, kind: str = "type", top: int = 4) -> DataFrame:
+    """(type, n, caught, top_rules) of sentences with an array of rule ids: those with a finding, and the rules that fire most. Sentences are read once:
+    each counts as itself and once per rule, and only counts meet."""
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("rule_id"), (F.size("rule_ids") > 0).cast("long").alias("hit")))
+    each = F.transform("rule_ids", lambda r: F.struct(r.alias("rule_id"), F.lit(1).cast("bigint").alias("hit")))
+    counts = sentences.select(F.col(kind).alias("type"), F.inline_outer(F.concat(itself, each))).groupBy("type", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("c"))
+    own = F.when(F.col("rule_id").isNull(), F.struct("n", "c"))
+    rules = F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct((-F.col("c")).alias("o"), "rule_id"))))  # as many as there are rules
+    names = F.transform(F.slice("r", 1, top), lambda x: x["rule_id"])
+    return counts.groupBy("type").agg(F.first(own, ignorenulls=True).alias("x"), rules.alias("r")).select("type", "x.n", F.col("x.c").alias("caught"), F.array_join(names, ",").alias("top_rules"))

@@ -19,22 +19,29 @@ def scores(tp: Column, fp: Column, fn: Column, digits: int = 4) -> list[Column]:
     return [F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"), F.round(ratio(2 * p * r, p + r), digits).alias("f1")]
 
 
-def per_class(pairs: DataFrame, gold_only: bool = False, digits: int = 4) -> DataFrame:
-    """(label, tp, fp, fn, precision, recall, f1) of pairs (y_true, y_pred); one pass, two rows per pair."""
+def class_counts(pairs: DataFrame) -> DataFrame:
+    """(label, tp, fp, fn, gold) of pairs (y_true, y_pred); one pass, two rows per pair."""
     side = lambda c, g: F.struct(F.col(c).alias("label"), F.lit(g).alias("gold"), (F.col("y_true") == F.col("y_pred")).alias("same"))
     rows = pairs.select(F.explode(F.array(side("y_true", True), side("y_pred", False))).alias("x")).select("x.*")
-    out = rows.groupBy("label").agg(
+    return rows.groupBy("label").agg(
         F.count_if(F.col("gold") & F.col("same")).alias("tp"), F.count_if(~F.col("gold") & ~F.col("same")).alias("fp"), F.count_if(F.col("gold") & ~F.col("same")).alias("fn"), F.count_if("gold").alias("gold")
     )
+
+
+def per_class(pairs: DataFrame, gold_only: bool = False, digits: int = 4) -> DataFrame:
+    """(label, tp, fp, fn, precision, recall, f1) of pairs (y_true, y_pred)."""
+    out = class_counts(pairs)
     out = out.filter("gold > 0") if gold_only else out
     return out.select("label", "tp", "fp", "fn", *scores(F.col("tp"), F.col("fp"), F.col("fn"), digits))
 
 
 def multiclass(pairs: DataFrame) -> DataFrame:
     """One row: n, accuracy, macro means of the rounded class values (micro ones equal the accuracy)."""
-    exact = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("k"))
-    macro = per_class(pairs).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
-    return exact.crossJoin(macro).select("n", F.round(ratio(F.col("k"), F.col("n")), 4).alias("accuracy"), "macro_precision", "macro_recall", "macro_f1")
+    of = dict(zip(("precision", "recall", "f1"), scores(F.col("tp"), F.col("fp"), F.col("fn")), strict=True))
+    rows = class_counts(pairs).select("tp", "gold", *[c.alias(f"x_{n}") for n, c in of.items()])
+    macro = [F.round(F.coalesce(F.avg(f"x_{n}"), F.lit(0.0)), 4).alias(f"macro_{n}") for n in of]
+    sums = rows.agg(F.coalesce(F.sum("gold"), F.lit(0)).alias("n"), F.coalesce(F.sum("tp"), F.lit(0)).alias("k"), *macro)
+    return sums.select("n", F.round(ratio(F.col("k"), F.col("n")), 4).alias("accuracy"), *[f"macro_{n}" for n in of])
 
 
 def pooled(pairs: DataFrame) -> DataFrame:

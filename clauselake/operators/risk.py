@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gates import Gates
 from ..functions.lexicon import RISK_LEVELS, UNKNOWN
 from ..functions.rulebook import RULES, Rule
 from ..functions.text import captured, every, matches, some, template
@@ -12,9 +13,10 @@ from ..functions.text import captured, every, matches, some, template
 CLAUSE_LENGTH, GROUNDING_LENGTH = 600, 900
 
 
-def triggered(rule: Rule, text: Column) -> Column:
-    """All triggers match and no exclusion does."""
-    return every([matches(text, p) for p in rule.triggers]) & ~some([matches(text, p) for p in rule.exclusions])
+def triggered(rule: Rule, text: Column, gates: Gates | None = None) -> Column:
+    """All triggers match and no exclusion does. On rows that gates.add() has seen, a pattern runs only where it may match."""
+    may = lambda p: matches(text, p) if gates is None else gates.may(p) & matches(text, p)
+    return every([may(p) for p in rule.triggers]) & ~some([may(p) for p in rule.exclusions])
 
 
 def extracted(rule: Rule, text: Column) -> Column:
@@ -35,16 +37,17 @@ def severity(level: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(9).cast("int")
 
 
-def findings(sections: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Sections (id, text, type) to findings. A rule looks at sections of its types, with confidence 1, and at unknown ones, with
-    0.75; the test of the type comes first, so that patterns only run where they may count."""
+def with_findings(sections: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Sections (text, type, ...) plus `findings`, an array of structs in the rules' order. A rule looks at sections of its types, with confidence 1,
+    and at unknown ones, with 0.75; the tests of the type and of literals come first, so that patterns only run where they may count."""
     text, kind = F.coalesce(F.col("text"), F.lit("")), F.col("type")
     unknown = kind == UNKNOWN
+    gates = Gates([p for r in rules for p in (*r.triggers, *r.exclusions)])
     fired = [
         F.when(
             kind.isin(*rule.clause_types, UNKNOWN),
             F.when(
-                triggered(rule, text),
+                triggered(rule, text, gates),
                 F.struct(
                     F.lit(i).alias("rule_ord"),
                     F.lit(rule.rule_id).alias("rule_id"),
@@ -58,7 +61,12 @@ def findings(sections: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[s
         )
         for i, rule in enumerate(rules)
     ]
-    rows = sections.select("id", *keep, "text", "type", F.explode(F.array_compact(F.array(*fired))).alias("f"))
+    return gates.add(sections, text).withColumn("findings", F.array_compact(F.array(*fired))).drop(*gates.columns())
+
+
+def findings(sections: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sections (id, text, type) to one row per finding."""
+    rows = with_findings(sections, rules).select("id", *keep, "text", "type", F.explode_outer("findings").alias("f")).filter("f is not null")  # a plain explode has the optimizer look for findings twice
     return rows.select("id", *keep, F.col("type").alias("clause_type"), F.substring(F.coalesce("text", F.lit("")), 1, CLAUSE_LENGTH).alias("clause_text"), "f.*", F.lit("").alias("grounding"))
 
 
@@ -67,10 +75,10 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(severity(F.col("risk_level")), "id", "rule_ord")
 
 
-def summary(documents: DataFrame, sections: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: sections, classified ones, findings and their levels; documents without findings stay."""
-    per = sections.groupBy(key).agg(F.count(F.lit(1)).alias("total_sections"), F.count_if(F.col("type") != UNKNOWN).alias("classified_sections"))
-    levels = found.groupBy(key).agg(F.count(F.lit(1)).alias("n_findings"), *[F.count_if(F.col("risk_level") == x).alias(f"n_{x}") for x in RISK_LEVELS])
-    rows = documents.select(key).join(per, key, "left").join(levels, key, "left")
-    names = ["total_sections", "classified_sections", "n_findings", *[f"n_{x}" for x in RISK_LEVELS]]
-    return rows.select(key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+def summary(documents: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document, of sections with their findings: sections, classified ones, findings and their levels; documents without sections stay."""
+    level = lambda x: F.size(F.filter("findings", lambda f: f["risk_level"] == x))
+    sums = {"n_findings": F.size("findings")} | {f"n_{x}": level(x) for x in RISK_LEVELS}
+    per = sections.groupBy(key).agg(F.count(F.lit(1)).alias("total_sections"), F.count_if(F.col("type") != UNKNOWN).alias("classified_sections"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    rows = documents.select(key).join(per, key, "left")
+    return rows.select(key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_sections", "classified_sections", *sums)])

@@ -104,8 +104,7 @@ SELECT d.doc_id, coalesce(s.a, 0) AS total_sections, coalesce(s.b, 0) AS classif
 FROM documents d LEFT JOIN (SELECT id, count(*) AS a, count(*) FILTER (type <> '{UNKNOWN}') AS b FROM typed GROUP BY id) s ON d.doc_id = s.id LEFT JOIN f ON d.doc_id = f.id"""
 )
 def risk_summary_by_doc(spark, d):
-    rows = typed(spark, d).withColumnRenamed("id", "doc_id")
-    return risk.summary(table(spark, d, "documents"), rows, found(spark, d).withColumnRenamed("id", "doc_id"))
+    return risk.summary(table(spark, d, "documents"), risk.with_findings(typed(spark, d).withColumnRenamed("id", "doc_id")))
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT id, rule_id, extracted FROM findings WHERE extracted <> ''")
@@ -122,8 +121,8 @@ c AS (SELECT gold AS type, rule_id, count(*) AS c FROM findings GROUP BY ALL), r
 SELECT per.type, n, caught, coalesce(string_agg(rule_id, ',' ORDER BY r), '') AS top_rules FROM per LEFT JOIN (SELECT * FROM r WHERE r <= 4) r ON per.type = r.type GROUP BY ALL"""
 )
 def trigger_recall(spark, d):
-    rows = O.sections(spark, d).withColumnRenamed("gold", "type")
-    return eda.trigger_recall(rows, found(spark, d).select("id", "rule_id"))
+    rows = risk.with_findings(typed(spark, d)).withColumn("rule_ids", F.transform("findings", lambda f: f["rule_id"]))
+    return eda.trigger_recall(rows, "gold")
 
 
 # --- classification -----------------------------------------------------------------------------------------------------
@@ -642,9 +641,10 @@ per AS (SELECT source, sum(g * p) AS b, sum(g) AS g, sum(p) AS p FROM cells GROU
 
 
 def concept_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = O.sections(spark, d).join(F.broadcast(O.clause_table(spark).select("k", "clause_text")), "k")
+    clauses = O.clause_table(spark).select("k", metrics.concepts_of(F.col("clause_text")).alias("concepts"))  # patterns run once a clause
+    rows = O.sections(spark, d).select("source", "k").join(F.broadcast(clauses), "k")
     rules = ground.rule_table(spark)
-    return metrics.flag_concepts(rows, "source", "clause_text"), metrics.finding_concepts(found(spark, d), rules, "source")
+    return rows.select("source", F.explode("concepts").alias("concept")).distinct(), metrics.finding_concepts(found(spark, d), rules, "source")
 
 
 @query(f"WITH {CONCEPT_SQL} SELECT source, concept FROM flags")

@@ -178,9 +178,8 @@ def test_findings(spark):
     assert not any("{" in r["rationale"] for r in got.values())
     assert [r["risk_level"] for r in risk.ordered(risk.findings(sections(spark, [("no_obligation", "May cease business."), ("deposit", "security deposit")]))).collect()] == ["medium", "info"]
     docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
-    s = spark.createDataFrame([(1, "rent"), (1, "unknown")], "doc_id int, type string")
-    f = spark.createDataFrame([(1, "low")], "doc_id int, risk_level string")
-    assert [tuple(r) for r in risk.summary(docs, s, f).orderBy("doc_id").collect()] == [(1, 2, 1, 1, 0, 0, 1, 0), (2, 0, 0, 0, 0, 0, 0, 0)]
+    s = risk.with_findings(spark.createDataFrame([(1, "deposit", "Guaranty transfers."), (1, "unknown", None)], "doc_id int, type string, text string"))
+    assert [tuple(r) for r in risk.summary(docs, s).orderBy("doc_id").collect()] == [(1, 2, 1, 1, 0, 0, 1, 0), (2, 0, 0, 0, 0, 0, 0, 0)]
 
 
 # --- vectors and grounding
@@ -304,3 +303,53 @@ def test_prompts(spark):
     got = texts(spark, [good, "garbage", good.replace("rent", "x"), good.replace('"e"', '""')]).orderBy("id").select(prompt.parse(F.col("text")).alias("p"), prompt.obeys_grammar(F.col("text")).alias("o")).collect()
     assert [(r["p"]["parse_ok"], r["o"]) for r in got] == [(True, True), (False, False), (True, False), (True, False)] and got[1]["p"]["plain_explanation"] == "garbage"
     assert prompt.augmented(spark.range(5).withColumn("prompt", F.lit("a\n\nb")), ["id"]).count() == 12
+
+
+# --- literal gates
+
+SAMPLES = (
+    "The TERM of this Licence; initial  term. Base rent is due, a deposit of Rs. 5 (security deposit).", "keeps it in good repair and maintenance of\nutilities, gas bills", "terminat terminates TERMINATION not renewed",
+    "leaſe aſſign this leaſe", "LİCENSE to enter the premises, lıcense", "\u212aeep in good condition; boo\u212akeeping", "tenant at sufferance holds over, twice the monthly rent", "", "rent", "pets. domestic animal", "no", "Flat No. 5 demised premises leased to",
+    "as is, same condition, prior to", "letter of credit; without deduction or offset; governing law; jury trial", "term of this leaſe. ſublet, sublease, SUBLET, \u017fewer",
+)
+
+
+def test_gates_never_miss(spark):
+    """A gate allows every text that its pattern matches, as Spark matches it; and gated counts equal plain ones."""
+    from clauselake.functions import gates
+    from clauselake.functions.lexicon import TRIGGERS
+    from clauselake.functions.rulebook import RULES
+    from clauselake.functions.text import count, matches
+    from clauselake.plans.overlay import CLAUSES
+
+    patterns = list(dict.fromkeys([p for t in TRIGGERS.values() for p in t] + [p for r in RULES for p in (*r.triggers, *r.exclusions)]))
+    texts = [*SAMPLES, *[t for _, t in CLAUSES], *[t.upper() for _, t in CLAUSES], " ".join(t for _, t in CLAUSES)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    g = gates.Gates(patterns)
+    got = g.add(rows, F.col("t")).select("t", F.array(*[matches(F.col("t"), p) for p in patterns]).alias("m"), F.array(*[g.may(p) for p in patterns]).alias("g")).collect()
+    assert sum(sum(r["m"]) for r in got) > 200
+    for r in got:
+        for p, m, may in zip(patterns, r["m"], r["g"], strict=True):
+            assert may >= m and may == gates.allows(r["t"], p), (p, r["t"])
+    assert sum(sum(r["g"]) for r in got) < 0.2 * len(got) * len(patterns)
+    plain = rows.select("i", classify.evidence(F.col("t")).alias("e"))
+    gated = classify.with_evidence(rows, "t").select("i", F.col("evidence").alias("e"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, gated.collect()))
+    assert count(F.col("t"), patterns[0]) is not None and len([p for p in patterns if not gates.gate(p)]) <= 1
+
+
+def test_gates_fold_all_letters(spark):
+    """Every character that matches an ASCII letter where case is ignored is folded to it."""
+    from clauselake.functions import gates
+
+    chars = spark.range(1, 0x11000).filter("id not between 55296 and 57343").select(F.expr("decode(encode(char(65), 'utf-8'), 'utf-8')").alias("x"), "id")
+    rows = spark.createDataFrame([(chr(r["id"]),) for r in chars.select("id").collect()], "c string")
+    odd = rows.filter(F.col("c").rlike("(?iU)[a-z]")).select("c", gates.fold(F.col("c")).alias("f")).collect()
+    assert {r["c"] for r in odd if not r["c"].isascii()} == set(gates._ODD) and all(r["f"].isascii() for r in odd)
+
+
+@pytest.mark.parametrize(("pattern", "want"), [(r"(?i)\bab\b", ()), (r"abc(?:def)?", ("abc",)), (r"(?:foo|ba)r", ()), (r"(?:foo|bar)\s+bazz", ("bazz", "bar|foo")), (r"x{2}yes*", ()), (r"(?i)\bNo\.?\s+(Way)", ("way",)), (r"(?:one)+two", ("one", "two"))])
+def test_gate_of(pattern, want):
+    from clauselake.functions.gates import gate
+
+    assert sorted("|".join(sorted(c)) for c in gate(pattern)) == sorted(want)
