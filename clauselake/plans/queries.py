@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import CONCEPTS, DEONTIC_LABELS, DEONTIC_PHRASES, PARTY_ALIASES, RISK_LEVELS, TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.rulebook import RULES
-from ..operators import classify, dataset, eda, encode, features, ground, index, metrics, prompt, risk, segment, synth
+from ..operators import classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth
 from ..sources import files, records
 from ..sources.scratch import scratch
 from . import overlay as O
@@ -480,6 +480,51 @@ def source_overlap(spark, d):
     return eda.overlap(table(spark, d, "documents").filter("lang = 'en'"), table(spark, d, "labels"), "doc_id")
 
 
+# One report a query, as JSON: nested, with values in the order that the report gives them.
+
+LEASES_SQL = "SELECT doc_id AS id, source, text, lang AS type_fast_lane, split_part(text, chr(10), 1) AS heading FROM documents"
+TALKS_SQL = "SELECT conv_id * 1000 + turn AS id, 'src' || (conv_id % 30) AS source, text, role AS type, 't' || (turn % 3) AS redflag_type FROM conversations"
+
+
+def sql_summary(t: str, text: str = "text", more: str = "") -> str:
+    """The summary of a table (id, source, text), as fields of a struct."""
+    n, cut = f"(SELECT count(*) FROM {t})", f"(SELECT count(*) FROM {t} WHERE length(coalesce({text}, '')) >= 600)"
+    per = f"(SELECT list(k ORDER BY k) FROM (SELECT count(*) AS k FROM {t} GROUP BY source))"
+    xs = f"(SELECT list(length(coalesce({text}, '')) ORDER BY length(coalesce({text}, ''))) FROM {t})"
+    at = lambda q: f"{xs}[CAST(floor({q} * ({n} - 1)) AS BIGINT) + 1]"
+    return f"""rows := {n}, unique_sources := len({per}), rows_per_source := struct_pack(min := {per}[1], p50 := {per}[len({per}) // 2 + 1], max := {per}[-1]),
+text := struct_pack(rows := {n}, mean := (SELECT round(avg(length(coalesce({text}, ''))), 1) FROM {t}), min := {xs}[1], p50 := {at(0.5)}, p90 := {at(0.9)}, p95 := {at(0.95)}, max := {xs}[-1]),
+truncated_at_limit := {cut}, truncated_pct := round(100.0 * {cut} / {n}, 1), empty_text := (SELECT count(*) FROM {t} WHERE trim(coalesce({text}, '')) = '')"""
+
+
+def sql_distribution(t: str, c: str, limit: int | None = None) -> str:
+    return f"(SELECT list(struct_pack(value := coalesce({c}, 'None'), n := n) ORDER BY n DESC, f) FROM (SELECT {c}, count(*) AS n, min(id) AS f FROM {t} GROUP BY {c} ORDER BY n DESC, f {f'LIMIT {limit}' if limit else ''}))"
+
+
+def sql_truncation(t: str, c: str) -> str:
+    cut = "count(*) FILTER (length(coalesce(text, '')) >= 600)"
+    return f"(SELECT list(struct_pack(value := coalesce({c}, 'None'), n := n, truncated := k, truncated_pct := round(100.0 * k / n, 1)) ORDER BY k DESC, f) FROM (SELECT {c}, count(*) AS n, {cut} AS k, min(id) AS f FROM {t} GROUP BY {c}))"
+
+
+def sql_cross(t: str, a: str, b: str) -> str:
+    return f"""(SELECT list(struct_pack(value := a, "values" := x) ORDER BY f) FROM (SELECT a, min(f) AS f, list(struct_pack(value := b, n := n) ORDER BY f) AS x FROM (SELECT {a} AS a, {b} AS b, count(*) AS n, min(id) AS f FROM {t} GROUP BY ALL) GROUP BY a))"""
+
+
+@query(
+    f"""WITH l AS ({LEASES_SQL}), r AS ({TALKS_SQL}), a AS (SELECT DISTINCT source FROM l), b AS (SELECT DISTINCT source FROM r)
+SELECT CAST(to_json(struct_pack(leases := struct_pack({sql_summary("l")}, type_fast_lane := {sql_distribution("l", "type_fast_lane")}, truncation_by_type_fast_lane := {sql_truncation("l", "type_fast_lane")}, top_headings := {sql_distribution("l", "heading", 25)}),
+redflags := struct_pack({sql_summary("r")}, type := {sql_distribution("r", "type")}, redflag_type := {sql_distribution("r", "redflag_type")}, truncation_by_type := {sql_truncation("r", "type")}, type_x_redflag_type := {sql_cross("r", "type", "redflag_type")}),
+cross_corpus := struct_pack(source_overlap := struct_pack(leases_only := (SELECT count(*) FROM a ANTI JOIN b USING (source)), redflags_only := (SELECT count(*) FROM b ANTI JOIN a USING (source)), shared := (SELECT count(*) FROM a JOIN b USING (source)))))) AS VARCHAR) AS report"""
+)
+def corpus_report(spark, d):
+    leases = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text", F.col("lang").alias("type_fast_lane"), F.split("text", "\n")[0].alias("heading"))
+    turn = F.col("turn").cast("long")
+    talks = table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("id"), F.concat(F.lit("src"), F.col("conv_id") % 30).alias("source"), "text", F.col("role").alias("type"), F.concat(F.lit("t"), turn % 3).alias("redflag_type")
+    )
+    return reports.report(leases, talks, ("id",)).select(F.to_json(F.struct("leases", "redflags", "cross_corpus")).alias("report"))
+
+
 def methods_of(spark, d) -> DataFrame:
     n = F.length("text")
     return pages_of(spark, d).withColumn("method", F.when(n % 7 == 0, "error").when(n % 3 == 0, "ocr").otherwise("text"))
@@ -827,6 +872,32 @@ def redflag_report(spark, d):
     return eda.redflag_report(dataset.redflags(redflag_csv(spark, d)))
 
 
+_FULL_SQL = f"""{REDFLAG_SQL}, docs AS (SELECT doc_id AS id, source, lang AS document_class, text FROM documents), red AS (SELECT "end" AS id, * FROM rf), easy AS (SELECT * FROM red WHERE type <> 'none'),
+ent AS (SELECT id, source, 'lessee' AS class_id FROM sections), cl AS (SELECT id, source, id % 2 = 0 AS clause_begin, gold AS clause_type FROM sections),
+last AS (SELECT list(length(coalesce(x, '')) ORDER BY length(coalesce(x, ''))) AS xs FROM (SELECT arg_max(coalesce(text, ''), id) AS x FROM docs GROUP BY source))"""
+
+
+def sql_counts(t: str) -> str:
+    return f"rows := (SELECT count(*) FROM {t}), docs := (SELECT count(DISTINCT source) FROM {t})"
+
+
+@query(
+    f"""WITH {_FULL_SQL} SELECT CAST(to_json(struct_pack(docs := struct_pack({sql_summary("docs")}, document_class := {sql_distribution("docs", "document_class")}, len_chars := (SELECT struct_pack(min := xs[1], p50 := xs[len(xs) // 2 + 1], max := xs[-1]) FROM last)),
+redflags := struct_pack({sql_counts("red")}, positive := (SELECT count(*) FROM easy), negative_none := (SELECT count(*) FROM red WHERE type = 'none'), positive_types := (SELECT count(DISTINCT type) FROM easy), docs_with_positive := (SELECT count(DISTINCT source) FROM easy), type := {sql_distribution("red", "type")}),
+easy_redflags := struct_pack({sql_counts("easy")}, types := (SELECT count(DISTINCT type) FROM easy), type := {sql_distribution("easy", "type")}), entities := struct_pack({sql_counts("ent")}, class_id := {sql_distribution("ent", "class_id")}),
+clauses := struct_pack({sql_counts("cl")}, clause_begin_true := (SELECT count(*) FROM cl WHERE clause_begin), clause_type := {sql_distribution("cl", "clause_type")}))) AS VARCHAR) AS report"""
+)
+def full_corpus_report(spark, d):
+    red = dataset.redflags(redflag_csv(spark, d))
+    sections = O.sections(spark, d)
+    entities = sections.select("id", "source", F.lit("lessee").alias("class_id"))
+    clauses = sections.select("id", "source", (F.col("id") % 2 == 0).alias("clause_begin"), F.col("gold").alias("clause_type"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("document_class"), "text")
+    order = {"docs": ("id",), "redflags": ("end",), "easy_redflags": ("end",), "entities": ("id",), "clauses": ("id",)}
+    out = reports.full_report(docs, red, red.filter("type <> 'none'"), entities, clauses, order)
+    return out.select(F.to_json(F.struct(*out.columns)).alias("report"))
+
+
 @query(
     "WITH a AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) SELECT 'v' || conv_id AS doc, role AS annotator, text AS flag FROM a WHERE r = 1"
 )

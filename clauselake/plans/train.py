@@ -22,7 +22,7 @@ from ..operators.features import downsample, is_tenant, trigger_vector
 from ..operators.metrics import calibrate
 from ..sources.scratch import scratch
 
-FEATURES, MAX_ITER = 20_000, 1000
+FEATURES, MAX_ITER, TOL = 20_000, 1000, 1e-5
 
 
 def feature_text(rows: DataFrame) -> Column:
@@ -94,7 +94,7 @@ def stacked(rows: DataFrame, tfidf: Tfidf, triggers: bool = True, party: bool =
     return VectorAssembler(inputCols=["__tfidf", "__side"], outputCol=out).transform(data).drop("__tfidf", "__side")
 
 
-def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 1.0, balanced: bool = True, tol: float = 1e-6) -> tuple[LogisticRegressionModel | None, list[str]]:
+def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 1.0, balanced: bool = True, tol: float = TOL) -> tuple[LogisticRegressionModel | None, list[str]]:
     """Logistic regression with penalty 1 / (c n), intercepts free, features as they are; balanced weights are n / (k * class size). With
     fewer than two classes there is no model."""
     counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
@@ -160,7 +160,7 @@ class TextModel:
         return TextModel(self.tfidf, self.triggers, self.party, self.label, self.labels, self.heads, {r["label"]: r["threshold"] for r in best})
 
 
-def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (), triggers: bool = True, party: bool = False, features: int = FEATURES, ngrams: int = 1, c: float = 1.0, negatives: tuple[list[str], int] | None = None, tol: float = 1e-6) -> TextModel:
+def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (), triggers: bool = True, party: bool = False, features: int = FEATURES, ngrams: int = 1, c: float = 1.0, negatives: tuple[list[str], int] | None = None, tol: float = TOL) -> TextModel:
     """A model of rows. With triggers, classes are balanced; `negatives` (ids, factor) keeps at most so many `none` rows per other one. Feature rows are
     written once for all heads."""
     if negatives is not None:
