@@ -186,10 +186,13 @@ def _described(n: int, percent: int, prefixed: frozenset[int]):
 
 
 def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
-    """A batch's signatures, 48 bits each beside their part, with places in a list of the batch's nodes: half as many bytes to move
-    as rows of two longs. Signatures may collide; candidates are verified."""
+    """A batch's signatures, 48 bits each beside their part, with places in a list of the batch's nodes, which ascend and are compressed: under half
+    as many bytes to move as rows of two longs. Signatures may collide; candidates are verified."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         signer = Signer(percent, prefixed)
         for b in (whole.iloc[i : i + 50_000] for whole in batches for i in range(0, len(whole), 50_000)):  # places have 16 bits
             known: dict[int, np.ndarray] = {}
@@ -210,22 +213,25 @@ def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
             for x, y in zip(cuts, cuts[1:], strict=False):
                 used, at = np.unique(place[x:y], return_inverse=True)
                 short = s[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(part[x]), short.tobytes(), at.astype("<u2").tobytes(), nodes[used].tobytes()))
+                rows.append((int(part[x]), short.tobytes(), z.compress(np.diff(at, prepend=0).astype("<u2").tobytes()), nodes[used].tobytes()))
             yield pd.DataFrame(rows, columns=["part", "s", "place", "nodes"])
 
     return run
 
 
-def _shared(parts: int):
+def _shared(parts: int, tell: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(s, node) of signatures that two nodes or more have; rows come sorted by part. Beyond HELD signatures, those with HOT nodes leave
-        memory, and what else arrives for them goes straight through."""
+        memory, and what else arrives for them goes straight through. Only the rows of those may repeat; column `again` tells, if asked for."""
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         held: list[np.ndarray] = []
         hot = np.zeros(0, dtype=np.uint64)
         size, now = 0, None
 
-        def frame(pairs: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
+        def frame(pairs: np.ndarray, again: bool) -> pd.DataFrame:
+            return pd.DataFrame(({"again": np.full(len(pairs), again)} if tell else {}) | {"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
 
         def split(least: int) -> tuple[np.ndarray, np.ndarray]:
             """Held pairs without repeats: those of signatures with `least` nodes or more, and the rest."""
@@ -242,15 +248,15 @@ def _shared(parts: int):
             for part, s, place, nodes in zip(b["part"], b["s"], b["place"], b["nodes"], strict=True):
                 if part != now:
                     if now is not None:
-                        yield frame(split(2)[0])
+                        yield frame(split(2)[0], False)
                     held, size, now, hot = [], 0, part, np.zeros(0, dtype=np.uint64)
                 raw = np.zeros((len(s) // 6, 8), dtype=np.uint8)
                 raw[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
                 key = raw.view("<u8").ravel().astype(np.uint64)
-                pairs = np.stack([key, np.frombuffer(nodes, dtype=np.int64)[np.frombuffer(place, dtype="<u2")].astype(np.uint64)], axis=1)
+                pairs = np.stack([key, np.frombuffer(nodes, dtype=np.int64)[np.cumsum(np.frombuffer(z.decompress(place), dtype="<u2"))].astype(np.uint64)], axis=1)
                 if len(hot):
                     through = np.isin(key, hot)
-                    yield frame(pairs[through])
+                    yield frame(pairs[through], True)
                     pairs = pairs[~through]
                 held.append(pairs)
                 size += len(pairs)
@@ -258,9 +264,9 @@ def _shared(parts: int):
                     out, rest = split(HOT)
                     hot = np.unique(np.concatenate([hot, out[:, 0]]))
                     held, size = [rest], len(rest)
-                    yield frame(out)
+                    yield frame(out, True)
         if now is not None:
-            yield frame(split(2)[0])
+            yield frame(split(2)[0], False)
 
     return run
 
@@ -406,12 +412,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     total = table.agg(F.sum("signed")).first()[0] or 0
     parts = max(C.partitions(spark), total // PART)
     signatures = base.select("text").mapInPandas(_packed(n, percent, short, parts), "part long, s binary, place binary, nodes binary")
-    shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts), "s long, node long")
-    shared = C.stage(shared.distinct(), "shared")
+    shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts, tell=True), "again boolean, s long, node long")
+    found = C.stage(shared, "shared")
+    shared = found.filter("not again").select("s", "node").unionByName(found.filter("again").select("s", "node").distinct())
     # texts whose sets are in a bucket, with their size, slack and number of large buckets
     sizes = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
     buckets = C.stage(shared.join(sizes, "s"), "buckets")
-    C.release(shared)
+    C.release(found)
     wanted = buckets.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("big"))
     first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("slack").alias("slack"))
     known = C.cut(first.join(wanted, "node").select("node", "doc_id", "n", (F.col("slack") - F.col("big")).alias("spare")))
