@@ -13,7 +13,13 @@ HEADING = r"^[A-Z][A-Za-z0-9 ,&'()\-]{1,47}$"
 ABBREVIATIONS = r"\b(Mr|Mrs|Ms|Dr|Prof|No|Art|Sec|Sect|Cl|Clause|Inc|Ltd|Corp|Co|e\.g|i\.e|et al|vs|Fig|St|Ave|Rd|#)\."
 SENTENCE = r"""[^.!?]+(?:[.!?]['")\] ]*)?(?=\s|$|\z)"""
 LINE_ENDS = "[\n\x0b\x0c\x1c\x1d\x1e\x85  ]"
-_CUT = "﷐"  # a noncharacter
+_CUT, _END = "﷐", "﷑"  # noncharacters
+#: Without a look ahead: a terminator within a token, what follows the last of these, and a terminator that ends a token.
+CLOSERS = """['")\\]]"""
+WITHIN = rf"""[.!?]{CLOSERS}*[^'")\]]"""
+AFTER_LAST = rf"""^.*[.!?]({CLOSERS}*[^'")\]].*)$"""
+AT_END = rf"[.!?]{CLOSERS}*$"
+CLOSED = rf"((?: {CLOSERS}+)*)(?: |$)"
 
 
 def is_clause_start(line: Column) -> Column:
@@ -34,12 +40,23 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences; periods of known abbreviations do not end one. Text before a terminator inside a token is dropped."""
+    """Array of sentences; periods of known abbreviations do not end one. Text before a terminator inside a token is dropped.
+
+    Boundaries are marked token by token, then the text is split at the marks: a token that ends in a terminator and closing marks ends a sentence,
+    with the tokens of closing marks alone that follow; of a token with a terminator inside, what comes after the last one begins a
+    sentence. A terminator right after such a cut, or at the text's start, is dropped, as no sentence is left for it to end."""
     shielded = F.regexp_replace(collapse(F.coalesce(text, F.lit(""))), java(ABBREVIATIONS), "$1\x00")
     shielded = F.regexp_replace(shielded, r"\be\.g\x00", "e\x00g\x00")
     shielded = F.regexp_replace(shielded, r"\bi\.e\x00", "i\x00e\x00")
-    found = F.regexp_extract_all(shielded, F.lit(java(SENTENCE)), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.replace(strip(s), F.lit("\x00"), F.lit("."))), lambda s: s != "")
+    bare = lambda t: F.regexp_replace(t, "^[.!?]", "")
+
+    def begun(t: Column, i: Column) -> Column:
+        return F.when(t.rlike(WITHIN), F.concat(F.lit(_CUT), bare(F.regexp_replace(t, AFTER_LAST, "$1")))).when(i == 0, bare(t)).otherwise(t)
+
+    ended = lambda t: F.when(t.rlike(AT_END), F.concat(t, F.lit(_END))).otherwise(t)
+    marked = F.array_join(F.transform(F.transform(F.split(shielded, " "), begun), ended), " ")
+    parts = F.split(F.regexp_replace(marked, _END + CLOSED, "$1" + _CUT), _CUT)
+    return F.filter(F.transform(parts, lambda s: F.replace(strip(s), F.lit("\x00"), F.lit("."))), lambda s: s != "")
 
 
 def split_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

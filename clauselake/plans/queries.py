@@ -203,9 +203,18 @@ _HITS_SQL = " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, {quoted(r.fall
 LEXICAL_SQL = f"{O.CHUNK_SQL}, hits AS ({_HITS_SQL}), lex AS (SELECT rule_id, arg_min(id, chunk_idx) AS id, arg_min(text, chunk_idx) AS text FROM hits GROUP BY rule_id)"
 
 
-@query(f"WITH {LEXICAL_SQL} SELECT * FROM lex")
+_ALL_HITS_SQL = _HITS_SQL.replace("chunk_dim", "all_chunks")
+
+
+@query(
+    f"""WITH {O.CHUNK_SQL}, all_chunks AS (SELECT doc_id AS chunk_idx, 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 1000000000000 + chunk_idx, id, text FROM chunk_dim), hits AS ({_ALL_HITS_SQL})
+SELECT rule_id, arg_min(id, chunk_idx) AS id, arg_min(text, chunk_idx) AS text FROM hits GROUP BY rule_id"""
+)
 def lexical_grounding(spark, d):
-    return ground.lexical(RULES, O.chunk_table(spark))
+    """The first text that holds all anchors of a rule, of all documents and then the chunks."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_idx"), F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    chunks = O.chunk_table(spark).withColumn("chunk_idx", F.col("chunk_idx") + F.lit(1_000_000_000_000))
+    return ground.lexical(RULES, docs.unionByName(chunks))
 
 
 @query(
@@ -322,26 +331,39 @@ def clause_paragraphs(spark, d):
 
 
 @query(
-    f"""WITH {O.CLAUSE_SQL}, l AS (SELECT k, unnest(string_split_regex(clause_text, '\\r?\\n')) AS line FROM clause_dim), s AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM l)
-SELECT k, line, regexp_matches(line, {quoted(segment.CLAUSE_START)}) AS clause_start, length(t) BETWEEN 3 AND 48 AND NOT regexp_matches(t, '[.!?:;,]$') AND regexp_matches(t, {quoted(segment.HEADING)}) AS heading FROM s"""
+    f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents), s AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM l)
+SELECT doc_id, regexp_matches(line, {quoted(segment.CLAUSE_START)}) AS clause_start, length(t) BETWEEN 3 AND 48 AND NOT regexp_matches(t, '[.!?:;,]$') AND regexp_matches(t, {quoted(segment.HEADING)}) AS heading, count(*) AS n FROM s GROUP BY ALL"""
 )
 def heading_lines(spark, d):
-    lines = O.clause_table(spark).select("k", F.explode(F.split("clause_text", "\r?\n")).alias("line"))
-    return lines.select("k", "line", segment.is_clause_start(F.col("line")).alias("clause_start"), segment.is_heading(F.col("line")).alias("heading"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\r?\n")).alias("line"))
+    kinds = lines.select("doc_id", segment.is_clause_start(F.col("line")).alias("clause_start"), segment.is_heading(F.col("line")).alias("heading"))
+    return kinds.groupBy("doc_id", "clause_start", "heading").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PLAIN_SENTENCE = segment.SENTENCE.replace(r"(?=\s|$|\z)", "")
+def sql_sentences(c: str) -> str:
+    """The same marks in SQL, with letters and digits of any script spelt out for word boundaries."""
+    x, cut, end = "chr(64977)", "chr(64976)", "chr(64978)"
+    names = segment.ABBREVIATIONS.removeprefix("\\b(").removesuffix("|#)\\.")
+    shield = lambda t: f"regexp_replace({t}, {quoted(f'(^|[^' + chr(92) + 'pL' + chr(92) + f'pN_])({names})' + chr(92) + '.')}, '\\1\\2' || {x}, 'g')"
+    t = shield(shield(sql_collapse(c)))  # twice: abbreviations may follow one another
+    t = f"regexp_replace({t}, '([\\pL\\pN_])#\\.', '\\1#' || {x}, 'g')"
+    t = f"replace(replace({t}, 'e.g' || {x}, 'e' || {x} || 'g' || {x}), 'i.e' || {x}, 'i' || {x} || 'e' || {x})"
+    begun = f"CASE WHEN regexp_matches(t, {quoted(segment.WITHIN)}) THEN {cut} || regexp_replace(regexp_replace(t, {quoted(segment.AFTER_LAST)}, '\\1'), '^[.!?]', '') WHEN i = 1 THEN regexp_replace(t, '^[.!?]', '') ELSE t END"
+    ended = f"CASE WHEN regexp_matches(t, {quoted(segment.AT_END)}) THEN t || {end} ELSE t END"
+    marked = f"array_to_string(list_transform(list_transform(string_split({t}, ' '), lambda t, i: {begun}), lambda t: {ended}), ' ')"
+    parts = f"string_split(regexp_replace({marked}, {end} || {quoted(segment.CLOSED)}, '\\1' || {cut}, 'g'), {cut})"
+    return f"list_filter(list_transform({parts}, lambda s: replace(trim(s), {x}, '.')), lambda s: s <> '')"
 
 
-@query(
-    f"""WITH {O.CLAUSE_SQL}, s AS (SELECT k, list_filter(list_transform(regexp_extract_all(regexp_replace({sql_collapse("clause_text")}, {quoted(segment.ABBREVIATIONS)}, '\\1' || chr(64976), 'g'), {quoted(_PLAIN_SENTENCE)}), lambda x: replace(trim(x), chr(64976), '.')), lambda x: x <> '') AS xs
-FROM clause_dim WHERE NOT regexp_matches(clause_text, '[.!?][0-9A-Za-z]')) SELECT k, CAST(unnest(range(len(xs))) AS INTEGER) AS sentence_idx, unnest(xs) AS text FROM s"""
-)
+_SENTENCES = "SELECT {key}, CAST(unnest(range(len(xs))) AS INTEGER) AS sentence_idx, unnest(xs) AS text FROM (SELECT {key}, {xs} AS xs FROM {table})"
+
+
+@query(f"WITH {O.SECTIONS_SQL} " + _SENTENCES.format(key="id", xs=sql_sentences("text"), table="sections"))
 def sentence_split_simple(spark, d):
-    return segment.split_sentences(O.clause_table(spark).filter(~F.col("clause_text").rlike("[.!?][0-9A-Za-z]")), "k", "clause_text")
+    return segment.split_sentences(O.sections(spark, d), "id")
 
 
-@query()
+@query(_SENTENCES.format(key="doc_id", xs=sql_sentences("text"), table="documents"))
 def sentence_split_full(spark, d):
     return segment.split_sentences(table(spark, d, "documents"))
 
@@ -359,7 +381,10 @@ def section_rows(spark, d):
     return segment.section_rows(pages_of(spark, d))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT 'v' || conv_id AS source, turn, {sql_sentences("text")} AS xs FROM conversations), r AS (SELECT source, turn, unnest(range(len(xs))) AS pos, unnest(xs) AS text FROM p)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY turn, pos) - 1 AS INTEGER) AS sentence_idx, '' AS party, text FROM r"""
+)
 def sentence_rows(spark, d):
     return segment.sentence_rows(pages_of(spark, d))
 

@@ -353,3 +353,29 @@ def test_gate_of(pattern, want):
     from clauselake.functions.gates import gate
 
     assert sorted("|".join(sorted(c)) for c in gate(pattern)) == sorted(want)
+
+
+def test_sentences_equal_the_pattern(spark):
+    """The marks give what the pattern with a look ahead finds, over texts made of all that matters to it."""
+    import random
+
+    random.seed(8)
+    bits = ["a", "12", ".", "!", "?", "'", '"', ")", "]", " ", " ", " ", "e.g.", "Dr.", "No.", "#.", "x#.", "St.", "\n", "é", "Ave.", "..", "it.s"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 25))) for _ in range(3000)]
+    texts += ["12.2 Clause two.", "One. Two! Three?", 'He said "go." Then left.', "a.. . b", ". x", ".) y", "foo. ) ] bar", "foo. )x", "Dr. Smith e.g. here. End"]
+
+    def found(t):
+        t = " ".join(t.split())
+        t = re.sub(segment.ABBREVIATIONS, lambda m: m[0].replace(".", "\0"), t)
+        return [m.strip().replace("\0", ".") for m in re.findall(segment.SENTENCE.replace(r"\z", r"\Z"), t) if m.strip()]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", segment.sentences(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert r["s"] == found(texts[r["i"]]), texts[r["i"]]
+    con = duckdb.connect()
+    con.execute("create table x (i int, t varchar)")
+    con.executemany("insert into x values (?, ?)", list(enumerate(texts)))
+    from clauselake.plans.queries import sql_sentences
+
+    for i, s in con.execute(f"select i, {sql_sentences('t')} from x").fetchall():
+        assert s == found(texts[i]), texts[i]
