@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import CONCEPTS, DEONTIC_LABELS, DEONTIC_PHRASES, PARTY_ALIASES, RISK_LEVELS, TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.rulebook import RULES
-from ..operators import classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth
+from ..operators import cells, classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth
 from ..sources import files, records
 from ..sources.scratch import scratch
 from . import overlay as O
@@ -244,6 +244,14 @@ def cosine_topk(spark, d):
     return ground.top_k(rows.filter("vec_id % 20 = 0"), rows, 5, "vec_id", "embedding")
 
 
+@query(ORACLE_SQL["cosine_topk"])
+def pruned_topk(spark, d):
+    """The same search through a saved index of cells."""
+    rows, path = table(spark, d, "embeddings"), scratch(spark, "cells")
+    cells.build(rows, path, "vec_id", "embedding")
+    return cells.top_k(cells.load(spark, path), rows.filter("vec_id % 20 = 0"), scratch(spark, "first"), 5, "vec_id", "embedding")
+
+
 @query(
     """WITH c AS (SELECT label, unnest(generate_series(1, 64)) AS i, unnest(embedding)::DOUBLE AS x, CASE WHEN vec_id % 3 > 0 THEN 1.0 ELSE 0.0 END AS m FROM embeddings),
 p AS (SELECT label, i, sum(x * m) / greatest(sum(m), 1e-9) AS x FROM c GROUP BY ALL) SELECT label, round(sum(x), 6) AS total, round(max(x), 6) AS most FROM p GROUP BY label"""
