@@ -13,6 +13,7 @@ from ..functions.rulebook import RULES
 from ..operators import cells, classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth
 from ..sources import files, records
 from ..sources.scratch import scratch
+from ..streaming import unit_index
 from . import overlay as O
 from . import train
 from .overlay import quoted
@@ -419,6 +420,29 @@ def unit_dedup(spark, d):
     return units_of(spark, d).select("id", F.length("text").cast("long").alias("n_chars"), "n_occurrences", F.array_join("sources", ",").alias("sources"))
 
 
+def kept_index(spark, d) -> str:
+    """The folder of an index kept up over all documents, which come as three files, a micro-batch each."""
+    docs, given, path = table(spark, d, "documents"), scratch(spark, "given"), scratch(spark, "units")
+    docs.select("doc_id", "source", "text").repartition(3).write.parquet(given)
+    stream = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", 1).parquet(given)
+    query = unit_index.keep(stream, path, scratch(spark, "state"), "doc_id")
+    query.awaitTermination()
+    return path
+
+
+@query(ORACLE_SQL["unit_dedup"])
+def streamed_units(spark, d):
+    rows = unit_index.units(unit_index.entries(spark, kept_index(spark, d)))
+    return rows.select("id", F.length("text").cast("long").alias("n_chars"), "n_occurrences", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {UNITS_SQL} SELECT doc_id, n_occurrences, sources FROM units JOIN n USING (id)")
+def batch_lookup(spark, d):
+    """Every document's text, with its white space doubled, in an index kept up over the documents."""
+    asked = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", " ", "  ").alias("text"))
+    return unit_index.lookup(spark, kept_index(spark, d), asked).select("doc_id", "n_occurrences", F.array_join("sources", ",").alias("sources"))
+
+
 @query(
     f"""WITH {UNITS_SQL}, m AS (SELECT count(DISTINCT source) AS n_documents, CAST(sum(length(text)) AS BIGINT) AS total_chars, count(*) AS total_sections, CAST(count(*) * 2 AS BIGINT) AS total_sentences FROM documents)
 SELECT m.*, u.n AS unique_sections, u.n AS unique_sentences, total_sections - u.n AS duplicate_sections, total_sentences - u.n AS duplicate_sentences FROM m, (SELECT count(*) AS n FROM units) u"""
