@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import CONCEPTS, DEONTIC_LABELS, DEONTIC_PHRASES, PARTY_ALIASES, RISK_LEVELS, TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.rulebook import RULES
-from ..operators import cells, classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth
+from ..operators import cells, classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth, validate
 from ..sources import files, records
 from ..sources.scratch import scratch
 from ..streaming import unit_index
@@ -263,8 +263,20 @@ def mean_pool_by_label(spark, d):
     return pooled.select("label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("v"), 6).alias("most"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents), c AS (SELECT doc_id, least(length(w), 16) AS i, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, coalesce(max(n) FILTER (i = 2), 0) AS two, coalesce(max(n) FILTER (i = 16), 0) AS most, count(*) AS filled FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(filled, 0) AS filled, round(coalesce(two / greatest(norm, 1e-9), 0), 4) AS two, round(coalesce(most / greatest(norm, 1e-9), 0), 4) AS most FROM documents d LEFT JOIN s USING (doc_id)"""
+)
 def encoder_embed(spark, d):
+    """Every document by an encoder that counts word lengths."""
+    rows = encode.embed(table(spark, d, "documents").select("doc_id", "text"), load=lambda: encode.word_lengths(16))
+    filled = F.size(F.filter("v", lambda x: x > 0)).cast("long")
+    return rows.select("doc_id", filled.alias("filled"), F.round(F.col("v")[1].cast("double"), 4).alias("two"), F.round(F.col("v")[15].cast("double"), 4).alias("most"))
+
+
+@query()
+def hashed_embed(spark, d):
     rows = encode.embed(table(spark, d, "benchmark"), encode.hashed_words(32))
     return rows.select("item_id", F.round(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x * x), 4).alias("norm"))
 
@@ -915,6 +927,65 @@ def validation_errors(spark, d):
     return rows.select("source", "raw_text", F.array_join("errors", ",").alias("errors"))
 
 
+# Rows to validate, made of all documents: some without text, part or party, some of a type that the real corpus lacks, some with odd labels.
+MADE_SQL = """made AS (SELECT doc_id AS id, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE 's' || (doc_id // 2 * 2 + CASE WHEN doc_id % 10 = 1 THEN 0 ELSE doc_id % 2 END) END AS source, CASE WHEN doc_id % 11 = 0 THEN 'odd' ELSE lang END AS type,
+CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS raw_text, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'p' || doc_id END AS part, ['tenant', 'landlord', 'agent', NULL][doc_id % 4 + 1] AS party,
+[[1, 0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 1], [0, 1, 0, 1, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0], [0, 2, 1, 0, 0, 0, 0], [1, 0], NULL][doc_id % 7 + 1] AS label,
+[['obl'], ['none'], ['per'], []][doc_id % 4 + 1] AS deontic_types FROM documents)"""
+
+
+def made_rows(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    pick = lambda xs, n: F.try_element_at(F.array(*xs), (i % n + 1).cast("int"))
+    vector = lambda *xs: F.array(*map(F.lit, xs))
+    number = i - i % 2 + F.when(i % 10 == 1, 0).otherwise(i % 2)
+    return table(spark, d, "documents").select(
+        i.alias("id"), F.when(i % 97 != 0, F.concat(F.lit("s"), number)).alias("source"), F.when(i % 11 == 0, "odd").otherwise(F.col("lang")).alias("type"), F.when(i % 7 == 0, "").otherwise(F.col("text")).alias("raw_text"),
+        F.when(i % 13 != 0, F.concat(F.lit("p"), i)).alias("part"), pick([F.lit("tenant"), F.lit("landlord"), F.lit("agent"), F.lit(None).cast("string")], 4).alias("party"),
+        pick([vector(1, 0, 0, 0, 0, 0, 0), vector(0, 0, 0, 0, 0, 0, 1), vector(0, 1, 0, 1, 0, 0, 0), vector(0, 0, 0, 0, 0, 0, 0), vector(0, 2, 1, 0, 0, 0, 0), vector(1, 0), F.lit(None).cast("array<int>")], 7).alias("label"),
+        pick([vector("obl"), vector("none"), vector("per"), F.array().cast("array<string>")], 4).alias("deontic_types"),
+    )
+
+
+def sql_violations(constraints, rows: str) -> str:
+    """One select a constraint, of rows and of their repeated sources."""
+    parts = [f"SELECT id, source, {quoted(name)} AS error FROM {rows} WHERE {p}" for name, p in constraints]
+    return " UNION ALL ".join(parts) + f" UNION ALL SELECT NULL, source, '{validate.DUPLICATE}' FROM made WHERE source IS NOT NULL GROUP BY source HAVING count(*) > 1"
+
+
+_KNOWN_SQL = f"{MADE_SQL}, k AS (SELECT *, coalesce(type IN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), false) AS known FROM made)"
+
+
+def _as_rows(found: DataFrame) -> DataFrame:
+    return as_text(found, "id").select("id", "source", "error")
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT CAST(id AS VARCHAR) AS id, source, error FROM ({sql_violations(validate.REDFLAG, 'k')})")
+def redflag_validation(spark, d):
+    corpus = table(spark, d, "documents").select(F.col("lang").alias("type"))
+    return _as_rows(validate.redflags(made_rows(spark, d), corpus, ["id", "source"])[1])
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT CAST(id AS VARCHAR) AS id, source, error FROM ({sql_violations(validate.SPAN, 'k')})")
+def span_validation(spark, d):
+    corpus = table(spark, d, "documents").select(F.col("lang").alias("type"))
+    return _as_rows(validate.spans(made_rows(spark, d), corpus, ["id", "source"])[1])
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT id, source, type FROM k WHERE known")
+def validated_rows(spark, d):
+    corpus = table(spark, d, "documents").select(F.col("lang").alias("type"))
+    return validate.redflags(made_rows(spark, d), corpus, ["id", "source"])[0].select("id", "source", "type")
+
+
+@query(
+    f"""WITH {MADE_SQL}, k AS (SELECT *, len(label) AS label_size, len(list_filter(coalesce(label, []), lambda x: x = 1)) AS ones, len(list_filter(coalesce(label, []), lambda x: x NOT IN (0, 1))) AS odd,
+[{", ".join(f"'{x}'" for x in DEONTIC_LABELS)}][list_position(label, 1)] AS active, array_to_string(deontic_types, ',') AS types FROM made) SELECT CAST(id AS VARCHAR) AS id, source, error FROM ({sql_violations(validate.MULTILABEL, "k")})"""
+)
+def multilabel_validation(spark, d):
+    return _as_rows(validate.multilabel(made_rows(spark, d), ["id", "source"]))
+
+
 @query(f"WITH {REDFLAG_SQL} SELECT type, count(*) AS n FROM rf WHERE type IN ('riders', 'holdover') GROUP BY type")
 def vocabulary_filter(spark, d):
     vocabulary = spark.createDataFrame([("riders",), ("holdover",), ("damage",)], "type string")
