@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.lexicon import CONCEPTS, DEONTIC_LABELS, DEONTIC_PHRASES, PARTY_ALIASES, RISK_LEVELS, TAXONOMY, TRIGGERS, TYPE_WEIGHTS, UNKNOWN
 from ..functions.rulebook import RULES
 from ..operators import cells, classify, dataset, eda, encode, features, ground, index, metrics, prompt, reports, risk, segment, synth, validate
-from ..sources import files, records
+from ..sources import document_source, files, records
 from ..sources.scratch import scratch
 from ..streaming import unit_index
 from . import overlay as O
@@ -1198,6 +1198,85 @@ def saved_head(spark, d):
     return head.select("class_idx", "class", total.alias("total"), F.lit(threshold).alias("threshold"), F.lit(margin).alias("margin"))
 
 
+def written_files(spark, d) -> str:
+    """A folder with every document as a word-processing file (even ids) or a text file (odd ones), written by the tasks."""
+    path = scratch(spark, "documents")
+    folder = document_source.local(path)
+
+    def write(batches):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                even = i % 2 == 0
+                with open(f"{folder}/{i}.{'docx' if even else 'TXT'}", "wb") as f:
+                    f.write(files.docx_bytes((t or "").split("\n")) if even else (t or "").encode())
+            yield b[["doc_id"]]
+
+    table(spark, d, "documents").select("doc_id", "text").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return path
+
+
+_LINES = "array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_LINES} ELSE coalesce(text, '') END AS text, CASE WHEN doc_id % 2 = 0 THEN 'paragraphs' ELSE 'raw' END AS method FROM documents)
+SELECT doc_id, 0 AS page_idx, CASE WHEN trim(text) = '' THEN '' ELSE text END AS text, CASE WHEN trim(text) = '' THEN 'error' ELSE method END AS method FROM r"""
+)
+def document_files(spark, d):
+    """Every document written as a file and read by the data source."""
+    spark.dataSource.register(document_source.DocumentSource)
+    pages = spark.read.format("clause_documents").option("partition_bytes", 32 << 20).option("open_bytes", 64 << 10).load(written_files(spark, d))
+    return pages.select(F.regexp_extract("source", "^([0-9]+)", 1).cast("long").alias("doc_id"), "page_idx", "text", "method")
+
+
+@query(ORACLE_SQL["document_files"])
+def binary_documents(spark, d):
+    """The same files through Spark's reader of whole files."""
+    pages, _ = files.read_documents(spark, written_files(spark, d))
+    return pages.select(F.regexp_extract("source", "^([0-9]+)", 1).cast("long").alias("doc_id"), "page_idx", "text", "method")
+
+
+@query(
+    f"""WITH {UNITS_SQL}, m AS (SELECT source, sum(length(text))::BIGINT AS chars, count(*) AS k FROM documents GROUP BY source)
+SELECT 'documents' AS part, source AS id, chars AS n, '' AS sources FROM m UNION ALL SELECT p, id, n_occurrences, sources FROM units, (VALUES ('sections'), ('sentences')) v(p)"""
+)
+def saved_index(spark, d):
+    """All three tables of an index, written and loaded again."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "index")
+    manifest = docs.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n_sections"))
+    u = units_of(spark, d).select("id", "text", "n_occurrences", "sources")
+    records.save_index(manifest, u, u, path)
+    documents, sections, sentences = records.load_index(spark, path)
+    rows = documents.select(F.lit("documents").alias("part"), F.col("source").alias("id"), F.col("chars").alias("n"), F.lit("").alias("sources"))
+    for name, part in (("sections", sections), ("sentences", sentences)):
+        rows = rows.unionByName(part.select(F.lit(name).alias("part"), "id", F.col("n_occurrences").alias("n"), F.array_join("sources", ",").alias("sources")))
+    return rows
+
+
+@query("SELECT 'run' || source AS dir FROM (SELECT DISTINCT source FROM documents) WHERE right(source, 1) IN ('1', '2', '3')")
+def complete_folders(spark, d):
+    """Of a folder per source, those that hold all three files of a run; the others lack one."""
+    path = scratch(spark, "runs")
+    root = document_source.local(path)
+
+    def write(batches):
+        import os
+
+        for b in batches:
+            for s in b["source"]:
+                os.makedirs(f"{root}/run{s}", exist_ok=True)
+                for n in records.COMPLETE[: 3 if s[-1] in "123" else 2]:
+                    with open(f"{root}/run{s}/{n}", "w") as f:
+                        f.write("{}")
+            yield b
+
+    table(spark, d, "documents").select("source").distinct().mapInPandas(write, "source string").write.format("noop").mode("overwrite").save()
+    return records.complete_outputs(spark, path).select(F.regexp_extract("dir", "([^/]+)$", 1).alias("dir"))
+
+
 @query(ORACLE_SQL["unit_dedup"])
 def saved_units(spark, d):
     """The index of first-seen units written as JSON lines and loaded again."""

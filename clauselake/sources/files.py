@@ -33,22 +33,39 @@ def chosen_text(layer: Column, recognised: Column) -> Column:
     )
 
 
+def _run_text(block: ElementTree.Element) -> str:
+    """Text of a block's runs; tabs and breaks inside them count."""
+    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join(x.text or "" if x.tag == f"{_W}t" else marks.get(x.tag, "") for x in block.iter())
+
+
 def docx_text(data: bytes) -> str:
-    """Paragraphs, table rows (cells joined by ' | '), headers and footers of a word-processing file."""
+    """Lines of a word-processing file: the body's paragraphs, then its tables' rows (cells joined by ' | '), then headers, then footers; blank
+    ones are left out."""
     lines: list[str] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = ["word/document.xml", *sorted(n for n in z.namelist() if n.startswith(("word/header", "word/footer")))]
-        for name in names:
-            root = ElementTree.fromstring(z.read(name))
-            body = root.find(f"{_W}body") if root.tag == f"{_W}document" else root
-            for block in body if body is not None else ():
-                if block.tag == f"{_W}tbl":
-                    for row in block.iter(f"{_W}tr"):
-                        cells = ["".join(t.text or "" for t in c.iter(f"{_W}t")).strip() for c in row.iter(f"{_W}tc")]
-                        lines.append(" | ".join(c for c in cells if c))
-                else:
-                    lines.append("".join(t.text or "" for t in block.iter(f"{_W}t")))
-    return "\n".join(x for x in lines if x.strip())
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        blocks = list(body) if body is not None else []
+        lines += [_run_text(p) for p in blocks if p.tag == f"{_W}p"]
+        for row in (r for t in blocks if t.tag == f"{_W}tbl" for r in t.iter(f"{_W}tr")):
+            cells = ["\n".join(_run_text(p) for p in c.iter(f"{_W}p")).strip() for c in row.iter(f"{_W}tc")]
+            lines.append(" | ".join(c for c in cells if c))
+        for kind in ("header", "footer"):
+            for name in sorted(n for n in z.namelist() if n.startswith(f"word/{kind}")):
+                lines += [_run_text(p) for p in ElementTree.fromstring(z.read(name)).iter(f"{_W}p")]
+    return "\n".join(x.strip() for x in lines if x.strip())
+
+
+def docx_bytes(lines: list[str]) -> bytes:
+    """A word-processing file of plain paragraphs."""
+    from xml.sax.saxutils import escape
+
+    space = _W.strip("{}")
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
 
 
 def suffix(path: str) -> str:
@@ -56,22 +73,24 @@ def suffix(path: str) -> str:
     return name.rsplit(".", 1)[1].lower() if "." in name else ""
 
 
-def _read(pdf: PageReader | None, image: PageReader | None):
-    def pages(path: str, data: bytes) -> list[tuple[str, str, str]]:
-        kind = suffix(path)
-        try:
-            if kind in TEXT_SUFFIXES:
-                return [(data.decode("utf-8", errors="replace"), "", "raw")]
-            if kind == "docx":
-                return [(docx_text(data), "", "paragraphs")]
-            reader = pdf if kind == "pdf" else image
-            return [(a, b, "") for a, b in reader(data)] if reader else [("", "", "")]
-        except Exception:  # noqa: BLE001 - a broken file or page is a row with method error, not a failed job
-            return [("", "", "")]
+def file_pages(path: str, data: bytes, pdf: PageReader | None = None, image: PageReader | None = None) -> list[tuple[str, str, str]]:
+    """(text layer, recognised text, method) of a file's pages; the method is open ('') where a reader for pages decides."""
+    kind = suffix(path)
+    try:
+        if kind in TEXT_SUFFIXES:
+            return [(data.decode("utf-8", errors="replace"), "", "raw")]
+        if kind == "docx":
+            return [(docx_text(data), "", "paragraphs")]
+        reader = pdf if kind == "pdf" else image
+        return [(a, b, "") for a, b in reader(data)] if reader else [("", "", "")]
+    except Exception:  # noqa: BLE001 - a broken file or page is a row with method error, not a failed job
+        return [("", "", "")]
 
+
+def _read(pdf: PageReader | None, image: PageReader | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p.rsplit("/", 1)[-1], p, i, a, o, m) for p, c in zip(b["path"], b["content"], strict=True) for i, (a, o, m) in enumerate(pages(p, c))]
+            rows = [(p.rsplit("/", 1)[-1], p, i, a, o, m) for p, c in zip(b["path"], b["content"], strict=True) for i, (a, o, m) in enumerate(file_pages(p, c, pdf, image))]
             yield pd.DataFrame(rows, columns=["source", "path", "page_idx", "layer", "ocr", "fixed"])
 
     return run

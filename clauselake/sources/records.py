@@ -41,11 +41,10 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def complete_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """(dir): folders below root that hold all files of COMPLETE, in order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/[^/]*$", "")
-    found = files.filter(name.isin(*COMPLETE)).groupBy(folder.alias("dir")).agg(F.count_distinct(name).alias("n"))
-    return found.filter(F.col("n") == len(COMPLETE)).select("dir").orderBy("dir")
+    """(dir): folders below root that hold all files of COMPLETE, in order. Only the files' names are looked at."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    folders = found.filter(F.col("name").isin(*COMPLETE)).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count_distinct("name").alias("n"))
+    return folders.filter(F.col("n") == len(COMPLETE)).select("dir").orderBy("dir")
 
 
 def save_embeddings(rows: DataFrame, path: str, model: str, dim: int) -> None:
@@ -61,9 +60,24 @@ def load_embeddings(spark: SparkSession, path: str, model: str | None = None, di
     return spark.read.parquet(f"{path}/vectors")
 
 
+UNITS = "id string, text string, n_occurrences long, sources array<string>"
+MANIFEST = "doc_id long, source string, chars long, n_sections long, n_sentences long, sha256 string"
+
+
+def save_index(documents: DataFrame, sections: DataFrame, sentences: DataFrame, path: str) -> None:
+    """The three tables of an index, as JSON lines."""
+    for name, rows in (("documents", documents), ("sections", sections), ("sentences", sentences)):
+        write_jsonl(rows, f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sections, sentences) of a saved index; a table that was never written is empty."""
+    return read_jsonl(spark, f"{path}/documents", MANIFEST, missing_ok=True), *(read_jsonl(spark, f"{path}/{n}", UNITS, missing_ok=True) for n in ("sections", "sentences"))
+
+
 def load_units(spark: SparkSession, path: str) -> DataFrame:
     """First-seen units as unique_units gives them and write_jsonl wrote them."""
-    return read_jsonl(spark, path, "id string, text string, n_occurrences long, sources array<string>")
+    return read_jsonl(spark, path, UNITS)
 
 
 def save_head(head: DataFrame, path: str, threshold: float = 0.3, margin: float | None = None) -> None:
