@@ -60,7 +60,7 @@ class DocumentReader(DataSourceReader):
         return packed(sorted(found), self.partition_bytes, self.open_bytes)
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in partition.paths if partition is not None else ():  # without partitions Spark reads once, of none
             try:
                 with open(path, "rb") as f:
                     pages = file_pages(path, f.read())
