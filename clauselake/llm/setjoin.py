@@ -222,7 +222,7 @@ def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
 def _shared(parts: int, tell: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(s, node) of signatures that two nodes or more have; rows come sorted by part. Beyond HELD signatures, those with HOT nodes leave
-        memory, and what else arrives for them goes straight through. Only the rows of those may repeat; column `again` tells, if asked for."""
+        memory, and what else arrives for them goes straight through. Only the rows of those may repeat; columns `again` and, for the others, `m`, the signature's nodes, tell, if asked for."""
         import zstandard
 
         z = zstandard.ZstdDecompressor()
@@ -231,7 +231,9 @@ def _shared(parts: int, tell: bool = False):
         size, now = 0, None
 
         def frame(pairs: np.ndarray, again: bool) -> pd.DataFrame:
-            return pd.DataFrame(({"again": np.full(len(pairs), again)} if tell else {}) | {"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
+            first = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)])  # those of one signature lie together, if they are all
+            sizes = np.repeat(np.diff(np.append(first, len(pairs))), np.diff(np.append(first, len(pairs))))
+            return pd.DataFrame(({"again": np.full(len(pairs), again), "m": sizes} if tell else {}) | {"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
 
         def split(least: int) -> tuple[np.ndarray, np.ndarray]:
             """Held pairs without repeats: those of signatures with `least` nodes or more, and the rest."""
@@ -412,13 +414,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     total = table.agg(F.sum("signed")).first()[0] or 0
     parts = max(C.partitions(spark), total // PART)
     signatures = base.select("text").mapInPandas(_packed(n, percent, short, parts), "part long, s binary, place binary, nodes binary")
-    shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts, tell=True), "again boolean, s long, node long")
+    shared = signatures.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_shared(parts, tell=True), "again boolean, m long, s long, node long")
     found = C.stage(shared, "shared")
-    shared = found.filter("not again").select("s", "node").unionByName(found.filter("again").select("s", "node").distinct())
-    # texts whose sets are in a bucket, with their size, slack and number of large buckets
-    sizes = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
-    buckets = C.stage(shared.join(sizes, "s"), "buckets")
-    C.release(found)
+    # texts whose sets are in a bucket, with its size; only those of very many texts still have to be counted
+    many = found.filter("again").select("s", "node").distinct()
+    many = C.stage(many.join(many.groupBy("s").agg(F.count(F.lit(1)).alias("m")), "s"), "many")
+    buckets = found.filter("not again").select("s", "node", "m").unionByName(many.select("s", "node", "m"))
     wanted = buckets.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("big"))
     first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("slack").alias("slack"))
     known = C.cut(first.join(wanted, "node").select("node", "doc_id", "n", (F.col("slack") - F.col("big")).alias("spare")))
@@ -426,7 +427,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     texts = base.filter("doc_id is not null").mapInPandas(_blobs(n), "doc_id long, blob binary").join(rep, "doc_id")
     texts = C.stage(_checked(texts, n), "texts")
     placed = C.stage(buckets.join(known.select("node", "n", "spare"), "node"), "placed")
-    C.release(buckets)
+    C.release(found, many)
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("x"), F.col("blob").alias("bx"))
