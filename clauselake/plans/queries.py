@@ -281,6 +281,10 @@ def hashed_embed(spark, d):
     return rows.select("item_id", F.round(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x * x), 4).alias("norm"))
 
 
+#: Iterations of the fits over all documents.
+ITERATIONS = 60
+
+
 def typed_text(spark, d) -> DataFrame:
     return O.sections(spark, d).select("id", F.col("gold").alias("type"), "text")
 
@@ -289,7 +293,7 @@ def typed_text(spark, d) -> DataFrame:
 def tfidf_logreg(spark, d):
     """Every document's type by a head trained on all of them, with sparse TF-IDF and phrase features."""
     rows = typed_text(spark, d)
-    return train.fit_task(rows).predict(rows).select("id", F.col("type").alias("y_true"), "y_pred", F.round(F.array_max("p"), 3).alias("p"))
+    return train.fit_task(rows, max_iter=ITERATIONS).predict(rows).select("id", F.col("type").alias("y_true"), "y_pred", F.round(F.array_max("p"), 3).alias("p"))
 
 
 @query()
@@ -304,7 +308,7 @@ def tfidf_multilabel(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     known = table(spark, d, "labels").select("doc_id", F.array("quality", "toxic").alias("label"))
     base = docs.join(known, "doc_id")
-    model = train.fit_task(base, "label", ("quality", "toxic"), triggers=False).calibrated(base)
+    model = train.fit_task(base, "label", ("quality", "toxic"), triggers=False, max_iter=ITERATIONS).calibrated(base)
     return model.predict(docs).select("doc_id", *[F.round(F.col("p")[i], 3).alias(f"p_{k}") for i, k in enumerate(model.labels)], *[F.col("y_pred")[i].alias(k) for i, k in enumerate(model.labels)])
 
 

@@ -94,7 +94,7 @@ def stacked(rows: DataFrame, tfidf: Tfidf, triggers: bool = True, party: bool =
     return VectorAssembler(inputCols=["__tfidf", "__side"], outputCol=out).transform(data).drop("__tfidf", "__side")
 
 
-def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 1.0, balanced: bool = True, tol: float = TOL) -> tuple[LogisticRegressionModel | None, list[str]]:
+def fit_head(rows: DataFrame, label: str, features: str = "features", c: float = 1.0, balanced: bool = True, tol: float = TOL, max_iter: int = MAX_ITER) -> tuple[LogisticRegressionModel | None, list[str]]:
     """Logistic regression with penalty 1 / (c n), intercepts free, features as they are; balanced weights are n / (k * class size). With
     fewer than two classes there is no model."""
     counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
@@ -104,7 +104,7 @@ def fit_head(rows: DataFrame, label: str, features: str = "features", c: float =
     table = F.create_map(*[x for i, k in enumerate(classes) for x in (F.lit(k), F.lit(float(i)))])
     weight = F.create_map(*[x for k in classes for x in (F.lit(k), F.lit(n / (len(classes) * counts[k]) if balanced else 1.0))])
     data = rows.filter(F.col(label).isNotNull()).select(F.col(features).alias("features"), table[F.col(label)].alias("label"), weight[F.col(label)].alias("weight"))
-    lr = LogisticRegression(regParam=1 / (c * n), standardization=False, weightCol="weight", family="binomial" if len(classes) == 2 else "multinomial", maxIter=MAX_ITER, tol=tol)
+    lr = LogisticRegression(regParam=1 / (c * n), standardization=False, weightCol="weight", family="binomial" if len(classes) == 2 else "multinomial", maxIter=max_iter, tol=tol)
     return lr.fit(data), classes
 
 
@@ -160,7 +160,7 @@ class TextModel:
         return TextModel(self.tfidf, self.triggers, self.party, self.label, self.labels, self.heads, {r["label"]: r["threshold"] for r in best})
 
 
-def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (), triggers: bool = True, party: bool = False, features: int = FEATURES, ngrams: int = 1, c: float = 1.0, negatives: tuple[list[str], int] | None = None, tol: float = TOL) -> TextModel:
+def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (), triggers: bool = True, party: bool = False, features: int = FEATURES, ngrams: int = 1, c: float = 1.0, negatives: tuple[list[str], int] | None = None, tol: float = TOL, max_iter: int = MAX_ITER) -> TextModel:
     """A model of rows. With triggers, classes are balanced; `negatives` (ids, factor) keeps at most so many `none` rows per other one. Feature rows are
     written once for all heads."""
     if negatives is not None:
@@ -171,7 +171,7 @@ def fit_task(rows: DataFrame, label: str = "type", labels: tuple[str, ...] = (),
     stacked(rows, tfidf, triggers, party).select(label, "features").write.parquet(path)
     data = spark.read.parquet(path)
     targets = [F.try_element_at(label, F.lit(i + 1)).cast("int") for i in range(len(labels))] or [F.col(label)]
-    heads = [fit_head(data.select(y.alias("y"), "features"), "y", c=c, balanced=triggers, tol=tol) for y in targets]
+    heads = [fit_head(data.select(y.alias("y"), "features"), "y", c=c, balanced=triggers, tol=tol, max_iter=max_iter) for y in targets]
     return TextModel(tfidf, triggers, party, label, labels, heads)
 
 
