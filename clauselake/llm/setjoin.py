@@ -46,8 +46,9 @@ SPARE = 0.18
 SMALL = 16
 #: Texts of a group that one task compares.
 BLOCK = 2000
-#: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early.
-PART, HELD, HOT = 500_000, 3_000_000, 256
+#: Signatures of a part, held in memory at most (repeats included), and nodes from which a signature leaves it early. Parts are large, as a
+#: text is named once for all its signatures of a part.
+PART, HELD, HOT = 1_500_000, 3_000_000, 256
 #: Cells of the sketch that counts shingles in the texts of large buckets; every order by it is right, a finer one has fewer pairs.
 CELLS = 1 << 18
 #: Chance that an unrelated text holds a given shingle, for the cost model.
@@ -186,8 +187,9 @@ def _described(n: int, percent: int, prefixed: frozenset[int]):
 
 
 def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
-    """A batch's signatures, 48 bits each beside their part, with places in a list of the batch's nodes, which ascend and are compressed: under half
-    as many bytes to move as rows of two longs. Signatures may collide; candidates are verified."""
+    """A batch's signatures, 32 bits each beside their part, with places in a list of the batch's nodes, which ascend and are compressed: a third
+    of the bytes to move of rows of two longs. Some PART / 2^32 of the signatures of a part collide, at any size of the input; candidates are
+    verified."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -207,13 +209,12 @@ def _packed(n: int, percent: int, prefixed: frozenset[int], parts: int):
             place = np.repeat(np.arange(len(nodes), dtype=np.uint16), [len(x) for x in known.values()])
             part = (s % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            s, place, part = s[order] >> np.uint64(16), place[order], part[order]
+            s, place, part = (s[order] >> np.uint64(32)).astype("<u4"), place[order], part[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
             rows = []
             for x, y in zip(cuts, cuts[1:], strict=False):
                 used, at = np.unique(place[x:y], return_inverse=True)
-                short = s[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(part[x]), short.tobytes(), z.compress(np.diff(at, prepend=0).astype("<u2").tobytes()), nodes[used].tobytes()))
+                rows.append((int(part[x]), s[x:y].tobytes(), z.compress(np.diff(at, prepend=0).astype("<u2").tobytes()), nodes[used].tobytes()))
             yield pd.DataFrame(rows, columns=["part", "s", "place", "nodes"])
 
     return run
@@ -226,47 +227,53 @@ def _shared(parts: int, tell: bool = False):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        held: list[np.ndarray] = []
-        hot = np.zeros(0, dtype=np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        hot = np.zeros(0, dtype=np.uint32)
         size, now = 0, None
 
-        def frame(pairs: np.ndarray, again: bool) -> pd.DataFrame:
-            return pd.DataFrame(({"again": np.full(len(pairs), again)} if tell else {}) | {"s": (pairs[:, 0] * np.uint64(parts) + np.uint64(now)).astype(np.int64), "node": pairs[:, 1].astype(np.int64)})
-
-        def split(least: int) -> tuple[np.ndarray, np.ndarray]:
-            """Held pairs without repeats: those of signatures with `least` nodes or more, and the rest."""
-            pairs = np.concatenate(held) if held else np.zeros((0, 2), dtype=np.uint64)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            fresh = np.ones(len(pairs), dtype=bool)
-            fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-            pairs = pairs[fresh]
-            _, at, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-            many = n[at] >= least
-            return pairs[many], pairs[~many]
+        def frame(key: np.ndarray, node: np.ndarray, again: bool) -> pd.DataFrame:
+            return pd.DataFrame(({"again": np.full(len(key), again)} if tell else {}) | {"s": key.astype(np.int64) * parts + now, "node": node})
+
+        def split(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Held pairs without repeats, and which are of signatures with `least` nodes or more."""
+            key = np.concatenate([np.zeros(0, dtype=np.uint32), *[k for k, _ in held]])
+            node = np.concatenate([np.zeros(0, dtype=np.int64), *[n for _, n in held]])
+            held.clear()
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[fresh], node[fresh]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]))
+            n = np.diff(np.append(starts, len(key)))
+            return key, node, np.repeat(n >= least, n)
+
+        def whole() -> pd.DataFrame:
+            key, node, many = split(2)
+            return frame(key[many], node[many], False)
 
         for b in batches:
             for part, s, place, nodes in zip(b["part"], b["s"], b["place"], b["nodes"], strict=True):
                 if part != now:
                     if now is not None:
-                        yield frame(split(2)[0], False)
-                    held, size, now, hot = [], 0, part, np.zeros(0, dtype=np.uint64)
-                raw = np.zeros((len(s) // 6, 8), dtype=np.uint8)
-                raw[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
-                key = raw.view("<u8").ravel().astype(np.uint64)
-                pairs = np.stack([key, np.frombuffer(nodes, dtype=np.int64)[np.cumsum(np.frombuffer(z.decompress(place), dtype="<u2"))].astype(np.uint64)], axis=1)
+                        yield whole()
+                    size, now, hot = 0, part, np.zeros(0, dtype=np.uint32)
+                key = np.frombuffer(s, dtype="<u4")
+                node = np.frombuffer(nodes, dtype=np.int64)[np.cumsum(np.frombuffer(z.decompress(place), dtype="<u2"))]
                 if len(hot):
                     through = np.isin(key, hot)
-                    yield frame(pairs[through], True)
-                    pairs = pairs[~through]
-                held.append(pairs)
-                size += len(pairs)
+                    yield frame(key[through], node[through], True)
+                    key, node = key[~through], node[~through]
+                held.append((key, node))
+                size += len(key)
                 if size > HELD:
-                    out, rest = split(HOT)
-                    hot = np.unique(np.concatenate([hot, out[:, 0]]))
-                    held, size = [rest], len(rest)
-                    yield frame(out, True)
+                    key, node, many = split(HOT)
+                    hot = np.unique(np.concatenate([hot, key[many]]))
+                    held.append((key[~many], node[~many]))
+                    size = len(held[0][0])
+                    yield frame(key[many], node[many], True)
         if now is not None:
-            yield frame(split(2)[0], False)
+            yield whole()
 
     return run
 
@@ -281,7 +288,12 @@ def _blobs(n: int):
 
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "blob": [z.compress((t or "").encode()) for t in b["text"]]})
+            known = {}
+            for t in b["text"]:
+                xs = shingle_set(t, n)
+                if len(xs) and (node := node_of(xs)) not in known:
+                    known[node] = z.compress(t.encode())
+            yield pd.DataFrame({"node": pd.array(list(known), dtype="int64"), "blob": list(known.values())})
 
     return run
 
@@ -420,11 +432,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     buckets = C.stage(shared.join(sizes, "s"), "buckets")
     C.release(found)
     wanted = buckets.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("big"))
-    first = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("slack").alias("slack"))
-    known = C.cut(first.join(wanted, "node").select("node", "doc_id", "n", (F.col("slack") - F.col("big")).alias("spare")))
-    rep = known.filter("doc_id is not null").select("node", "doc_id")
-    texts = base.filter("doc_id is not null").mapInPandas(_blobs(n), "doc_id long, blob binary").join(rep, "doc_id")
-    texts = C.stage(_checked(texts, n), "texts")
+    first = table.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("slack").alias("slack"))
+    known = C.cut(first.join(wanted, "node").select("node", "n", (F.col("slack") - F.col("big")).alias("spare")))
+    # a text moves once, to its node
+    texts = base.select("text").mapInPandas(_blobs(n), "node long, blob binary").dropDuplicates(["node"])
+    texts = C.stage(texts.join(known.select("node"), "node", "left_semi"), "texts")
     placed = C.stage(buckets.join(known.select("node", "n", "spare"), "node"), "placed")
     C.release(buckets)
 
@@ -522,21 +534,6 @@ def _linked_by_blocks(rest: DataFrame, texts: DataFrame, n: int, percent: int) -
     return new
 
 
-def _checked(texts: DataFrame, n: int) -> DataFrame:
-    """Rows whose text has the set of their node, once each: ids may repeat with other texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            sets = (shingle_set(z.decompress(x).decode(), n) for x in b["blob"])
-            same = [len(x) > 0 and node_of(x) == node for x, node in zip(sets, b["node"], strict=True)]
-            yield b.loc[same, ["node", "blob"]]
-
-    return texts.select("node", "blob").mapInPandas(run, "node long, blob binary").dropDuplicates(["node"])
-
-
 def _labelled(table: DataFrame, classes: DataFrame) -> DataFrame:
     nodes = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

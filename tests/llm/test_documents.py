@@ -416,6 +416,22 @@ def test_hot_signatures_leave_memory_early(spark, monkeypatch):
     assert len(whole) > 500 and whole.to_numpy().tolist() == early.to_numpy().tolist()
 
 
+def test_signatures_move_in_four_bytes():
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)]
+    signer = setjoin.Signer(80, frozenset())
+    signed = sum(len(signer.sign(setjoin.shingle_set(t, 3))[0]) for t in texts)
+    packed = pd.concat(setjoin._packed(3, 80, frozenset(), 5)(iter([pd.DataFrame({"text": texts})])))
+    assert packed["s"].map(len).sum() == 4 * signed and set(packed["part"]) == set(range(5))
+
+
+def test_texts_without_ids_are_compared(spark):
+    """A text that occurs only in a row without an id is linked, too, and its text moves with its node."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(words)), (7, " ".join(words[:-1])), (8, "nothing like it")]
+    out = setjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90)
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(None, 7), (7, 7), (8, 8)}
+
+
 @pytest.mark.parametrize("forced", [True, False])
 def test_signatures_cover_the_pigeonhole(monkeypatch, forced):
     """Every pair above the threshold shares more signatures than the smaller set's slack, with and without deletions."""
