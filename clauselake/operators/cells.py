@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ground import unit
+from .ground import best, unit
 
-#: Vectors that centres are found on, most cells, rounds; queries and members of a tile.
-SAMPLE, MOST, ROUNDS, ASKED, BLOCK = 16_384, 4096, 5, 1024, 20_000
+#: Vectors that centres are found on, most cells, rounds; members of a tile; values of a matrix and rows that a task holds at once.
+SAMPLE, MOST, ROUNDS, BLOCK, HELD, ROWS = 16_384, 4096, 5, 20_000, 1_000_000, 20_000
 DIGITS, SLACK = 4, 1e-7
 
 
@@ -28,11 +28,21 @@ def _matrix(vectors) -> np.ndarray:
     return np.array(list(vectors), dtype=float)
 
 
+def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best centre of each row and its cosine, a strip of rows at a time."""
+    cell, cosine, step = np.zeros(len(rows), dtype=int), np.zeros(len(rows)), max(1, HELD // len(centres))
+    for a in range(0, len(rows), step):
+        at = rows[a : a + step] @ centres.T
+        cell[a : a + step] = at.argmax(axis=1)
+        cosine[a : a + step] = at.max(axis=1)
+    return cell, cosine
+
+
 def centres_of(sample: np.ndarray, cells: int) -> np.ndarray:
     """Unit centres by some rounds of means, beginning with the first rows; a cell that loses all its rows keeps its centre."""
     centres = sample[:cells].copy()
     for _ in range(ROUNDS):
-        at = (sample @ centres.T).argmax(axis=1)
+        at, _ = nearest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, at, sample)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -55,9 +65,8 @@ def build(vectors: DataFrame, path: str, key: str = "id", vector: str = "v", cel
     def assigned(batches):
         for b in batches:
             if len(b):
-                at = _matrix(b["u"]) @ sent.value.T
-                cell = at.argmax(axis=1)
-                yield b.assign(cell=cell, angle=np.arccos(np.clip(at[np.arange(len(b)), cell], -1, 1)))
+                cell, cosine = nearest(_matrix(b["u"]), sent.value)
+                yield b.assign(cell=cell, angle=np.arccos(np.clip(cosine, -1, 1)))
 
     placed = rows.mapInPandas(assigned, f"id {rows.schema['id'].dataType.simpleString()}, u array<double>, cell int, angle double")
     placed.repartitionByRange(F.col("cell"), F.xxhash64("id")).sortWithinPartitions("cell", "id").write.parquet(f"{path}/members")
@@ -95,10 +104,9 @@ def visits(index: Cells, queries: DataFrame, k: int, floor: bool) -> DataFrame:
     sent = spark.sparkContext.broadcast(Cells(None, cell, centre, radius, n))
 
     def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            i = sent.value
+        i = sent.value
+        step = max(1, HELD // len(i.cell))
+        for b in (whole.iloc[a : a + step] for whole in batches for a in range(0, len(whole), step)):
             bounds = i.bounds(_matrix(b["q"]))
             order = np.argsort(-bounds, axis=1, kind="stable")
             before = np.cumsum(i.n[order], axis=1) - i.n[order]
@@ -107,7 +115,10 @@ def visits(index: Cells, queries: DataFrame, k: int, floor: bool) -> DataFrame:
                 best = np.take_along_axis(bounds, order, axis=1)
                 take = ~take & (best >= b["floor"].to_numpy()[:, None] - 0.5 * 10.0**-DIGITS - 1e-9)
             row, at = np.nonzero(take)
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "q": b["q"].to_numpy()[row], "cell": i.cell[order[row, at]]})
+            cells = i.cell[order[row, at]]
+            for a in range(0, len(row), ROWS):  # each row brings its vector
+                some = row[a : a + ROWS]
+                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[some], "q": b["q"].to_numpy()[some], "cell": cells[a : a + ROWS]})
 
     return queries.mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, q array<double>, cell int")
 
@@ -127,14 +138,9 @@ def scores(index: Cells, asked: DataFrame, k: int) -> DataFrame:
     def tile(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(rows):
-            rows = rows.sort_values("id", kind="stable")
-            u, ids = _matrix(rows["u"]), rows["id"].to_numpy()
-            for a in range(0, len(q), ASKED):
-                part = q.iloc[a : a + ASKED]
-                s = np.round(_matrix(part["q"]) @ u.T, DIGITS)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
-                row = np.repeat(np.arange(len(part)), best.shape[1])
-                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids[best.ravel()], "score": s[row, best.ravel()]}))
+            asked, x, u = q["query_id"].to_numpy(), _matrix(q["q"]), _matrix(rows["u"])
+            for row, ids, score in best(x, np.full(len(x), x.shape[1]), u, np.full(len(u), u.shape[1]), rows["id"].to_numpy(), k):
+                out.append(pd.DataFrame({"query_id": asked[row], "id": ids, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, kinds)

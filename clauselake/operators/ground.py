@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +34,92 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str | None = None)
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
 
 
-#: Queries and rows of a tile of top_k.
-ASKED, BLOCK = 1024, 20_000
+#: Queries and rows of a tile of top_k, and scores that a task holds at once.
+ASKED, BLOCK, HELD = 16_384, 20_000, 1_000_000
+#: Digits of a score, and how near to the edge of rounding it is summed again, term by term.
+DIGITS, EDGE = 4, 1e-9
+
+
+def matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, filled up with zeros, and their lengths; -1 for null ones."""
+    rows = list(vectors)
+    lengths = np.array([-1 if v is None else len(v) for v in rows], dtype=int)
+    wide = max(int(lengths.max(initial=0)), 0)
+    if len(rows) and (lengths == wide).all():
+        return np.array(rows, dtype=float).reshape(len(rows), wide), lengths
+    out = np.zeros((len(rows), wide))
+    for i, v in enumerate(rows):
+        if lengths[i] > 0:
+            out[i, : lengths[i]] = v
+    return out, lengths
+
+
+def rounded(raw: np.ndarray, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Scores of pairs (rows of q and u) as Spark sums and rounds them: half up, term by term where the sum's order could tell."""
+    out = np.round(raw, DIGITS) + 0.0
+    with np.errstate(invalid="ignore"):
+        edge = np.flatnonzero(np.abs(np.abs(raw - out) - 0.5 * 10.0**-DIGITS) < EDGE)
+    if len(edge):
+        total = np.zeros(len(edge))
+        for x, y in zip(q[edge].T, u[edge].T, strict=True):
+            total += x * y
+        out[edge] = [float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-DIGITS), ROUND_HALF_UP)) + 0.0 for x in total]
+    return out
+
+
+def best(q: np.ndarray, nq: np.ndarray, u: np.ndarray, nu: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, ids, scores): the best k rows of each query by score, then id, HELD scores at a time. nq and nu are lengths; NaN comes as
+    inf, no score as -inf."""
+    wide = max(q.shape[1], u.shape[1])
+    q, u = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, u))
+    step = max(1, HELD // max(1, len(u)))
+    alike = len(nq) and len(nu) and (nq == nu[0]).all() and (nu == nu[0]).all() and nu[0] >= 0
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        with np.errstate(invalid="ignore"):
+            raw = part @ u.T
+        raw[np.isnan(raw)] = np.inf
+        if not alike:
+            raw[(nq[a : a + step, None] != nu[None, :]) | (nu < 0)[None, :]] = -np.inf
+        if len(u) > k:
+            kth = np.partition(raw, len(u) - k, axis=1)[:, len(u) - k]
+            row, at = np.nonzero(raw >= (np.round(kth, DIGITS) - 0.5 * 10.0**-DIGITS - EDGE)[:, None])
+        else:
+            row, at = np.indices(raw.shape).reshape(2, -1)
+        score = raw[row, at]
+        finite = np.isfinite(score)
+        score[finite] = rounded(score[finite], part[row[finite]], u[at[finite]])
+        order = np.lexsort((ids[at], -score, row))
+        row, at, score = row[order], at[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        yield row[place < k] + a, ids[at[place < k]], score[place < k]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v") -> DataFrame:
-    """(query_id, rank, id, score): exact inner products of unit vectors. Queries and rows meet in tiles (blocks of both), so
-    neither side has to be small; each partition keeps k rows a query before the exchange. Ties go to the smaller id."""
+    """(query_id, rank, id, score): exact inner products of unit vectors. Queries and rows meet in tiles (blocks of both), each a
+    product of matrices of which a task holds a strip, so neither side has to be small; a tile keeps k rows a query. Ties go to the smaller id."""
     chunks, blocks = max(1, -(-queries.count() // ASKED)), max(1, -(-vectors.count() // BLOCK))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q")).withColumn("chunk", part("query_id", chunks)).withColumn("block", every_one(blocks))
-    rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("u")).withColumn("block", part("id", blocks)).withColumn("chunk", every_one(chunks))
-    rows = rows.join(q, ["block", "chunk"])
-    rows = rows.select("query_id", "id", F.round(dot(F.col("u"), F.col("q")), 4).alias("score"))
+    whole = lambda v: F.when(~F.exists(v, lambda x: x.isNull()), unit(v))  # noqa: E731  a null component makes every score null
+    q = queries.select(F.col(key).alias("query_id"), whole(F.col(vector)).alias("q")).withColumn("chunk", part("query_id", chunks)).withColumn("block", every_one(blocks))
+    rows = vectors.select(F.col(key).alias("id"), whole(F.col(vector)).alias("u")).withColumn("block", part("id", blocks)).withColumn("chunk", every_one(chunks))
+    keys = ["block", "chunk"]
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": left["query_id"].iloc[:0], "id": right["id"].iloc[:0], "score": np.zeros(0)})]
+        if len(left) and len(right):
+            asked, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+            for row, found, score in best(*matrix(left["q"]), *matrix(right["u"]), ids, k):
+                out.append(pd.DataFrame({"query_id": asked[row], "id": found, "score": score}))
+        return pd.concat(out[1:] or out)
+
+    met = q.repartition(chunks * blocks, *keys).groupBy(*keys).cogroup(rows.repartition(chunks * blocks, *keys).groupBy(*keys)).applyInPandas(tile, kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+    score = F.when(F.col("score") == float("inf"), nan).when(F.col("score") == float("-inf"), none).otherwise(F.col("score"))
+    return met.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from clauselake.operators import cells
+from clauselake.operators import cells, ground
 
 
 def brute(vectors, asked, k):
@@ -47,3 +49,36 @@ def test_cells_small_and_empty(spark, tmp_path):
     assert sorted((r["query_id"], r["id"], r["score"]) for r in got) == [(1, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
     cells.build(few.limit(0), str(tmp_path / "c"))
     assert cells.top_k(cells.load(spark, str(tmp_path / "c")), few, str(tmp_path / "d"), 5).count() == 0
+
+
+def test_tasks_hold_strips(spark, tmp_path, monkeypatch):
+    """No row set of a visit is longer than ROWS, whatever queries and cells are; small strips give the same result."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(cells, "HELD", 50)
+    monkeypatch.setattr(cells, "ROWS", 7)
+    monkeypatch.setattr(ground, "HELD", 100)
+    cells.build(df, str(tmp_path / "index"))
+    index = cells.load(spark, str(tmp_path / "index"))
+    asked = df.filter("id % 20 = 0")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in cells.top_k(index, asked, str(tmp_path / "first"), 5).collect())
+    assert got == [pytest.approx(x) for x in brute(rows, [i for i, _ in rows if i % 20 == 0], 5)]
+
+
+def test_top_k_by_products_of_matrices(spark, monkeypatch):
+    """Pairs are no rows; scores are those of Spark's own sums, at the edges of rounding too; null vectors, components and other lengths as before."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8)]) for i in range(300)] + [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [1.0, 2.0]), (403, [0.0] * 8), (404, [float("nan")] * 8)]
+    rows += [(500 + i, [0.00005, (1 - 0.00005**2) ** 0.5] + [0.0] * 6) for i in range(3)] + [(510, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    asked = df.filter("id % 10 = 0 or id > 399")
+    monkeypatch.setattr(ground, "HELD", 400), monkeypatch.setattr(ground, "BLOCK", 60)
+    for k in (3, 400):
+        out = ground.top_k(asked, df, k)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        pairs = asked.select(F.col("id").alias("query_id"), ground.unit(F.col("v")).alias("q")).crossJoin(df.select("id", ground.unit(F.col("v")).alias("u")))
+        pairs = pairs.select("query_id", "id", F.round(ground.dot(F.col("u"), F.col("q")), 4).alias("score"))
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+        both = [{(r["query_id"], r["rank"]): repr((r["id"], r["score"])) for r in x.collect()} for x in (out, want)]
+        assert both[0] == both[1]
