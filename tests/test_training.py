@@ -139,3 +139,17 @@ def test_training_odd(spark):
     assert mixed.count() == 160 and mixed.filter(train.feature_text(mixed) == "").count() == 0
     out = train.fitted_split(spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(50)] + [(99, [0.0, 0.0], 7)], "id int, v array<double>, y int"), "v", "y", ["id"])
     assert out.count() == 10 and out.filter("y = y_pred").count() == 10
+
+
+def test_weights_by_arrow_and_one_pass(spark):
+    """Weights are made on Arrow arrays, not on a Python vector for each row; what was trained on is scored from its written features."""
+    rows = spark.createDataFrame(texts(80, 5), "id int, text string, type string, party string")
+    model = train.fit_task(rows, ids=("id",), max_iter=20)
+    assert set(model.seen.columns) == {"id", "type", "features"}
+    plan = model.predict(model.seen)._jdf.queryExecution().toString()
+    assert "Tokenizer" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    a, b = ({r["id"]: (r["y_pred"], [round(x, 9) for x in r["p"]]) for r in model.predict(x).collect()} for x in (model.seen, rows))
+    assert a == b and len(a) == 80
+    words = Counter(w for _, t, _, _ in texts(80, 5) for w in set(re.findall(r"\w\w+", t.lower())))
+    for term, weight in zip(model.tfidf.vocabulary, model.tfidf.weights, strict=True):
+        assert abs(weight - (math.log(81 / (1 + words[term])) + 1)) < 1e-12
