@@ -1,7 +1,7 @@
 """An index of units that is kept up over a stream: exact counts and first occurrences per content hash and source, in keyed state.
 
-Rows of a micro-batch are combined where they are read, so a text that a third of all rows repeat reaches its key as one row per Arrow batch. The state of a
-key (hash, source) is a count and its first row; what changed is written as files sorted by hash, in folders by batch and by the hash's first two
+Rows of a micro-batch are combined where they are read, so a text that a third of all rows repeat reaches its key as one row per task. The state of a
+key (hash, source) is a count and its first row, kept by Spark's own aggregation over streams, without Python for each key; what changed is written as files sorted by hash, in folders by batch and by the hash's first two
 digits. A batch that runs again replaces its folder. Readers take the newest row of a key; `compact` folds batches into one. A table of
 texts is looked up in the folders that its hashes fall into and no others.
 
@@ -10,45 +10,23 @@ Blank and null texts are no units; a null source is one source; order is a long
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import collapse, content_hash
 
 SCHEMA = "id string, source string, n long, first long, text string"
-STATE = "n long, first long, text string"
 PREFIX = 2
 _KEY = ["id", "source"]
 
 
-def _combined(batches):
-    """One row per key of each batch."""
-    for b in batches:
-        if len(b):
-            b = b.sort_values("first", kind="stable")
-            yield b.groupby(_KEY, dropna=False, sort=False).agg(n=("n", "sum"), first=("first", "first"), text=("text", "first")).reset_index()
-
-
-def _kept(key: tuple, parts, state: GroupState):
-    """Adds rows to a key's state and gives the state back."""
-    n, first, text = state.get if state.exists else (0, None, None)
-    for b in parts:
-        for k, at, t in zip(b["n"], b["first"], b["text"], strict=True):
-            n += int(k)
-            if first is None or at < first:
-                first, text = int(at), t
-    state.update((n, first, text))
-    yield pd.DataFrame({"id": [key[0]], "source": [key[1]], "n": [n], "first": [first], "text": [text]})
-
-
 def updates(stream: DataFrame, order: str, text: str = "text", source: str = "source") -> DataFrame:
     """A stream of SCHEMA: the new state of each key that a micro-batch touches."""
     rows = stream.filter(collapse(F.coalesce(F.col(text), F.lit(""))) != "")
     rows = rows.select(content_hash(F.col(text)).alias("id"), F.col(source).cast("string").alias("source"), F.lit(1).cast("long").alias("n"), F.col(order).cast("long").alias("first"), F.col(text).alias("text"))
-    return rows.mapInPandas(_combined, SCHEMA).groupBy(*_KEY).applyInPandasWithState(_kept, SCHEMA, STATE, "update", GroupStateTimeout.NoTimeout)
+    kept = rows.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min(F.struct("first", "text")).alias("x"))
+    return kept.select(*_KEY, "n", "x.first", "x.text")
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
