@@ -438,10 +438,11 @@ def unit_dedup(spark, d):
 
 
 def kept_index(spark, d) -> str:
-    """The folder of an index kept up over all documents, which come as three files, a micro-batch each."""
+    """The folder of an index kept up over all documents, which come in three micro-batches, of as many files each as the table has splits."""
     docs, given, path = table(spark, d, "documents"), scratch(spark, "given"), scratch(spark, "units")
-    docs.select("doc_id", "source", "text").repartition(3).write.parquet(given)
-    stream = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", 1).parquet(given)
+    splits = docs.rdd.getNumPartitions()
+    docs.select("doc_id", "source", "text").repartition(3 * splits).write.parquet(given)
+    stream = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", splits).parquet(given)
     query = unit_index.keep(stream, path, scratch(spark, "state"), "doc_id")
     query.awaitTermination()
     return path
