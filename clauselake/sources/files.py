@@ -17,6 +17,8 @@ from ..functions.text import strip
 TEXT_SUFFIXES = ("txt", "md", "")
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 LEAST_TEXT, SCALE = 40, 2.0
+#: Splits of files that one task reads where there are very many (Spark counts a small file as 4 MB), and splits for each core that stay apart.
+TOGETHER, APART = 32, 8
 PAGES = "source string, path string, page_idx int, text string, method string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -99,6 +101,9 @@ def _read(pdf: PageReader | None, image: PageReader | None):
 def read_documents(spark: SparkSession, path: str, pdf: PageReader | None = None, image: PageReader | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, rejected): pages of all supported files under a path, and the files of unknown kinds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    splits, apart = files.rdd.getNumPartitions(), APART * spark.sparkContext.defaultParallelism
+    if splits > apart:
+        files = files.coalesce(max(apart, splits // TOGETHER))
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
     known = kind.isin(*TEXT_SUFFIXES, *IMAGE_SUFFIXES, "docx", "pdf")
