@@ -1137,7 +1137,10 @@ c AS (SELECT id, rule_id, prompt, unnest(CASE WHEN r <= n // 2 THEN [0, 1, 2] EL
 SELECT id, rule_id, copy, CASE WHEN copy = 0 THEN prompt ELSE array_to_string(list_transform(list_sort(list_transform(string_split(prompt, chr(10) || chr(10)), lambda p: struct_pack(h := md5(p || '|' || copy), p := p))), lambda x: x.p), chr(10) || chr(10)) END AS prompt FROM c"""
 )
 def augmented_pairs(spark, d):
-    return prompt.augmented(prompts_of(spark, d).select("id", "rule_id", "prompt"), ["id", "rule_id"])
+    """Prompts are written once, as ranks need them twice."""
+    path = scratch(spark, "prompts")
+    prompts_of(spark, d).select("id", "rule_id", "prompt").write.parquet(path)
+    return prompt.augmented(spark.read.parquet(path), ["id", "rule_id"])
 
 
 @query(
