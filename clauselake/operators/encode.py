@@ -19,6 +19,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 Loader = Callable[[], Encoder]
 #: Most texts, and most characters (longest text times texts), of a batch that an encoder gets.
 TEXTS, CHARACTERS = 256, 400_000
+#: Texts of an Arrow batch, which a worker holds several times.
+RECORDS = 1000
 
 
 def hashed_words(dim: int = 64) -> Encoder:
@@ -73,6 +75,8 @@ def embed(rows: DataFrame, encoder: Encoder | None = None, text: str = "text", o
     """rows plus an array<float> of each text, by an encoder or by one that `load` makes once per task. A null text is empty. Texts are told
     apart by their SHA-256: each distinct one moves and is encoded once, and what comes back to the rows is its vector."""
     load = load or (lambda: encoder)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # plans read it late, so it stays
+    rows.sparkSession.conf.set(key, str(min(RECORDS, int(rows.sparkSession.conf.get(key)))))
     keyed = rows.withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     once = keyed.groupBy(F.col("__h").alias("h")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     vectors = once.mapInPandas(_encoded(load, normalise), "h string, v array<float>").select(F.col("h").alias("__e"), F.col("v").alias(out))
