@@ -285,6 +285,23 @@ def test_substrings_exact(spark, texts, length, hot, monkeypatch):
     assert got == repeats(texts, length) and sum(x[1] for x in got) > 10_000
 
 
+def test_substrings_texts_move_once(spark, texts, monkeypatch):
+    """However often groups are split, every text is packed and moved once."""
+    monkeypatch.setattr(substrings, "HOT", 1)
+    packed, packs = spark.sparkContext.accumulator(0), substrings._packed
+
+    def counted(batches):
+        def seen():
+            for b in batches:
+                packed.add(len(b))
+                yield b
+
+        yield from packs(seen())
+
+    monkeypatch.setattr(substrings, "_packed", counted)
+    assert substrings.remove_repeats(frame(spark, texts), length=100).count() == len(texts) == packed.value
+
+
 def test_substrings_odd(spark, odd):
     got = {r["doc_id"]: r for r in substrings.remove_repeats(odd).collect()}
     assert got[1]["n_bytes"] == 0 and got[5]["kept"] == b"" and got[(1 << 60) + 1]["n_bytes"] == 21
