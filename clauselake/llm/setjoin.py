@@ -436,12 +436,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     known = C.cut(first.join(wanted, "node").select("node", "n", (F.col("slack") - F.col("big")).alias("spare")))
     # a text moves once, to its node
     texts = base.select("text").mapInPandas(_blobs(n), "node long, blob binary").dropDuplicates(["node"])
-    texts = C.stage(texts.join(known.select("node"), "node", "left_semi"), "texts")
+    texts = C.bucketed(texts.join(known.select("node"), "node", "left_semi"), "texts", "node")
     placed = C.stage(buckets.join(known.select("node", "n", "spare"), "node"), "placed")
     C.release(buckets)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("node").alias("x"), F.col("blob").alias("bx"))
+    def verify(pairs: DataFrame, held: DataFrame = texts) -> DataFrame:
+        x = held.select(F.col("node").alias("x"), F.col("blob").alias("bx"))
         y = texts.select(F.col("node").alias("y"), F.col("blob").alias("by"))
         return pairs.join(y, "y").join(x, "x").mapInPandas(_verified(n), "x long, y long, both long, either long")
 
@@ -458,7 +458,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     pivots = pivots.select("s", F.col("p.node").alias("pivot"), F.col("p.n").alias("np"), F.col("p.spare").alias("cp"))
     starred = C.stage(large.join(pivots, "s"), "starred")
     stars = starred.filter((F.col("node") != F.col("pivot")) & alike(F.col("n"), F.col("np")) & ((F.col("spare") < 0) | (F.col("cp") < 0))).select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"))
-    links = C.stage(verify(pairs.unionByName(stars).distinct()).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    # a pivot may be frequent: for it texts move, so that Spark can split it
+    loose = spark.read.schema(texts.schema).parquet(texts.staged_path)
+    links = C.stage(verify(pairs.unionByName(stars).distinct(), loose).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     classes = C.cut(components(links))
     # large buckets that hold several classes and a text that may share no small bucket with what it is similar to: groups of texts
     # that these connect, compared in blocks

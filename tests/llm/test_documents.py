@@ -389,6 +389,28 @@ def test_jaccard_common_passage(spark, small, monkeypatch):
     assert sum(blocks) <= len(texts)
 
 
+def test_jaccard_texts_stay(spark, monkeypatch):
+    """Where texts that share a passage sign again, what joins their texts moves, not the texts."""
+    monkeypatch.setattr(setjoin, "SMALL", 3)
+    plans, rare = [], setjoin._linked_by_rare
+
+    def seen(session, met, held, *x):
+        plan = held.join(met.select("node", "n"), "node").select("blob")
+        plans.append(plan._jdf.queryExecution().executedPlan().toString())
+        return rare(session, met, held, *x)
+
+    monkeypatch.setattr(setjoin, "_linked_by_rare", seen)
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, f"{passage} " + " ".join(f"o{i}x{j}" for j in range(9)), "s", "k", 1) for i in range(40)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert setjoin.jaccard_classes(docs, 5, 80).select("component_id").distinct().count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
+
+
 def test_rarest_shingles_meet(monkeypatch):
     """Of two similar texts, the first shared shingle is among the prefixes of both and an inner one of the smaller, whatever the weights."""
     import zstandard
