@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .scratch import scratch
 
 # Suffixes, the least length of a text layer, and the scale at which a page is drawn for recognition.
 TEXT_SUFFIXES = ("txt", "md", "")
@@ -98,12 +99,30 @@ def _read(pdf: PageReader | None, image: PageReader | None):
     return run
 
 
+def _empty(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, length, content) of the files without bytes, which Spark lists but never reads: those listed whose path is not among the found
+    ones, written once. The listing stays in the JVM, where Spark holds it."""
+    spark, jvm = files.sparkSession, files.sparkSession.sparkContext._jvm
+    listed = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    paths = spark.sparkContext._jsc.parallelize(jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed))
+    rows = DataFrame(spark._jsparkSession.createDataset(paths.rdd(), jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    decoded = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    rows = rows.select(F.regexp_replace(decoded, "^([^:/]+):///", "$1:/").alias("path"))  # as Spark writes paths without a host
+    own = F.element_at(F.split("path", "/"), -1).rlike("^([.]|_[^=]*$)")  # listed, but taken for Spark's
+    at = scratch(spark, "empty")
+    rows.filter(~own).join(found, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def read_documents(spark: SparkSession, path: str, pdf: PageReader | None = None, image: PageReader | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, rejected): pages of all supported files under a path, and the files of unknown kinds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     splits, apart = files.rdd.getNumPartitions(), APART * spark.sparkContext.defaultParallelism
     if splits > apart:
         files = files.coalesce(max(apart, splits // TOGETHER))
+    empty, files = _empty(files, files.select("path")), files.select("path", "length", "content")
+    if not empty.isEmpty():
+        files = files.unionByName(empty)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
     known = kind.isin(*TEXT_SUFFIXES, *IMAGE_SUFFIXES, "docx", "pdf")

@@ -41,6 +41,28 @@ def test_documents(spark, tmp_path):
     assert [got["e.pdf", i][0] for i in range(4)] == ["text", "ocr", "text", "error"] and [r["path"].rsplit("/", 1)[-1] for r in rejected.collect()] == ["g.exe"]
 
 
+def test_documents_without_bytes(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    folder.mkdir()
+    for name, data in {"1.txt": b"", "2 +%2B.txt": b"", "3.docx": b"", "4.pdf": b"", "5.exe": b"", "6+ 7.txt": b"full", "_metadata": b"x", "_own.txt": b"", ".hidden.txt": b""}.items():
+        (folder / name).write_bytes(data)
+    pages, rejected = files.read_documents(spark, str(tmp_path))
+    assert {(r["source"], r["page_idx"], r["text"], r["method"]) for r in pages.collect()} == {
+        ("1.txt", 0, "", "error"), ("2 +%2B.txt", 0, "", "error"), ("3.docx", 0, "", "error"), ("4.pdf", 0, "", "error"), ("6+ 7.txt", 0, "full", "raw")
+    }
+    assert pages.count() == 5 and {r["path"] for r in pages.collect()} == {f"file:{folder}/{n}" for n in ("1.txt", "2 +%2B.txt", "3.docx", "4.pdf", "6+ 7.txt")}
+    assert [(r["path"].rsplit("/", 1)[-1], r["length"]) for r in rejected.collect()] == [("5.exe", 0)]
+    (tmp_path / "none").mkdir()
+    assert files.read_documents(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_binary_documents_without_text(spark, tmp_path):
+    rows = [(0, "even"), (1, "odd"), (2, ""), (3, ""), (4, None), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.binary_documents(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0, "even", "paragraphs"), (1, 0, "odd", "raw")} | {(i, 0, "", "error") for i in (2, 3, 4, 5)}
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"source": "a", "text": "t"}\n\n{"source": "b"}\n')
     (tmp_path / "bad.jsonl").write_text("{nope\n")
