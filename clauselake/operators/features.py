@@ -11,8 +11,8 @@ from ..functions.text import phrase_count, some, strip, total
 
 def trigger_vector(text: Column) -> Column:
     """0/1 per phrase group: whether any of its phrases occurs as a substring."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(*[some([F.contains(low, F.lit(p)) for p in ps]).cast("int") for ps in DEONTIC_PHRASES.values()])
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))  # bound to a variable: named for each phrase, the text would be made anew for each
+    return F.transform(low, lambda t: F.array(*[some([F.contains(t, F.lit(p)) for p in ps]).cast("int") for ps in DEONTIC_PHRASES.values()]))[0]
 
 
 def trigger_counts(text: Column) -> Column:

@@ -7,10 +7,12 @@ document frequencies (at most `features` of each) are all that comes to the driv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
+from ..operators.encode import RECORDS
 from ..operators.features import downsample, is_tenant, trigger_vector
 from ..operators.metrics import calibrate
 from ..sources.scratch import scratch
@@ -48,6 +51,18 @@ def _sublinear(vectors: DataFrame, counts: str, out: str) -> DataFrame:
     return vectors.withColumn(out, F.arrow_udf(run, VectorUDT())(counts))
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n, df) of each batch of term lists: occurrences, and lists that hold the term."""
+    for b in batches:
+        lists = b.column(0)
+        coded = lists.flatten().dictionary_encode()
+        codes, terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        at = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        n = np.bincount(codes, minlength=terms)
+        df = np.bincount(np.unique(at * max(terms, 1) + codes) % max(terms, 1), minlength=terms)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64()), pa.array(df, pa.int64())], names=["term", "n", "df"])
+
+
 @dataclass
 class Tfidf:
     """Sublinear tf times ln((1 + n) / (1 + df)) + 1 over 1- to n-grams of words of two characters or more, in lower case, of unit length."""
@@ -70,9 +85,10 @@ class Tfidf:
     def fit(cls, rows: DataFrame, text: Column, features: int = FEATURES, ngrams: int = 1) -> Tfidf:
         """The most frequent terms, ties by the term, in that order."""
         data = cls.terms(rows.select(text.alias("__x")), F.col("__x"), ngrams)
-        # sorted terms: the first of a run of equal ones counts the document, so one pass over the texts gives both counts
-        runs = data.select(F.array_sort("__terms").alias("t")).select(F.arrays_zip("t", F.zip_with("t", F.concat(F.array(F.lit(None).cast("string")), "t"), lambda a, b: ~a.eqNullSafe(b)).alias("new")).alias("x"))
-        top = runs.select(F.inline("x").alias("term", "new")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("df")).orderBy(F.desc("n"), "term").limit(features).collect()
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # plans read it late, so it stays
+        rows.sparkSession.conf.set(key, str(min(RECORDS, int(rows.sparkSession.conf.get(key)))))
+        counts = data.select("__terms").mapInArrow(_term_counts, "term string, n long, df long")
+        top = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).orderBy(F.desc("n"), "term").limit(features).collect()
         if not top:  # at most `features`
             return cls([], np.zeros(0), ngrams)
         documents = rows.count()

@@ -153,3 +153,15 @@ def test_weights_by_arrow_and_one_pass(spark):
     words = Counter(w for _, t, _, _ in texts(80, 5) for w in set(re.findall(r"\w\w+", t.lower())))
     for term, weight in zip(model.tfidf.vocabulary, model.tfidf.weights, strict=True):
         assert abs(weight - (math.log(81 / (1 + words[term])) + 1)) < 1e-12
+
+
+def test_terms_are_counted_on_arrow_and_texts_lowered_once(spark):
+    lists = [["b", "a", "b"], [], ["b"], ["c", "a"]]
+    batch = train.pa.RecordBatch.from_arrays([train.pa.array(lists, train.pa.list_(train.pa.string()))], names=["t"])
+    empty = train.pa.RecordBatch.from_arrays([train.pa.array([[]], train.pa.list_(train.pa.string()))], names=["t"])
+    got = [sorted(zip(*b.to_pydict().values(), strict=True)) for b in train._term_counts(iter([batch, empty]))]
+    assert got == [[("a", 2, 2), ("b", 3, 2), ("c", 1, 1)], []]
+    rows = spark.createDataFrame([(1, "The Tenant SHALL PAY rent"), (2, None)], "id int, text string")
+    hits = rows.select("id", trigger_vector(F.upper("text")).alias("v"))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().lower().count("lower(") == 1
+    assert {r["id"]: sum(r["v"]) > 0 for r in hits.collect()} == {1: True, 2: False}
